@@ -61,12 +61,18 @@ def bucket_of(c: Column, bounds: list) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + in_block)
 
 
-def rank_table(counts: DataFrame, keys: Iterable[str] = (), value: str = "value") -> DataFrame:
+def rank_table(
+    counts: DataFrame,
+    keys: Iterable[str] = (),
+    value: str = "value",
+    carry: Iterable[str] = (),
+) -> DataFrame:
     """Positions of every distinct value within its key.
 
     ``counts`` holds ``keys, value, count``. The result adds ``before`` (rows
     with a smaller value), ``dense`` (smaller distinct values), ``total`` (rows
     of the key) and ``avg_rank`` (the mean of the 1-based ranks of the ties).
+    Columns in ``carry`` pass through.
     """
     keys = list(keys)
     counts = held(counts)
@@ -104,6 +110,7 @@ def rank_table(counts: DataFrame, keys: Iterable[str] = (), value: str = "value"
         *key_columns,
         ref(value),
         "count",
+        *[ref(c) for c in carry],
         (F.col("_before") + F.col("_rows_before")).alias("before"),
         (F.col("_dense") + F.col("_values_before")).alias("dense"),
         "total",
