@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.kinds import number, ref
+from tablewright.functions.kinds import kind_of, number, ref
 from tablewright.session import BROADCAST_ROWS, broadcast_if_small, held
 
 # Distinct values per bucket aimed at, and the most buckets made.
@@ -143,7 +143,10 @@ def attach(df: DataFrame, on: str, table: DataFrame, wanted: str, name: str) ->
         F.col(wanted).alias(name),
         (F.col("count") > F.col("total") * HEAVY_SHARE).alias("_heavy"),
     )
-    key = ref(on).cast("double") + F.lit(0.0)
+    if kind_of(df.schema[on].dataType) == "numeric":
+        key, blank = ref(on).cast("double") + F.lit(0.0), F.lit(0.0)
+    else:
+        key, blank = ref(on), F.lit("")
     if rows <= BROADCAST_ROWS:
         small = F.broadcast(lookup.drop("_heavy"))
         return df.join(small, key == F.col("_v"), "left").drop("_v")
@@ -160,7 +163,7 @@ def attach(df: DataFrame, on: str, table: DataFrame, wanted: str, name: str) ->
     )
     found = marked.join(
         tail,
-        (F.coalesce(key, F.lit(0.0)) == F.col("_v")) & (F.col("_s") == F.col("_t")),
+        (F.coalesce(key, blank) == F.col("_v")) & (F.col("_s") == F.col("_t")),
         "left",
     )
     return found.withColumn(name, F.coalesce(F.col("_hit"), F.col(name))).drop(

@@ -44,12 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+_held: list[DataFrame] = []
+
+
 def held(df: DataFrame) -> DataFrame:
-    """Keep a frame that several passes read.
+    """Keep a frame that several passes read, until :func:`release`.
 
     Lineage stays, so a lost executor only costs recomputation.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drop every frame kept by the operators, once their results are written."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
