@@ -548,7 +548,19 @@ def d26_profile(spark, sf_dir):
     return tidy(profile_metrics(parts), 2)
 
 
-@register("d26_profile_outliers", None)
+@register(
+    "d26_profile_outliers",
+    " UNION ALL ".join(
+        f"SELECT event_id, '{c}' AS \"column\", '{m}' AS method, {rd(c)} AS value FROM events, "
+        f"(SELECT avg({c}) AS m, stddev_pop({c}) AS s, quantile_cont({c}, 0.25) AS a, "
+        f"quantile_cont({c}, 0.75) AS b FROM events) WHERE {rule}"
+        for c in ("event_id", "user_id", "value")
+        for m, rule in (
+            ("zscore", f"abs(({c} - m) / s) > 3"),
+            ("iqr", f"{c} < a - 1.5*(b-a) OR {c} > b + 1.5*(b-a)"),
+        )
+    ),
+)
 def d26_profile_outliers(spark, sf_dir):
     parts = profiling.profile(table(spark, sf_dir, "events"), "event_id")
     return tidy(parts["outliers"])

@@ -54,13 +54,19 @@ def fill_missing(df: DataFrame, values: Mapping[str, object] | None = None) -> D
     A column of nulls only has neither and stays as it is.
     """
     values = dict(values or {})
-    open_columns = [f for f in df.schema.fields if f.name not in values]
-    numeric = [f.name for f in open_columns if kind_of(f.dataType) == "numeric"]
-    others = [f.name for f in open_columns if kind_of(f.dataType) != "numeric"]
-    fills = {**values, **column_means(df, numeric)}
-    if others:
-        gaps = scalars(df, {c: F.count_if(ref(c).isNull()) for c in others})
-        fills |= mode_values(df, [c for c in others if gaps[c]]) if any(gaps.values()) else {}
+    open_columns = {f.name: f.dataType for f in df.schema.fields if f.name not in values}
+    if not open_columns:
+        return fill_values(df, values)
+    facts = {}
+    for name, dtype in open_columns.items():
+        facts[name, "gaps"] = F.count_if(present(df, name).isNull())
+        if kind_of(dtype) == "numeric":
+            facts[name, "mean"] = F.avg(number(df, name))
+    found = scalars(df, facts)
+    gaps = [name for name in open_columns if found[name, "gaps"]]
+    means = {n: found[n, "mean"] for n in gaps if (n, "mean") in found}
+    others = [n for n in gaps if n not in means]
+    fills = {**values, **means, **(mode_values(df, others) if others else {})}
     return fill_values(df, {c: v for c, v in fills.items() if v is not None})
 
 
