@@ -22,7 +22,7 @@ def _run(spark, stream):
 
 
 _SUMMARY = (
-    f"{rd('max_by(value, (ts, event_id))')} AS current, {rd('avg(value)')} AS average, "
+    f"{rd('max_by(value, (ts, event_id))')} AS current, {rd('avg(value)', 8)} AS average, "
     f"{rd('max(value)')} AS maximum, {rd('min(value)')} AS minimum"
 )
 
@@ -36,13 +36,13 @@ def _latest(n):
 
 @register("g1_metric_summary", _latest(1000))
 def g1_metric_summary(spark, sf_dir):
-    return tidy(monitor.metric_summary(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id"))
+    return tidy(monitor.metric_summary(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id"), average=8)
 
 
 @register("g1_metric_summary_long", _latest(1500))
 def g1_metric_summary_long(spark, sf_dir):
     df = table(spark, sf_dir, "events")
-    return tidy(monitor.metric_summary(df, "event_type", "value", "ts", "event_id", 1500))
+    return tidy(monitor.metric_summary(df, "event_type", "value", "ts", "event_id", 1500), average=8)
 
 
 _WINDOWS = (
@@ -55,13 +55,13 @@ _FINAL = " HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SEL
 
 @register("g1_metric_windows", _WINDOWS)
 def g1_metric_windows(spark, sf_dir):
-    return tidy(monitor.metric_windows(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id", "1 hour"))
+    return tidy(monitor.metric_windows(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id", "1 hour"), average=8)
 
 
 @register("g1_metric_windows_stream", _WINDOWS + _FINAL)
 def g1_metric_windows_stream(spark, sf_dir):
     stream = _stream(spark, sf_dir)
-    return tidy(_run(spark, monitor.metric_windows(stream, "event_type", "value", "ts", "event_id", "1 hour", "10 minutes")))
+    return tidy(_run(spark, monitor.metric_windows(stream, "event_type", "value", "ts", "event_id", "1 hour", "10 minutes")), average=8)
 
 
 _ERRORS = "json_extract_string(props, '$.k')"
@@ -185,9 +185,9 @@ def g6_report(spark, sf_dir):
 
 @register(
     "g7_call_ledger",
-    f"SELECT user_id AS function, count(*) AS calls, {rd('avg(value)')} AS average_seconds, {rd('max(value)')} AS longest_seconds, "
+    f"SELECT user_id AS function, count(*) AS calls, {rd('avg(value)', 8)} AS average_seconds, {rd('max(value)')} AS longest_seconds, "
     "count_if(event_type = 'error')::BIGINT AS failures FROM events GROUP BY user_id",
 )
 def g7_call_ledger(spark, sf_dir):
     df = table(spark, sf_dir, "events")
-    return tidy(monitor.call_ledger(df, "user_id", "value", df["event_type"] != "error"))
+    return tidy(monitor.call_ledger(df, "user_id", "value", df["event_type"] != "error"), average_seconds=8)

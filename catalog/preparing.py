@@ -76,8 +76,9 @@ SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE value END AS value,
 """
 
 
-@register("e4_impute_nearest_events", nearest_sql(as_cte(_KNN_EVENTS), "event_id", "value", ["user_id", "phase"]))
+@register("e4_impute_nearest_events")
 def e4_impute_nearest_events(spark, sf_dir):
+    # no SQL: it would pair every query with every donor; a brute-force test covers it
     return tidy(nearest_fill(derived(spark, sf_dir, _KNN_EVENTS), ["value", "user_id", "phase"]))
 
 

@@ -23,8 +23,13 @@ from tablewright.session import held
 METHODS = ("pearson", "spearman")
 HIGH_CORRELATION = 0.9
 
-# Up to this many columns the pair aggregates run as native expressions.
-NATIVE_COLUMNS = 16
+# Up to this many pairs the aggregates run as native expressions; more would
+# overflow the generated code, and are summed as matrix products.
+NATIVE_PAIRS = 10
+# Up to this many columns the matrix is put together on the driver.
+DRIVER_COLUMNS = 200
+
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 SCHEMA = "method string, column_a string, column_b string, correlation double"
 
@@ -39,16 +44,37 @@ def _ratio(cov: float | None, var_x: float | None, var_y: float | None) -> float
 def _pair_correlations(
     df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]]
 ) -> dict[tuple[str, str], float | None]:
-    """Correlation of expression pairs; rows with either side null are skipped.
-
-    One scan when the pairs have their nulls on the same rows, else a second
-    one for the variances of the pairs that do not.
-    """
-    sides: dict[str, Column] = {}
+    """Correlation of expression pairs; rows with either side null are skipped."""
     names: dict[tuple[str, str], tuple[str, str]] = {}
+    sides: dict[str, Column] = {}
     for key, (x, y) in pairs.items():
         names[key] = (str(x), str(y))
         sides[str(x)], sides[str(y)] = x, y
+    if len(pairs) <= NATIVE_PAIRS:
+        return _native_pairs(df, pairs, names, sides)
+    order = list(sides)
+    labels = [f"_{i}" for i in range(len(order))]
+    table = df.select(*[sides[text].alias(label) for text, label in zip(order, labels)])
+    places = {key: (order.index(x), order.index(y)) for key, (x, y) in names.items()}
+    sums = _pair_sums(table, labels, sorted(set(places.values())))
+    found = {(r["i"], r["j"]): r for r in sums.collect()}  # one row per pair
+    result = {}
+    for key, place in places.items():
+        r = found.get(place)
+        result[key] = None
+        if r is not None and r["n"] > 0:
+            n, sx, sy = r["n"], r["sx"], r["sy"]
+            cov, var_x, var_y = r["sxy"] - sx * sy / n, r["sxx"] - sx * sx / n, r["syy"] - sy * sy / n
+            # below rounding of the sums there is no spread
+            floor = 1e-13
+            if var_x > floor * r["sxx"] and var_y > floor * r["syy"]:
+                result[key] = _ratio(cov, var_x, var_y)
+    return result
+
+
+def _native_pairs(df, pairs, names, sides) -> dict:
+    """Few pairs as native aggregates: one scan when the pairs have their nulls on
+    the same rows, else a second one for the variances of the pairs that do not."""
     first = {}
     for text, c in sides.items():
         first[text, "n"] = F.count(c)
@@ -72,6 +98,45 @@ def _pair_correlations(
     return result
 
 
+def _pair_sums(table: DataFrame, columns: list[str], pairs: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy)`` of column pairs around the column means.
+
+    Each task multiplies its rows as matrices and sends one row per pair,
+    whatever the number of rows it saw; Spark adds the parts.
+    """
+    means = scalars(table, {c: F.avg(ref(c)) for c in columns})
+    centre = [means[c] or 0.0 for c in columns]
+    k = len(columns)
+
+    def multiply(batches):
+        import numpy as np
+        import pandas as pd
+
+        i, j = np.triu_indices(k) if pairs is None else np.array(pairs, dtype="int64").reshape(-1, 2).T
+        dense = pairs is None or 4 * len(pairs) >= k * k
+        totals = np.zeros((6, len(i)))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64") - centre
+            seen = ~np.isnan(x)
+            x = np.where(seen, x, 0.0)
+            mask = seen.astype("float64")
+            square = x * x
+            if dense:
+                n, sx, sxx, sxy = mask.T @ mask, x.T @ mask, square.T @ mask, x.T @ x
+                totals += [n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+            else:
+                for at, (a, b) in enumerate(zip(i, j)):
+                    ma, mb = mask[:, a], mask[:, b]
+                    totals[:, at] += [
+                        ma @ mb, x[:, a] @ mb, x[:, b] @ ma, square[:, a] @ mb, square[:, b] @ ma, x[:, a] @ x[:, b]
+                    ]
+        yield pd.DataFrame({"i": i, "j": j, **dict(zip(_SUMS, totals))})
+
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
+    parts = table.select(*[ref(c).cast("double").alias(c) for c in columns]).mapInPandas(multiply, schema)
+    return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+
+
 def _square(spark, method: str, columns: list[str], values: dict) -> DataFrame:
     rows = []
     for a in columns:
@@ -87,59 +152,28 @@ def _upper(columns: list[str]) -> list[tuple[str, str]]:
 
 def pearson(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else list(columns)
-    if len(columns) > NATIVE_COLUMNS:
+    if len(columns) > DRIVER_COLUMNS:
         return _pearson_blocks(df, columns)
     pairs = {(a, b): (number(df, a), number(df, b)) for a, b in _upper(columns)}
     return _square(df.sparkSession, "pearson", columns, _pair_correlations(df, pairs))
 
 
 def _pearson_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Many columns: each task multiplies its rows as a matrix, Spark adds the parts.
-
-    A task sends one row per column pair, whatever the number of rows it saw.
-    """
-    means = scalars(df, {c: F.avg(number(df, c)) for c in columns})
-    centre = [means[c] or 0.0 for c in columns]
-    k = len(columns)
-
-    def multiply(batches):
-        import numpy as np
-        import pandas as pd
-
-        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
-        for batch in batches:
-            x = batch.to_numpy(dtype="float64") - centre
-            seen = ~np.isnan(x)
-            x = np.where(seen, x, 0.0)
-            mask = seen.astype("float64")
-            n += mask.T @ mask
-            sx += x.T @ mask
-            sxx += (x * x).T @ mask
-            sxy += x.T @ x
-        i, j = np.triu_indices(k)
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i],
-                "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j],
-            }
-        )
-
-    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    parts = df.select(*[number(df, c).alias(c) for c in columns]).mapInPandas(
-        multiply, "i int, j int, " + ", ".join(f"{s} double" for s in sums)
-    )
-    total = parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    """Very many columns: the matrix itself stays on the executors."""
+    total = _pair_sums(df.select(*[number(df, c).alias(c) for c in columns]), columns)
     cov = F.expr("sxy - try_divide(sx * sy, n)")
-    spread = F.expr("(sxx - try_divide(sx * sx, n)) * (syy - try_divide(sy * sy, n))")
-    r = F.try_divide(cov, F.sqrt(F.when(spread > 0, spread)))
+    var_x, var_y = F.expr("sxx - try_divide(sx * sx, n)"), F.expr("syy - try_divide(sy * sy, n)")
+    spread = (var_x > F.lit(1e-13) * F.col("sxx")) & (var_y > F.lit(1e-13) * F.col("syy"))
+    r = F.when(spread, cov / F.sqrt(F.when(spread, var_x * var_y).otherwise(1.0)))
     labels = F.array(*[F.lit(c) for c in columns])
-    half = total.select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    half = total.select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("bounded"), r.alias("r"))
+    half = half.select("i", "j", F.when(F.col("r").isNotNull(), F.col("bounded")).alias("r"))
     mirrored = half.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r")
     return half.unionByName(mirrored).select(
         F.lit("pearson").alias("method"),
         labels[F.col("i")].alias("column_a"),
         labels[F.col("j")].alias("column_b"),
-        F.when(~F.isnan("r"), F.col("r")).alias("correlation"),
+        F.col("r").alias("correlation"),
     )
 
 

@@ -143,44 +143,73 @@ def nearest_fill(
         F.array(*[F.min(F.col("f")[i]) for i in range(d)]).alias("low"),
         F.array(*[F.max(F.col("f")[i]) for i in range(d)]).alias("high"),
     )
-    rows = corners.collect()  # one row per box
-    box_ids = np.array([r["box"] for r in rows], dtype="int64")
-    lows = np.array([r["low"] for r in rows], dtype="float64").reshape(-1, d)
-    highs = np.array([r["high"] for r in rows], dtype="float64").reshape(-1, d)
-    has = ~np.isnan(lows)
-
-    def bounds(vector):
-        """Squared distance from a query to every box, infinite if not comparable."""
-        shared = has & ~np.isnan(vector)
-        gap = np.maximum(np.maximum(lows - vector, vector - highs), 0.0)
-        near = np.where(shared, gap * gap, 0.0).sum(axis=1)
-        n = shared.sum(axis=1)
-        return np.where(n > 0, near * d / np.maximum(n, 1), np.inf)
+    # one row per box
+    corner = {
+        r["box"]: (np.array(r["low"], dtype="float64"), np.array(r["high"], dtype="float64"))
+        for r in corners.collect()
+    }
+
+    def by_case(vectors, targets):
+        """Rows with the same gaps that ask for the same feature."""
+        masks = np.isnan(vectors) @ (1 << np.arange(d))
+        for mask in np.unique(masks):
+            for target in np.unique(targets[masks == mask]):
+                yield (1 << d) - 1 - int(mask), int(target), np.flatnonzero((masks == mask) & (targets == target))
+
+    def comparable(q, target):
+        return [p for p in trees if p >> target & 1 and p & q]
+
+    def at_home(vectors, targets):
+        """One box per row: where the row falls in the largest fitting pattern."""
+        for q, target, rows in by_case(vectors, targets):
+            patterns = comparable(q, target)
+            if patterns:
+                p = max(patterns, key=lambda p: (sizes[p], p))
+                dims, nodes = trees[p]
+                yield rows, first_box[p] + _leaf_of(vectors[np.ix_(rows, dims)], nodes)
+
+    def in_reach(vectors, targets, radius):
+        """Every box that comes as near as the radius, found down the cuts."""
+        for q, target, rows in by_case(vectors, targets):
+            for p in comparable(q, target):
+                dims, nodes = trees[p]
+                scale = d / bin(p & q).count("1")
+                stack = [(0, rows, np.zeros((len(rows), len(dims))))]
+                while stack:
+                    place, at_node, offsets = stack.pop()
+                    dim, at, left, right = nodes[place]
+                    if dim < 0:
+                        box = first_box[p] + int(at)
+                        if box in corner:
+                            low, high = corner[box]
+                            v = vectors[at_node]
+                            gap = np.nan_to_num(np.maximum(np.maximum(low - v, v - high), 0.0))
+                            near = (gap * gap).sum(axis=1) * scale <= radius[at_node]
+                            yield at_node[near], np.full(near.sum(), box)
+                        continue
+                    beyond = np.nan_to_num(vectors[at_node, dims[dim]] - at)
+                    for child, away in ((left, np.maximum(beyond, 0.0)), (right, np.maximum(-beyond, 0.0))):
+                        moved = offsets.copy()
+                        moved[:, dim] = np.maximum(moved[:, dim], away)
+                        near = (moved * moved).sum(axis=1) * scale <= radius[at_node]
+                        if near.any():
+                            stack.append((child, at_node[near], moved[near]))
 
     def route(first: bool):
         def run(batches):
             for batch in batches:
-                out = {"box": [], "loc": [], "f": [], "target": []}
-                targets = None if first else batch["target"].to_numpy()
-                radius = None if first else batch["radius"].to_numpy(dtype="float64")
-                for row, (loc, f) in enumerate(zip(batch["loc"], batch["f"])):
-                    vector = np.array(f, dtype="float64")
-                    near = bounds(vector)
-                    wanted = np.flatnonzero(np.isnan(vector)) if first else [targets[row]]
-                    for target in wanted:
-                        able = np.where(has[:, target], near, np.inf)
-                        if first:
-                            at = int(np.argmin(able)) if len(able) else 0
-                            hit = [at] if len(able) and np.isfinite(able[at]) else []
-                        else:
-                            reach = np.inf if np.isnan(radius[row]) else radius[row] * (1 + 1e-9)
-                            hit = np.flatnonzero(np.isfinite(able) & (able <= reach))
-                        for at in hit:
-                            out["box"].append(box_ids[at])
-                            out["loc"].append(loc)
-                            out["f"].append(f)
-                            out["target"].append(int(target))
-                yield pd.DataFrame(out)
+                vectors = np.array(batch["f"].tolist(), dtype="float64").reshape(-1, d)
+                targets = batch["target"].to_numpy()
+                if first:
+                    hits = at_home(vectors, targets)
+                else:
+                    radius = batch["radius"].to_numpy(dtype="float64")
+                    radius = np.where(np.isnan(radius), np.inf, radius * (1 + 1e-9))
+                    hits = in_reach(vectors, targets, radius)
+                for rows, boxes in hits:
+                    yield batch.iloc[rows][["loc", "f", "target"]].assign(box=boxes)[
+                        ["box", "loc", "f", "target"]
+                    ]
 
         return run
 
@@ -239,7 +268,9 @@ def nearest_fill(
     order = Window.partitionBy("loc", "target").orderBy("distance", "value")
     earlier = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    home = held(visit(held(queries.select("loc", "f").mapInPandas(route(True), routed_schema))))
+    gaps_of = F.filter(F.transform("f", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+    asked = queries.select("loc", "f", F.explode(gaps_of).alias("target"))
+    home = held(visit(held(asked.mapInPandas(route(True), routed_schema))))
     # distance of the k-th donor in the home box; none when it has fewer
     radius = (
         home.withColumn("_before", earlier)
@@ -250,11 +281,7 @@ def nearest_fill(
         )
         .select("loc", "target", F.when(F.col("found") >= k, F.col("radius")).alias("radius"))
     )
-    asked = queries.select(
-        "loc", "f", F.explode(F.filter(
-            F.transform("f", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull()
-        )).alias("target")
-    ).join(radius, ["loc", "target"], "left")
+    asked = asked.join(radius, ["loc", "target"], "left")
     if total > 1:
         routed = held(
             asked.select("loc", "f", "target", "radius").mapInPandas(route(False), routed_schema)
