@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import ChartError
 from tablewright.functions.kinds import number, ref
 from tablewright.operators.correlate import correlation_matrix, pearson
-from tablewright.operators.fused import scalars
+from tablewright.operators.fused import scalars, unpivoted
 from tablewright.operators.histogram import histogram
 from tablewright.operators.ranking import grouped_quantiles
 from tablewright.session import BROADCAST_ROWS, broadcast_if_small
@@ -56,8 +56,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
 def lines(df: DataFrame, x: str, y: str | Iterable[str]) -> DataFrame:
     """``(x, series, value)``: mean of each y column at every x, in order of x."""
     names = [y] if isinstance(y, str) else list(y)
-    cells = df.select(ref(x).alias("x"), *[number(df, n).alias(n) for n in names])
-    long = cells.unpivot(["x"], names, "series", "value")
+    long = unpivoted(df, {n: number(df, n) for n in names}, [x], "series").withColumnRenamed(x, "x")
     return long.groupBy("x", "series").agg(F.avg("value").alias("value")).orderBy("x", "series")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import ProfileError
 from tablewright.functions.kinds import number, numeric_columns, ref
-from tablewright.operators.fused import scalars
+from tablewright.operators.fused import scalars, unpivoted
 from tablewright.operators.ranking import attach, rank_table
 from tablewright.session import held
 
@@ -183,16 +183,15 @@ def with_ranks(
     """Add average ranks: ``{name: (column, other)}`` ranks ``column`` over the
     rows where ``other`` is present too."""
     labels = list(specs)
-    cells = []
+    cells = {}
     for label in labels:
         column, other = specs[label]
         c = number(df, column) + F.lit(0.0)
         if other is not None:
             c = F.when(number(df, other).isNotNull(), c)
-        cells.append(c.alias(label))
+        cells[label] = c
     counts = (
-        df.select(*cells)
-        .unpivot([], labels, "spec", "value")
+        unpivoted(df, cells, label="spec")
         .filter(F.col("value").isNotNull())
         .groupBy("spec", "value")
         .agg(F.count(F.lit(1)).alias("count"))

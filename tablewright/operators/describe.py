@@ -17,7 +17,7 @@ from tablewright.functions.kinds import (
     present,
     ref,
 )
-from tablewright.operators.fused import per_column
+from tablewright.operators.fused import per_column, unpivoted
 from tablewright.operators.frequencies import modes
 from tablewright.operators.quantiles import PowerSums, quantiles_and_powers
 from tablewright.operators.ranking import grouped_quantiles
@@ -109,9 +109,7 @@ def describe(
         },
         group_by,
     )
-    long = df.select(
-        *[ref(g) for g in group_by], *[number(df, n).alias(n) for n in columns]
-    ).unpivot(group_by, columns, "column", "value")
+    long = unpivoted(df, {n: number(df, n) for n in columns}, group_by)
     quartiles = grouped_quantiles(
         long, "value", QUARTILES, [*group_by, "column"], ["q25", "q50", "q75"]
     ).drop("n")

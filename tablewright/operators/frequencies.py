@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.kinds import FLOATING, INTEGRAL, nan_to_null, ref
+from tablewright.operators.fused import per_column, unpivoted
 
 
 def _family(dtype: T.DataType) -> str:
@@ -48,9 +49,8 @@ def typed_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[Da
         families.setdefault(_family(df.schema[name].dataType), []).append(name)
     tables = []
     for family, names in families.items():
-        projected = df.select(*[_comparable(ref(n), family).alias(n) for n in names])
         tables.append(
-            projected.unpivot([], names, "column", "value")
+            unpivoted(df, {n: _comparable(ref(n), family) for n in names})
             .filter(F.col("value").isNotNull())
             .groupBy("column", "value")
             .agg(F.count(F.lit(1)).alias("count"))
@@ -130,8 +130,6 @@ def distinct_counts(
     """``(column, distinct_count, distinct_percent)``; nulls are no value."""
     names = df.columns if columns is None else list(columns)
     if approximate:
-        from tablewright.operators.fused import per_column
-
         out = per_column(
             df, names, {"distinct_count": lambda c: F.approx_count_distinct(ref(c))}
         )

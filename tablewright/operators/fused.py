@@ -51,9 +51,21 @@ def scalars(df: DataFrame, expressions: Mapping[object, Column]) -> dict:
     return dict(zip(keys, row))
 
 
+def unpivoted(
+    df: DataFrame, cells: Mapping[str, Column], keys: Iterable[str] = (), label: str = "column"
+) -> DataFrame:
+    """``(keys..., label, value)``: one row per row and cell; cells share a type.
+
+    Works for any column name, which Spark's own unpivot does not.
+    """
+    names = F.array(*[F.lit(n) for n in cells])
+    long = df.select(
+        *[ref(k) for k in keys], F.posexplode(F.array(*cells.values())).alias("_cell", "value")
+    )
+    return long.select(*[ref(k) for k in keys], names[F.col("_cell")].alias(label), "value")
+
+
 def to_metrics(df: DataFrame, key: str = "column") -> DataFrame:
     """Long form ``(column, metric, value)`` of a per-column result."""
-    metrics = [c for c in df.columns if c != key]
-    return df.select(
-        ref(key), *[ref(m).cast("double").alias(m) for m in metrics]
-    ).unpivot([key], metrics, "metric", "value")
+    cells = {m: ref(m).cast("double") for m in df.columns if m != key}
+    return unpivoted(df, cells, [key], "metric")

@@ -227,6 +227,8 @@ def _settle(
     Returns power sums of the columns in ``centres`` when the first round was
     small enough to fetch.
     """
+    # a settled target still takes a few rows
+    fetch_rows = max(fetch_rows, 16 * len(targets))
     powers = None
     for attempt in range(64):
         open_targets = [t for t in targets if t.value is None]
