@@ -17,7 +17,7 @@ from tablewright.functions.kinds import (
     present,
     ref,
 )
-from tablewright.operators.fused import per_column, unpivoted
+from tablewright.operators.fused import numeric_metrics, per_column, unpivoted
 from tablewright.operators.frequencies import modes
 from tablewright.operators.quantiles import PowerSums, quantiles_and_powers
 from tablewright.operators.ranking import grouped_quantiles
@@ -97,16 +97,10 @@ def describe(
         metrics = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
         return summary.frame(df.sparkSession, _DESCRIBE_SCHEMA, metrics)
     columns = [c for c in columns if c not in group_by]
-    basics = per_column(
+    basics = _numeric(
         df,
+        {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max},
         columns,
-        {
-            "count": lambda n: F.count(number(df, n)),
-            "mean": lambda n: F.avg(number(df, n)),
-            "std": lambda n: F.stddev_samp(number(df, n)),
-            "min": lambda n: F.min(number(df, n)),
-            "max": lambda n: F.max(number(df, n)),
-        },
         group_by,
     )
     long = unpivoted(df, {n: number(df, n) for n in columns}, group_by)
@@ -121,38 +115,30 @@ def describe(
     )
 
 
+def _numeric(df: DataFrame, metrics, columns, group_by) -> DataFrame:
+    names = numeric_columns(df) if columns is None else list(columns)
+    return numeric_metrics(df, {n: number(df, n) for n in names}, metrics, group_by)
+
+
 def skewness(df: DataFrame, columns=None, group_by=()) -> DataFrame:
-    columns = numeric_columns(df) if columns is None else list(columns)
-    metric = {"skewness": lambda n: moments.corrected_skewness(number(df, n))}
-    return per_column(df, columns, metric, group_by)
+    return _numeric(df, {"skewness": moments.corrected_skewness}, columns, group_by)
 
 
 def kurtosis(df: DataFrame, columns=None, group_by=()) -> DataFrame:
-    columns = numeric_columns(df) if columns is None else list(columns)
-    metric = {"kurtosis": lambda n: moments.corrected_kurtosis(number(df, n))}
-    return per_column(df, columns, metric, group_by)
+    return _numeric(df, {"kurtosis": moments.corrected_kurtosis}, columns, group_by)
 
 
 def spans(df: DataFrame, columns=None, group_by=()) -> DataFrame:
     """Maximum minus minimum."""
-    columns = numeric_columns(df) if columns is None else list(columns)
-    metric = {"range": lambda n: F.max(number(df, n)) - F.min(number(df, n))}
-    return per_column(df, columns, metric, group_by)
+    return _numeric(df, {"range": lambda c: F.max(c) - F.min(c)}, columns, group_by)
 
 
 def variation(df: DataFrame, columns=None, group_by=()) -> DataFrame:
-    columns = numeric_columns(df) if columns is None else list(columns)
-    metric = {"coefficient_variation": lambda n: moments.variation(number(df, n))}
-    return per_column(df, columns, metric, group_by)
+    return _numeric(df, {"coefficient_variation": moments.variation}, columns, group_by)
 
 
 def extremes(df: DataFrame, columns=None, group_by=()) -> DataFrame:
-    columns = numeric_columns(df) if columns is None else list(columns)
-    metrics = {
-        "min": lambda n: F.min(number(df, n)),
-        "max": lambda n: F.max(number(df, n)),
-    }
-    return per_column(df, columns, metrics, group_by)
+    return _numeric(df, {"min": F.min, "max": F.max}, columns, group_by)
 
 
 def interquartile_range(df: DataFrame, columns=None, group_by=()) -> DataFrame:
@@ -184,16 +170,7 @@ def distributions(df: DataFrame, columns=None, summary: NumericSummary | None =
 
 def normality_test(df: DataFrame, columns=None) -> DataFrame:
     """Omnibus normality statistic and p-value; null below 8 values."""
-    columns = numeric_columns(df) if columns is None else list(columns)
-    parts = per_column(
-        df,
-        columns,
-        {
-            "n": lambda c: F.count(number(df, c)),
-            "g1": lambda c: F.skewness(number(df, c)),
-            "g2": lambda c: F.kurtosis(number(df, c)),
-        },
-    )
+    parts = _numeric(df, {"n": F.count, "g1": F.skewness, "g2": F.kurtosis}, columns, ())
     statistic, p_value = moments.normality(F.col("n"), F.col("g1"), F.col("g2"))
     return parts.select("column", "n", statistic.alias("statistic"), p_value.alias("p_value"))
 

@@ -4,45 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.errors import PrepareError
 from tablewright.functions.kinds import ref
+from tablewright.operators.fused import unpivoted
 from tablewright.operators.ranking import attach, rank_table
 
 METHODS = ("onehot", "label", "ordinal")
 # Categories written into the expression; more are kept in a table and joined.
-INLINE_CATEGORIES = 1_000
-
-
-def category_counts(df: DataFrame, column: str) -> DataFrame:
-    return (
-        df.filter(ref(column).isNotNull())
-        .groupBy(ref(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+INLINE_CATEGORIES = 999
 
 
 def fit_categories(
     df: DataFrame, columns: Iterable[str], inline: int = INLINE_CATEGORIES
 ) -> tuple[dict[str, list[str] | None], dict[str, DataFrame]]:
-    """Sorted categories per column.
+    """Sorted categories per column, in one job for all columns.
 
     A column with more than ``inline`` categories gets a code table instead
     (``value, dense, ...``), ranked on the executors.
     """
-    lists: dict[str, list[str] | None] = {}
-    tables: dict[str, DataFrame] = {}
-    for name in columns:
-        counts = category_counts(df, name)
-        values = [r["value"] for r in counts.select("value").limit(inline + 1).collect()]
-        if len(values) <= inline:
-            # Spark orders text by its UTF-8 bytes
-            lists[name] = sorted(values, key=lambda v: v.encode())
-        else:
+    names = list(columns)
+    if not names:
+        return {}, {}
+    cells = {n: ref(n).cast("string") for n in names}
+    counts = (
+        unpivoted(df, cells)
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    # the smallest few of each column; the limit holds before the shuffle
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    found = counts.withColumn("place", place).filter(F.col("place") <= inline + 1)
+    lists: dict[str, list[str] | None] = {n: [] for n in names}
+    for r in sorted(found.collect(), key=lambda r: r["place"]):
+        lists[r["column"]].append(r["value"])
+    tables = {}
+    for name in names:
+        if len(lists[name]) > inline:
             lists[name] = None
-            tables[name] = rank_table(counts)
+            mine = counts.filter(F.col("column") == name).drop("column")
+            tables[name] = rank_table(mine)
     return lists, tables
 
 

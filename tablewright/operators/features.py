@@ -19,7 +19,12 @@ TRAIN_SIZE = 0.8
 SEED = 42
 CLUSTERS = 5
 FOLDS = 5
-FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30]}
+# (30 is the deepest tree; a node splits down to these rows a child)
+FOREST_GRID = {
+    "numTrees": [100, 200, 300],
+    "maxDepth": [10, 20, 30],
+    "minInstancesPerNode": [1, 3, 5],
+}
 
 
 def _product(df: DataFrame, names: Iterable[str]):
@@ -78,7 +83,7 @@ def regression_scores(df: DataFrame, features: Iterable[str], target: str) -> Da
     complete = df.na.drop("any", subset=[*names, target])
     pairs = {(f, target): (number(complete, f), number(complete, target)) for f in names}
     r = _pair_correlations(complete, pairs)
-    n = complete.count()
+    n = complete.select().count()
     rows = []
     for f in names:
         value = r[f, target]

@@ -44,6 +44,33 @@ def per_column(
     return wide.select(*[ref(g) for g in group_by], F.inline(F.array(*rows)))
 
 
+# Columns up to which numeric metrics are one wide aggregation. Beyond it the
+# generated code would grow past what the JVM compiles.
+WIDE_COLUMNS = 12
+
+
+def numeric_metrics(
+    df: DataFrame,
+    cells: Mapping[str, Column],
+    metrics: Mapping[str, Callable[[Column], Column]],
+    group_by: Iterable[str] = (),
+) -> DataFrame:
+    """``(group_by..., column, metric, ...)`` over cells of one type, in one scan."""
+    cells, group_by = dict(cells), list(group_by)
+    if len(cells) <= WIDE_COLUMNS:
+        by_name = {m: (lambda n, fn=fn: fn(cells[n])) for m, fn in metrics.items()}
+        return per_column(df, cells, by_name, group_by)
+    long = unpivoted(df, cells, group_by)
+    found = long.groupBy(*[ref(g) for g in group_by], "column").agg(
+        *[fn(F.col("value")).alias(m) for m, fn in metrics.items()]
+    )
+    if group_by:
+        return found
+    # an empty table has no cells, yet a row per column
+    every = df.sparkSession.createDataFrame([(n,) for n in cells], "column string")
+    return every.join(found, "column", "left")
+
+
 def scalars(df: DataFrame, expressions: Mapping[object, Column]) -> dict:
     """Evaluate named aggregates in one scan; the result is a handful of values."""
     keys = list(expressions)

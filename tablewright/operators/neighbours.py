@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import number, ref
 from tablewright.operators.fused import scalars
-from tablewright.session import held
+from tablewright.session import broadcast_if_small, held
 
 # Fixed value: neighbours averaged.
 NEIGHBOURS = 5
@@ -248,19 +248,17 @@ def nearest_fill(
 
     def visit(routed: DataFrame) -> DataFrame:
         # a box with many queries is copied and its queries spread over the copies
-        loads = routed.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()
-        copies = F.create_map(
-            *[x for r in loads for x in (F.lit(r["box"]), F.lit(-(-r["n"] // QUERY_ROWS)))]
-        ) if loads else F.create_map(F.lit(-1).cast("long"), F.lit(1))
-        copy = F.pmod(F.xxhash64("loc", "target"), copies[F.col("box")].cast("long"))
-        asked = routed.withColumn("copy", copy)
-        held_donors = boxed.withColumn("top", copies[F.col("box")]).filter("top IS NOT NULL")
-        held_donors = held_donors.select(
-            "box", "f", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long") - 1)).alias("copy")
+        loads = routed.groupBy("box").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(float(QUERY_ROWS))).cast("long").alias("copies")
         )
+        loads = broadcast_if_small(held(loads))  # one row per box
+        copy = F.pmod(F.xxhash64("loc", "target"), F.col("copies"))
+        asked_here = routed.join(loads, "box").withColumn("copy", copy).drop("copies")
+        copied = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+        donors_here = boxed.join(loads, "box").select("box", "f", "n", copied)
         return (
-            asked.groupBy("box", "copy")
-            .cogroup(held_donors.groupBy("box", "copy"))
+            asked_here.groupBy("box", "copy")
+            .cogroup(donors_here.groupBy("box", "copy"))
             .applyInPandas(answer, "loc string, target int, distance double, value double, n long")
         )
 

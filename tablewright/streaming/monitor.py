@@ -139,7 +139,7 @@ def _marks(df: DataFrame, operation: str, kind: str, start: str, end: str, ts: s
 
 
 def operation_durations(
-    df: DataFrame, operation: str, kind: str, start: str, end: str, ts: str, key: str, slice_by: str = "day"
+    df: DataFrame, operation: str, kind: str, start: str, end: str, ts: str, key: str, slice_by: str = "minute"
 ) -> DataFrame:
     """``(operation, started, ended, seconds)``: every end right after a start.
 
@@ -202,8 +202,8 @@ def track_operations(
     """Durations (``completed``) and overlong operations (``long_running``) of a stream.
 
     The state of an operation is the time of its open start. Marks are ordered
-    inside a micro-batch; marks that reach a later batch out of order are taken
-    as they arrive. An operation is reported overlong once, when event time
+    inside a micro-batch, whose size the source's ``maxFilesPerTrigger`` bounds;
+    marks that reach a later batch out of order are taken as they arrive. An operation is reported overlong once, when event time
     passes its start by the timeout.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
