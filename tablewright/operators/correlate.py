@@ -6,7 +6,7 @@ Every pair uses the rows where both columns are present.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 from itertools import combinations
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import ProfileError
 from tablewright.functions.kinds import number, numeric_columns, ref
-from tablewright.operators.fused import scalars, unpivoted
+from tablewright.operators import ranking
+from tablewright.operators.fused import counted, scalars
 from tablewright.operators.ranking import attach, rank_table
 from tablewright.session import held
 
@@ -29,6 +30,9 @@ NATIVE_PAIRS = 10
 # Up to this many columns the matrix is put together on the driver.
 DRIVER_COLUMNS = 200
 
+# A variance below this share of the sum of squares is rounding, not spread.
+ROUNDING = 1e-13
+
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 SCHEMA = "method string, column_a string, column_b string, correlation double"
@@ -55,8 +59,13 @@ def _pair_correlations(
     order = list(sides)
     labels = [f"_{i}" for i in range(len(order))]
     table = df.select(*[sides[text].alias(label) for text, label in zip(order, labels)])
+    means = scalars(table, {c: F.avg(ref(c)) for c in labels})
     places = {key: (order.index(x), order.index(y)) for key, (x, y) in names.items()}
-    sums = _pair_sums(table, labels, sorted(set(places.values())))
+    sums = _pair_sums(table, [means[c] or 0.0 for c in labels], sorted(set(places.values())))
+    return _from_sums(sums, places)
+
+
+def _from_sums(sums: DataFrame, places: dict[tuple[str, str], tuple[int, int]]) -> dict:
     found = {(r["i"], r["j"]): r for r in sums.collect()}  # one row per pair
     result = {}
     for key, place in places.items():
@@ -65,9 +74,7 @@ def _pair_correlations(
         if r is not None and r["n"] > 0:
             n, sx, sy = r["n"], r["sx"], r["sy"]
             cov, var_x, var_y = r["sxy"] - sx * sy / n, r["sxx"] - sx * sx / n, r["syy"] - sy * sy / n
-            # below rounding of the sums there is no spread
-            floor = 1e-13
-            if var_x > floor * r["sxx"] and var_y > floor * r["syy"]:
+            if var_x > ROUNDING * r["sxx"] and var_y > ROUNDING * r["syy"]:
                 result[key] = _ratio(cov, var_x, var_y)
     return result
 
@@ -98,15 +105,19 @@ def _native_pairs(df, pairs, names, sides) -> dict:
     return result
 
 
-def _pair_sums(table: DataFrame, columns: list[str], pairs: list[tuple[int, int]] | None = None) -> DataFrame:
-    """``(i, j, n, sx, sy, sxx, syy, sxy)`` of column pairs around the column means.
+def _pair_sums(
+    table: DataFrame,
+    centre: list[float],
+    pairs: list[tuple[int, int]] | None = None,
+    prepare: Callable | None = None,
+) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy)`` of column pairs around given centres.
 
     Each task multiplies its rows as matrices and sends one row per pair,
-    whatever the number of rows it saw; Spark adds the parts.
+    whatever the number of rows it saw; Spark adds the parts. ``prepare`` turns
+    the columns of a batch into the numbers to correlate.
     """
-    means = scalars(table, {c: F.avg(ref(c)) for c in columns})
-    centre = [means[c] or 0.0 for c in columns]
-    k = len(columns)
+    k = len(table.columns)
 
     def multiply(batches):
         import numpy as np
@@ -116,7 +127,8 @@ def _pair_sums(table: DataFrame, columns: list[str], pairs: list[tuple[int, int]
         dense = pairs is None or 4 * len(pairs) >= k * k
         totals = np.zeros((6, len(i)))
         for batch in batches:
-            x = batch.to_numpy(dtype="float64") - centre
+            x = batch.to_numpy(dtype="float64")
+            x = (x if prepare is None else prepare(x)) - centre
             seen = ~np.isnan(x)
             x = np.where(seen, x, 0.0)
             mask = seen.astype("float64")
@@ -133,7 +145,9 @@ def _pair_sums(table: DataFrame, columns: list[str], pairs: list[tuple[int, int]
         yield pd.DataFrame({"i": i, "j": j, **dict(zip(_SUMS, totals))})
 
     schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
-    parts = table.select(*[ref(c).cast("double").alias(c) for c in columns]).mapInPandas(multiply, schema)
+    parts = table.select(*[ref(c).cast("double").alias(c) for c in table.columns]).mapInPandas(
+        multiply, schema
+    )
     return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
 
 
@@ -160,10 +174,12 @@ def pearson(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
 
 def _pearson_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Very many columns: the matrix itself stays on the executors."""
-    total = _pair_sums(df.select(*[number(df, c).alias(c) for c in columns]), columns)
+    means = scalars(df, {c: F.avg(number(df, c)) for c in columns})
+    table = df.select(*[number(df, c).alias(f"_{i}") for i, c in enumerate(columns)])
+    total = _pair_sums(table, [means[c] or 0.0 for c in columns])
     cov = F.expr("sxy - try_divide(sx * sy, n)")
     var_x, var_y = F.expr("sxx - try_divide(sx * sx, n)"), F.expr("syy - try_divide(sy * sy, n)")
-    spread = (var_x > F.lit(1e-13) * F.col("sxx")) & (var_y > F.lit(1e-13) * F.col("syy"))
+    spread = (var_x > F.lit(ROUNDING) * F.col("sxx")) & (var_y > F.lit(ROUNDING) * F.col("syy"))
     r = F.when(spread, cov / F.sqrt(F.when(spread, var_x * var_y).otherwise(1.0)))
     labels = F.array(*[F.lit(c) for c in columns])
     half = total.select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("bounded"), r.alias("r"))
@@ -177,28 +193,22 @@ def _pearson_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def with_ranks(
-    df: DataFrame, specs: dict[str, tuple[str, str | None]]
-) -> DataFrame:
-    """Add average ranks: ``{name: (column, other)}`` ranks ``column`` over the
-    rows where ``other`` is present too."""
-    labels = list(specs)
-    cells = {}
-    for label in labels:
-        column, other = specs[label]
-        c = number(df, column) + F.lit(0.0)
-        if other is not None:
-            c = F.when(number(df, other).isNotNull(), c)
-        cells[label] = c
-    counts = (
-        unpivoted(df, cells, label="spec")
-        .filter(F.col("value").isNotNull())
-        .groupBy("spec", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    ranks = held(rank_table(counts, ["spec"]))
-    for label in labels:
-        column, other = specs[label]
+def _rank_cell(df: DataFrame, spec: tuple[str, str | None]) -> Column:
+    column, other = spec
+    c = number(df, column) + F.lit(0.0)
+    return c if other is None else F.when(number(df, other).isNotNull(), c)
+
+
+def spec_ranks(df: DataFrame, specs: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Rank tables by spec: ``(column, other)`` ranks ``column`` over the rows where
+    ``other`` is present too."""
+    counts = counted(df, {label: _rank_cell(df, spec) for label, spec in specs.items()}, "spec")
+    return held(rank_table(counts, ["spec"]))
+
+
+def with_ranks(df: DataFrame, specs: dict[str, tuple[str, str | None]], ranks: DataFrame) -> DataFrame:
+    """Add the average rank of every spec as a column, by joining the rank tables."""
+    for label, (column, other) in specs.items():
         table = ranks.filter(F.col("spec") == label)
         df = attach(df, column, table, "avg_rank", label)
         if other is not None:
@@ -206,6 +216,29 @@ def with_ranks(
     return df
 
 
+def _rank_lookup(labels: list[str], ranks: DataFrame) -> Callable:
+    """A function from values to average ranks, column by column.
+
+    For rank tables whose size was checked; they travel with the tasks.
+    """
+    import numpy as np
+
+    tables = ranks.select("spec", "value", "avg_rank").toPandas().sort_values(["spec", "value"])
+    lookup = {
+        labels.index(label): (part["value"].to_numpy(), part["avg_rank"].to_numpy())
+        for label, part in tables.groupby("spec")
+    }
+
+    def look_up(x):
+        out = np.full(x.shape, np.nan)
+        for column, (values, places) in lookup.items():
+            seen = ~np.isnan(x[:, column])
+            out[seen, column] = places[np.searchsorted(values, x[seen, column])]
+        return out
+
+    return look_up
+
+
 def spearman(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Pearson correlation of average ranks, ranked per pair on its complete rows."""
     columns = numeric_columns(df) if columns is None else list(columns)
@@ -221,9 +254,21 @@ def spearman(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
         return label
 
     names = {(a, b): (rank_name(a, b), rank_name(b, a)) for a, b in _upper(columns)}
-    ranked = with_ranks(plain, specs).select(*specs)
-    pairs = {key: (ref(x), ref(y)) for key, (x, y) in names.items()}
-    return _square(df.sparkSession, "spearman", columns, _pair_correlations(ranked, pairs))
+    ranks = spec_ranks(plain, specs)
+    size = ranks.groupBy("spec").agg(F.count(F.lit(1)).alias("values"), F.max("total").alias("rows"))
+    sizes = {r["spec"]: r for r in size.collect()}  # one row per spec
+    if sum(r["values"] for r in sizes.values()) <= ranking.BROADCAST_ROWS:
+        labels = list(specs)
+        cells = plain.select(*[_rank_cell(plain, specs[label]).alias(label) for label in labels])
+        centre = [(sizes[label]["rows"] + 1) / 2 if label in sizes else 0.0 for label in labels]
+        places = {key: (labels.index(x), labels.index(y)) for key, (x, y) in names.items()}
+        sums = _pair_sums(cells, centre, sorted(set(places.values())), _rank_lookup(labels, ranks))
+        values = _from_sums(sums, places)
+    else:
+        ranked = with_ranks(plain, specs, ranks).select(*specs)
+        pairs = {key: (ref(x), ref(y)) for key, (x, y) in names.items()}
+        values = _pair_correlations(ranked, pairs)
+    return _square(df.sparkSession, "spearman", columns, values)
 
 
 def _tied_pairs(count: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import PrepareError
 from tablewright.functions.kinds import ref
-from tablewright.operators.fused import unpivoted
+from tablewright.operators.fused import counted
 from tablewright.operators.ranking import attach, rank_table
 
 METHODS = ("onehot", "label", "ordinal")
@@ -29,12 +29,7 @@ def fit_categories(
     if not names:
         return {}, {}
     cells = {n: ref(n).cast("string") for n in names}
-    counts = (
-        unpivoted(df, cells)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counts = counted(df, cells)
     # the smallest few of each column; the limit holds before the shuffle
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     found = counts.withColumn("place", place).filter(F.col("place") <= inline + 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.kinds import FLOATING, INTEGRAL, nan_to_null, ref
-from tablewright.operators.fused import per_column, unpivoted
+from tablewright.operators.fused import counted, per_column
 
 
 def _family(dtype: T.DataType) -> str:
@@ -47,15 +47,10 @@ def typed_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[Da
     families: dict[str, list[str]] = {}
     for name in columns:
         families.setdefault(_family(df.schema[name].dataType), []).append(name)
-    tables = []
-    for family, names in families.items():
-        tables.append(
-            unpivoted(df, {n: _comparable(ref(n), family) for n in names})
-            .filter(F.col("value").isNotNull())
-            .groupBy("column", "value")
-            .agg(F.count(F.lit(1)).alias("count"))
-        )
-    return tables
+    return [
+        counted(df, {n: _comparable(ref(n), family) for n in names})
+        for family, names in families.items()
+    ]
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

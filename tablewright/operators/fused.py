@@ -92,6 +92,23 @@ def unpivoted(
     return long.select(*[ref(k) for k in keys], names[F.col("_cell")].alias(label), "value")
 
 
+def counted(
+    df: DataFrame, cells: Mapping[str, Column], label: str = "column"
+) -> DataFrame:
+    """``(label, value, count)`` of the non-missing values of cells of one type.
+
+    Rows are grouped by the number of the cell; its name is filled in afterwards.
+    """
+    names = F.array(*[F.lit(n) for n in cells])
+    return (
+        df.select(F.posexplode(F.array(*cells.values())).alias("_cell", "value"))
+        .filter(F.col("value").isNotNull())
+        .groupBy("_cell", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .select(names[F.col("_cell")].alias(label), "value", "count")
+    )
+
+
 def to_metrics(df: DataFrame, key: str = "column") -> DataFrame:
     """Long form ``(column, metric, value)`` of a per-column result."""
     cells = {m: ref(m).cast("double") for m in df.columns if m != key}

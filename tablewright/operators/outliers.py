@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def detect_outliers(
     if unknown:
         raise CleanError(f"unknown outlier methods: {sorted(unknown)}")
     summary = summary or NumericSummary(df, columns)
-    cells = []
+    cells, conditions = [], []
     for name in columns:
         v = summary[name]
         if not v["count"]:
@@ -54,6 +55,7 @@ def detect_outliers(
             else:
                 reach = FENCE * (v["q75"] - v["q25"])
                 outside = (c < F.lit(v["q25"] - reach)) | (c > F.lit(v["q75"] + reach))
+            conditions.append(outside)
             cells.append(
                 F.when(
                     outside,
@@ -70,7 +72,9 @@ def detect_outliers(
             "*", *[F.lit(None).cast(t).alias(n) for n, t in (("column", "string"), ("method", "string"), ("value", "double"))]
         )
     hits = F.filter(F.array(*cells), lambda cell: cell.isNotNull())
-    return df.select(*kept, F.inline(hits))
+    # few rows hold an outlier; only those are unfolded
+    some = reduce(lambda a, b: a | b, conditions)
+    return df.filter(some).select(*kept, F.inline(hits))
 
 
 def _within_deviations(df: DataFrame, name: str, threshold: float) -> Column | None:

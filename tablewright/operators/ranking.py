@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import kind_of, number, ref
-from tablewright.operators.fused import unpivoted
+from tablewright.operators.fused import counted
 from tablewright.session import BROADCAST_ROWS, broadcast_if_small, held
 
 # Distinct values per bucket aimed at, and the most buckets made.
@@ -121,12 +121,7 @@ def rank_table(
 def column_ranks(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``(column, value, count, before, dense, total, avg_rank)`` for numeric columns."""
     names = list(columns)
-    counts = (
-        unpivoted(df, {n: number(df, n) + F.lit(0.0) for n in names})
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counts = counted(df, {n: number(df, n) + F.lit(0.0) for n in names})
     return rank_table(counts, ["column"])
 
 
