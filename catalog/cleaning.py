@@ -393,7 +393,22 @@ def b1_clean_default(spark, sf_dir):
     return tidy(cleaning.clean(derived(spark, sf_dir, NULLS_TEXT)).table)
 
 
-# --- X6 to X11, H1 ------------------------------------------------------------------------------
+@register(
+    "x6_null_test",
+    as_cte(NULLS_TEXT)
+    + f"SELECT o_orderstatus, count_if(priority IS NULL)::BIGINT AS nulls, {rd('100.0 * count_if(priority IS NULL) / count(*)')} AS null_percent FROM t GROUP BY 1",
+)
+def x6_null_test(spark, sf_dir):
+    df = derived(spark, sf_dir, NULLS_TEXT)
+    return tidy(
+        df.groupBy("o_orderstatus").agg(
+            F.count_if(F.col("priority").isNull()).alias("nulls"),
+            F.avg(F.when(F.col("priority").isNull(), 100.0).otherwise(0.0)).alias("null_percent"),
+        )
+    )
+
+
+# --- X8 to X11, H1 ------------------------------------------------------------------------------
 
 
 @register(

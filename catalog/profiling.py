@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.base import (
     NULLS_NUMERIC, NULLS_PAIR, NULLS_TEXT, as_cte, big, derived, rd, register, scratch, table, tidy,
 )
-from tablewright.operators import correlate, describe, frequencies, histogram, outliers
+from tablewright.operators import correlate, describe, frequencies, histogram, outliers, ranking
 from tablewright.plans import profiling
 
 LINEITEM_NUMBERS = [
@@ -577,3 +577,26 @@ def d28_run_history(spark, sf_dir):
     for r in counts:
         profiling.record_run(spark, path, f"run-{r['event_type']}", {"rows": r["count"]})
     return spark.read.parquet(path).select("run_id", "configuration")
+
+
+# --- W3, W4 ----------------------------------------------------------------------
+
+
+@register(
+    "w3_average_rank",
+    "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS average_rank FROM orders",
+)
+def w3_average_rank(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    ranks = ranking.column_ranks(df, ["o_totalprice"])
+    out = ranking.attach(df, "o_totalprice", ranks, "avg_rank", "average_rank")
+    return tidy(out.select("o_orderkey", "average_rank"))
+
+
+@register(
+    "w4_value_counts",
+    "SELECT event_type AS value, count(*) AS \"count\" FROM events GROUP BY event_type ORDER BY 2 DESC, 1",
+)
+def w4_value_counts(spark, sf_dir):
+    counts = frequencies.value_counts(table(spark, sf_dir, "events"), ["event_type"])
+    return counts.select("value", "count").orderBy(F.desc("count"), "value")

@@ -276,3 +276,14 @@ def a18_inventory(spark, sf_dir):
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "suffix", "size", "size_text", "suffix_allowed", "size_allowed"
     )
+
+
+@register("u3_own_format", _ORDERS_SQL)
+def u3_own_format(spark, sf_dir):
+    readers.register_reader("orc", lambda spark, path, **options: spark.read.options(**options).orc(path))
+    writers.register_writer(
+        "orc", lambda df, path, compression, mode, **options: df.write.mode(mode).options(**options).orc(path)
+    )
+    path = scratch(spark, "orders") + ".orc"
+    writers.write_table(table(spark, sf_dir, "orders"), path, "orc")
+    return _orders(readers.read_table(spark, path))

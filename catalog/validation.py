@@ -355,3 +355,26 @@ def c17_clustering_input(spark, sf_dir):
 )
 def c18_training_input(spark, sf_dir):
     return C.training_facts(derived(spark, sf_dir, NULLS_NUMERIC), ["l_discount", "mostly_null"], "qty")
+
+
+@register(
+    "u2_own_checks",
+    "SELECT 'enough customers' AS case_name, CASE WHEN count(*) >= 10 THEN 'passed' ELSE 'too few' END AS outcome FROM customer "
+    "UNION ALL SELECT 'no debts', CASE WHEN count_if(c_acctbal < 0) = 0 THEN 'passed' ELSE 'debts found' END FROM customer",
+)
+def u2_own_checks(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+
+    def enough(t):
+        if t.limit(10).count() < 10:
+            raise CheckError("too few")
+
+    def no_debts(t):
+        if t.filter("c_acctbal < 0").limit(1).count():
+            raise CheckError("debts found")
+
+    rows = [
+        (name, outcome(spark, lambda test=test: df.transform(C.checked(test))))
+        for name, test in (("enough customers", enough), ("no debts", no_debts))
+    ]
+    return spark.createDataFrame(rows, "case_name string, outcome string")

@@ -229,6 +229,20 @@ def table_statistics(df: DataFrame, summary=None) -> DataFrame:
 # --- assertions --------------------------------------------------------------
 
 
+def checked(*tests: Callable[[DataFrame], object]) -> Callable[[DataFrame], DataFrame]:
+    """A step for ``DataFrame.transform`` that runs tests of one's own.
+
+    A test gets the table and raises to refuse it; the table passes unchanged.
+    """
+
+    def step(df: DataFrame) -> DataFrame:
+        for test in tests:
+            test(df)
+        return df
+
+    return step
+
+
 def assert_table(
     df: DataFrame,
     required_columns: Iterable[str] | None = None,

@@ -20,7 +20,7 @@ from tablewright.operators.fused import counted
 from tablewright.session import BROADCAST_ROWS, broadcast_if_small, held
 
 # Distinct values per bucket aimed at, and the most buckets made.
-BUCKET_VALUES = 250_000
+BUCKET_VALUES = 100_000
 MAX_BUCKETS = 4096
 # Distinct values looked at per bucket when bounds are chosen.
 BOUND_CANDIDATES = 16

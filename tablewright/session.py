@@ -8,6 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.errors import TablewrightError
+
 # Rows a side may have before it is no longer broadcast. Sides are narrow
 # (a key and one or two numbers), so this stays in the tens of megabytes.
 BROADCAST_ROWS = 1_000_000
@@ -32,16 +34,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a folder is made.
+    Where the setting is absent a folder is made on a single machine only; on a
+    cluster other machines could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise TablewrightError("set spark.checkpoint.dir to a folder all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    return context.getCheckpointDir()
 
 
 _held: list[DataFrame] = []
