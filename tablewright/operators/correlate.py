@@ -223,7 +223,8 @@ def _rank_lookup(labels: list[str], ranks: DataFrame) -> Callable:
     """
     import numpy as np
 
-    tables = ranks.select("spec", "value", "avg_rank").toPandas().sort_values(["spec", "value"])
+    tables = ranks.select("spec", "value", "avg_rank").toArrow().to_pandas()
+    tables = tables.sort_values(["spec", "value"])
     lookup = {
         labels.index(label): (part["value"].to_numpy(), part["avg_rank"].to_numpy())
         for label, part in tables.groupby("spec")

@@ -85,6 +85,10 @@ STEPS = {
 }
 
 
+# Steps that change values but never the number of rows.
+SAME_ROWS = {"fix_datatypes", "standardize_text", "fix_inconsistencies"}
+
+
 @dataclass
 class CleanResult:
     """The cleaned table with the table after every step, all still lazy."""
@@ -98,13 +102,15 @@ class CleanResult:
         """``(step, initial_rows, final_rows, rows_removed, step_removed)``.
 
         ``rows_removed`` counts from the start, ``step_removed`` from the step
-        before. One job counts every stage.
+        before. One job counts the steps that can drop rows.
         """
-        counts = _stage_counts([("", self.source), *self.stages])
-        initial = before = counts[0]
+        changing = [(name, df) for name, df in self.stages if name not in SAME_ROWS]
+        initial, *after = _stage_counts([self.source, *[df for _, df in changing]])
+        counts = dict(zip([name for name, _ in changing], after))
+        before = initial
         rows = []
         for position, (name, _) in enumerate(self.stages):
-            n = counts[position + 1]
+            n = counts.get(name, before)
             rows.append((position + 1, name, initial, n, initial - n, before - n))
             before = n
         return self.source.sparkSession.createDataFrame(
@@ -138,9 +144,9 @@ class CleanResult:
         )
 
 
-def _stage_counts(stages: list[tuple[str, DataFrame]]) -> list[int]:
+def _stage_counts(stages: list[DataFrame]) -> list[int]:
     union = None
-    for position, (_, df) in enumerate(stages):
+    for position, df in enumerate(stages):
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(position).alias("at"), "n")
         union = one if union is None else union.unionAll(one)
     found = {r["at"]: r["n"] for r in union.collect()}
