@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import ProfileError
 from tablewright.functions.kinds import number, numeric_columns, ref
-from tablewright.operators import ranking
 from tablewright.operators.fused import counted, scalars
 from tablewright.operators.ranking import attach, rank_table
 from tablewright.session import held
@@ -30,6 +29,10 @@ NATIVE_PAIRS = 10
 # Up to this many columns the matrix is put together on the driver.
 DRIVER_COLUMNS = 200
 
+# Rows looked at for the point that sums are taken from.
+CENTRE_ROWS = 10_000
+# Values of a rank table that may travel with the tasks, 16 bytes each.
+LOOKUP_VALUES = 4_000_000
 # A variance below this share of the sum of squares is rounding, not spread.
 ROUNDING = 1e-13
 
@@ -59,9 +62,8 @@ def _pair_correlations(
     order = list(sides)
     labels = [f"_{i}" for i in range(len(order))]
     table = df.select(*[sides[text].alias(label) for text, label in zip(order, labels)])
-    means = scalars(table, {c: F.avg(ref(c)) for c in labels})
     places = {key: (order.index(x), order.index(y)) for key, (x, y) in names.items()}
-    sums = _pair_sums(table, [means[c] or 0.0 for c in labels], sorted(set(places.values())))
+    sums = _pair_sums(table, _centres(table), sorted(set(places.values())))
     return _from_sums(sums, places)
 
 
@@ -105,6 +107,15 @@ def _native_pairs(df, pairs, names, sides) -> dict:
     return result
 
 
+def _centres(table: DataFrame) -> list[float]:
+    """A point among the values of each column, from some of its rows.
+
+    The sums are taken from it so that they stay small; any such point does.
+    """
+    means = scalars(table.limit(CENTRE_ROWS), {c: F.avg(ref(c)) for c in table.columns})
+    return [m if m is not None and math.isfinite(m) else 0.0 for m in means.values()]
+
+
 def _pair_sums(
     table: DataFrame,
     centre: list[float],
@@ -121,13 +132,14 @@ def _pair_sums(
 
     def multiply(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         i, j = np.triu_indices(k) if pairs is None else np.array(pairs, dtype="int64").reshape(-1, 2).T
         dense = pairs is None or 4 * len(pairs) >= k * k
         totals = np.zeros((6, len(i)))
         for batch in batches:
-            x = batch.to_numpy(dtype="float64")
+            # nulls arrive as NaN
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             x = (x if prepare is None else prepare(x)) - centre
             seen = ~np.isnan(x)
             x = np.where(seen, x, 0.0)
@@ -142,10 +154,11 @@ def _pair_sums(
                     totals[:, at] += [
                         ma @ mb, x[:, a] @ mb, x[:, b] @ ma, square[:, a] @ mb, square[:, b] @ ma, x[:, a] @ x[:, b]
                     ]
-        yield pd.DataFrame({"i": i, "j": j, **dict(zip(_SUMS, totals))})
+        places = {"i": i.astype("int32"), "j": j.astype("int32")}
+        yield pa.RecordBatch.from_pydict({**places, **dict(zip(_SUMS, totals))})
 
     schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
-    parts = table.select(*[ref(c).cast("double").alias(c) for c in table.columns]).mapInPandas(
+    parts = table.select(*[ref(c).cast("double").alias(c) for c in table.columns]).mapInArrow(
         multiply, schema
     )
     return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
@@ -174,9 +187,8 @@ def pearson(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
 
 def _pearson_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Very many columns: the matrix itself stays on the executors."""
-    means = scalars(df, {c: F.avg(number(df, c)) for c in columns})
     table = df.select(*[number(df, c).alias(f"_{i}") for i, c in enumerate(columns)])
-    total = _pair_sums(table, [means[c] or 0.0 for c in columns])
+    total = _pair_sums(table, _centres(table))
     cov = F.expr("sxy - try_divide(sx * sy, n)")
     var_x, var_y = F.expr("sxx - try_divide(sx * sx, n)"), F.expr("syy - try_divide(sy * sy, n)")
     spread = (var_x > F.lit(ROUNDING) * F.col("sxx")) & (var_y > F.lit(ROUNDING) * F.col("syy"))
@@ -258,7 +270,7 @@ def spearman(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     ranks = spec_ranks(plain, specs)
     size = ranks.groupBy("spec").agg(F.count(F.lit(1)).alias("values"), F.max("total").alias("rows"))
     sizes = {r["spec"]: r for r in size.collect()}  # one row per spec
-    if sum(r["values"] for r in sizes.values()) <= ranking.BROADCAST_ROWS:
+    if sum(r["values"] for r in sizes.values()) <= LOOKUP_VALUES:
         labels = list(specs)
         cells = plain.select(*[_rank_cell(plain, specs[label]).alias(label) for label in labels])
         centre = [(sizes[label]["rows"] + 1) / 2 if label in sizes else 0.0 for label in labels]

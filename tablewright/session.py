@@ -62,9 +62,14 @@ def held(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Drop every frame kept by the operators, once their results are written."""
+    """Drop every frame kept by the operators, once their results are written.
+
+    A result read later is computed again from its sources.
+    """
     while _held:
-        _held.pop().unpersist()
+        frame = _held.pop()
+        if frame.sparkSession.getActiveSession() is not None:
+            frame.unpersist()
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -165,6 +165,7 @@ def test_correlations_match_pandas(numbers, monkeypatch, method, native):
 
 def test_spearman_by_shuffle(numbers, monkeypatch):
     df, pdf = numbers
+    monkeypatch.setattr(correlate, "LOOKUP_VALUES", 0)
     monkeypatch.setattr(ranking, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(ranking, "BUCKET_VALUES", 200)
     got = _square(correlate.spearman(df, ["a", "c"]), ["a", "c"])
