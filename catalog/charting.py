@@ -7,13 +7,9 @@ from catalog.profiling import _pearson_cell, _square_sql, histogram_sql
 from tablewright.operators import charts
 
 
-def _md5(key):
-    return f"md5(CAST({key} AS VARCHAR)), {key}"
-
-
 @register(
     "f1_scatter",
-    f"SELECT event_id, {rd('user_id')} AS x, {rd('value')} AS y, event_type AS color FROM events ORDER BY {_md5('event_id')} LIMIT 1000",
+    f"SELECT event_id, {rd('user_id')} AS x, {rd('value')} AS y, event_type AS color FROM events",
 )
 def f1_scatter(spark, sf_dir):
     out = charts.chart_data("scatter", table(spark, sf_dir, "events"), key="event_id", x="user_id", y="value", color="event_type")
@@ -145,29 +141,28 @@ _SM = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 @register(
     "f10_scatter_matrix",
-    f"WITH p AS (SELECT * FROM orders ORDER BY {_md5('o_orderkey')} LIMIT 200) "
-    + " UNION ALL ".join(
-        f"SELECT o_orderkey, '{a}' AS x_column, '{b}' AS y_column, {rd(a)} AS x, {rd(b)} AS y FROM p"
+    " UNION ALL ".join(
+        f"SELECT o_orderkey, '{a}' AS x_column, '{b}' AS y_column, {rd(a)} AS x, {rd(b)} AS y FROM orders"
         for i, a in enumerate(_SM)
         for b in _SM[i + 1 :]
     ),
 )
 def f10_scatter_matrix(spark, sf_dir):
-    return tidy(charts.chart_data("scatter_matrix", table(spark, sf_dir, "orders"), key="o_orderkey", columns=_SM, limit=200))
+    return tidy(charts.chart_data("scatter_matrix", table(spark, sf_dir, "orders"), key="o_orderkey", columns=_SM))
 
 
 @register(
     "f11_parallel_coordinates",
     "SELECT o_orderkey, color, "
     + ", ".join(rd(f"({c} - lo_{c}) / (hi_{c} - lo_{c})::DOUBLE", 6) + f" AS {c}" for c in ("o_custkey", "o_totalprice"))
-    + f" FROM (SELECT *, o_orderstatus AS color FROM orders ORDER BY {_md5('o_orderkey')} LIMIT 200), (SELECT "
+    + " FROM (SELECT *, o_orderstatus AS color FROM orders), (SELECT "
     + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in ("o_custkey", "o_totalprice"))
     + " FROM orders)",
 )
 def f11_parallel_coordinates(spark, sf_dir):
     out = charts.chart_data(
         "parallel_coordinates", table(spark, sf_dir, "orders"), key="o_orderkey",
-        columns=["o_custkey", "o_totalprice"], color="o_orderstatus", limit=200,
+        columns=["o_custkey", "o_totalprice"], color="o_orderstatus",
     )
     return tidy(out, 6)
 
@@ -189,20 +184,6 @@ def f12_filters(spark, sf_dir):
     return tidy(out.select("event_id", "user_id", "event_type", "value"))
 
 
-@register(
-    "f13_chart_summary",
-    "SELECT kind, count(*) AS charts FROM (SELECT 'bar' AS kind FROM (SELECT DISTINCT l_returnflag FROM lineitem) "
-    "UNION ALL SELECT 'pie') GROUP BY kind",
-)
-def f13_chart_summary(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    book = charts.ChartBook()
-    for r in df.select("l_returnflag").distinct().collect():
-        book.chart_data("bar", df.filter(df["l_returnflag"] == r[0]), x="l_linestatus", y="l_quantity")
-    book.chart_data("pie", df, names="l_linestatus", values="l_quantity")
-    return book.summary(spark)
-
-
 @register(
     "w7_first_rows",
     "SELECT least(count(*), 100) AS shown FROM orders",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -327,9 +328,19 @@ def d17_kendall(spark, sf_dir):
     return tidy(correlate.kendall(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]), 6)
 
 
-@register("d17_kendall_continuous")
+@register(
+    "d17_kendall_continuous",
+    f"""
+    WITH s AS (SELECT sum(sign(a.o_custkey - b.o_custkey) * sign(a.o_totalprice - b.o_totalprice)) AS cd,
+                      sum(abs(sign(a.o_custkey - b.o_custkey))) AS nx, sum(abs(sign(a.o_totalprice - b.o_totalprice))) AS ny
+               FROM orders a, orders b),
+    m AS (SELECT 'o_custkey' AS column_a, 'o_totalprice' AS column_b, cd/sqrt(nx*ny) AS r FROM s
+          UNION ALL SELECT 'o_totalprice', 'o_custkey', cd/sqrt(nx*ny) FROM s
+          UNION ALL SELECT 'o_custkey', 'o_custkey', 1.0 UNION ALL SELECT 'o_totalprice', 'o_totalprice', 1.0)
+    SELECT 'kendall' AS method, column_a, column_b, {rd('r', 6)} AS correlation FROM m
+    """,
+)
 def d17_kendall_continuous(spark, sf_dir):
-    # no SQL: a self-join of all rows; a brute-force test covers it
     return tidy(correlate.kendall(table(spark, sf_dir, "orders"), ["o_custkey", "o_totalprice"]), 6)
 
 
@@ -483,6 +494,8 @@ _PROFILE_PARTS = {
     "distributions": ["median", "normality_statistic"],
     "missing": ["missing"],
     "distinct": ["distinct_count", "distinct_percent"],
+    "extremes": ["min", "max"],
+    "numeric_modes": ["mode"],
 }
 
 
@@ -495,14 +508,35 @@ def profile_metrics(parts):
             F.lit(part).alias("part"), "column", "metric", "value"
         )
         out = long if out is None else out.unionByName(long)
-    sizes = parts["size"].select(
-        F.lit("size").alias("part"), F.lit("").alias("column"), F.lit("rows").alias("metric"),
-        F.col("rows").cast("double").alias("value"),
+    none, text = F.lit(""), lambda *c: F.concat_ws(" ", *c)
+    others = {
+        "size": (none, F.lit("rows"), "rows"),
+        "missing_total": (none, F.lit("missing"), "total_missing"),
+        "type_counts": (none, F.col("data_type"), "columns"),
+        "types": (F.col("column"), F.col("data_type"), "bytes"),
+        "correlations": (F.col("column_a"), text("method", "column_b"), "correlation"),
+        "histograms": (F.col("column"), text(F.lit("bin"), "bin"), "count"),
+        "top_values": (F.col("column"), text(F.lit("top"), "rank", "value"), "count"),
+        "categories": (F.col("column"), text(F.lit("mode"), "mode"), "count"),
+        "frequencies": (F.col("column"), text(F.lit("value"), "value"), "count"),
+    }
+    for part, (column, metric, value) in others.items():
+        rows = parts[part].select(
+            F.lit(part).alias("part"), column.alias("column"), metric.alias("metric"),
+            F.col(value).cast("double").alias("value"),
+        )
+        out = out.unionByName(rows)
+    outliers = parts["outliers"].groupBy("column", "method").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return out.unionByName(
+        outliers.select(F.lit("outliers").alias("part"), "column", F.col("method").alias("metric"), "value")
     )
-    return out.unionByName(sizes)
 
 
-def _profile_sql(source, numbers, others):
+def _profile_sql(source, types):
+    """``types``: Spark's type and the bytes as SQL of every column; no nulls in the table."""
+    numbers = [c for c, (k, _) in types.items() if k in ("int", "bigint", "double")]
+    texts = [c for c, (k, _) in types.items() if k == "string"]
+    others = [c for c in types if c not in numbers]
     rows = []
     for c in numbers:
         metrics = {
@@ -527,24 +561,63 @@ def _profile_sql(source, numbers, others):
             ("distinct", "distinct_percent", f"count(DISTINCT {c}) * 100.0 / count(*)"),
         ):
             rows.append(f"SELECT '{p}', '{c}', '{m}', CAST({e} AS DOUBLE) FROM {source}")
+        n = f"(SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS r FROM {source} GROUP BY {c})"
+        rows.append(f"SELECT 'top_values', '{c}', 'top ' || r || ' ' || v, n FROM {n} WHERE r <= 5")
+        if c in numbers:
+            rows.append(f"SELECT 'numeric_modes', '{c}', 'mode', v FROM {n} WHERE r = 1")
+        elif c in texts:
+            rows.append(f"SELECT 'categories', '{c}', 'mode ' || v, n FROM {n} WHERE r = 1")
+            rows.append(f"SELECT 'frequencies', '{c}', 'value ' || v, n FROM {n}")
+        kind, size = types[c]
+        rows.append(f"SELECT 'types', '{c}', '{kind}', {size} FROM {source}")
     rows.append(
-        f"SELECT 'distributions', \"column\", 'normality_statistic', statistic FROM k"
+        "SELECT 'distributions', \"column\", 'normality_statistic', statistic FROM k"
     )
+    rows += [f"SELECT 'type_counts', '', '{k}', {n}" for k, n in Counter(k for k, _ in types.values()).items()]
+    for c in numbers:
+        rows += [f"SELECT 'extremes', '{c}', '{f}', {f}({c}) FROM {source}" for f in ("min", "max")]
+        bins = histogram_sql(c, source, types[c][0] in ("int", "bigint"))
+        rows.append(f"SELECT 'histograms', \"column\", 'bin ' || bin, \"count\" FROM ({bins})")
+        mean, iqr = f"(SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM {source})", (
+            f"(SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {source})"
+        )
+        rows.append(f"SELECT 'outliers', '{c}', 'zscore', count(*) FROM {source}, {mean} WHERE abs(({c} - m) / s) > 3 HAVING count(*) > 0")
+        rows.append(
+            f"SELECT 'outliers', '{c}', 'iqr', count(*) FROM {source}, {iqr} "
+            f"WHERE {c} < a - 1.5*(b-a) OR {c} > b + 1.5*(b-a) HAVING count(*) > 0"
+        )
+    ranks = ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in numbers
+    )
+    for a in numbers:
+        for b in numbers:
+            rows.append(f"SELECT 'correlations', '{a}', 'pearson {b}', corr({a}, {b}) FROM {source}")
+            rows.append(f"SELECT 'correlations', '{a}', 'spearman {b}', corr(r_{a}, r_{b}) FROM ranked")
+    missing = " + ".join(f"count(*) - count({c})" for c in [*numbers, *others])
+    rows.append(f"SELECT 'missing_total', '', 'missing', {missing} FROM {source}")
     rows.append(f"SELECT 'size', '', 'rows', count(*)::DOUBLE FROM {source}")
     body = " UNION ALL ".join(rows)
     return (
-        f"WITH {normality_cte(numbers, source)} SELECT part, \"column\", metric, "
+        f"WITH {normality_cte(numbers, source)}, ranked AS (SELECT {ranks} FROM {source}) SELECT part, \"column\", metric, "
         f"{rd('value', 2)} AS value FROM ({body})"
     )
 
 
 @register(
     "d26_profile",
-    _profile_sql("lineitem", LINEITEM_NUMBERS, ["l_returnflag", "l_linestatus", "l_shipdate"]),
+    _profile_sql(
+        "lineitem",
+        {
+            **{c: ("bigint", "count(*) * 8") for c in ("l_orderkey", "l_partkey", "l_suppkey")},
+            "l_linenumber": ("int", "count(*) * 4"),
+            **{c: ("double", "count(*) * 8") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+            **{c: ("string", f"sum(strlen({c}))") for c in ("l_returnflag", "l_linestatus")},
+            "l_shipdate": ("timestamp_ntz", "count(*) * 8"),
+        },
+    ),
 )
 def d26_profile(spark, sf_dir):
-    config = {"correlations": False, "outliers": False}
-    parts = profiling.profile(table(spark, sf_dir, "lineitem"), config=config)
+    parts = profiling.profile(table(spark, sf_dir, "lineitem"))
     return tidy(profile_metrics(parts), 2)
 
 

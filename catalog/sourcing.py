@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import big, rd, register, scratch, table, tidy
-from tablewright.sources import artifacts, inventory, logs, readers, writers
+from tablewright.sources import artifacts, logs, readers, writers
 
 _ORDERS_SQL = (
     f"SELECT o_orderstatus, count(*) AS n, {rd('sum(o_totalprice)', 2)} AS total, "
@@ -29,12 +29,10 @@ def _orders(df):
 
 @register(
     "a1_read_csv_encodings",
-    "SELECT doc_id, lang, md5(replace(text, chr(10), ' ')) AS text_md5, n_chars FROM documents",
+    "SELECT doc_id, lang, md5(text) AS text_md5, n_chars FROM documents",
 )
 def a1_read_csv_encodings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.regexp_replace("text", "\n", " ").alias("text"), "n_chars"
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars")
     path = scratch(spark, "csv")
     quoting = {"escape": '"', "quoteAll": True}
     latin = F.col("lang").isin("fr", "de")
@@ -119,7 +117,7 @@ def a6_read_many(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     for status in ("F", "O", "P"):
         orders.filter(F.col("o_orderstatus") == status).write.json(f"{path}/part-{status}")
-    many = readers.read_many(spark, f"{path}/part-[FO]", "json")
+    many, _ = readers.read_many(spark, f"{path}/part-[FO]", "json")
     part = F.regexp_extract("source", "/part-([A-Z])/", 1).alias("part")
     return readers.file_stats(many).groupBy(part).agg(F.sum("rows").alias("n"))
 
@@ -269,15 +267,6 @@ def a17_first_logs(spark, sf_dir):
     return found.select("message", "module")
 
 
-@register("a18_inventory")
-def a18_inventory(spark, sf_dir):
-    # no SQL: file sizes
-    files = inventory.inventory(spark, sf_dir, ["parquet"], inventory.MAX_SIZE)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "suffix", "size", "size_text", "suffix_allowed", "size_allowed"
-    )
-
-
 @register("u3_own_format", _ORDERS_SQL)
 def u3_own_format(spark, sf_dir):
     readers.register_reader("orc", lambda spark, path, **options: spark.read.options(**options).orc(path))

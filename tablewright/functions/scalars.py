@@ -48,8 +48,16 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(plain), F.trim(c).try_cast("double"))
 
 
-def parse_datetime(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz")
+# Layouts of dates besides ISO, tried in order; the time of day may follow.
+DATE_LAYOUTS = ["M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "yyyyMMdd"]
+TIME_OF_DAY = "[ HH:mm[:ss]]"
+
+
+def parse_datetime(c: Column, layout: str | None = None) -> Column:
+    """Text to a time without zone, ISO or by one of :data:`DATE_LAYOUTS`."""
+    if layout is None:
+        return c.try_cast("timestamp_ntz")
+    return F.try_to_timestamp(F.trim(c), F.lit(layout + TIME_OF_DAY)).cast("timestamp_ntz")
 
 
 # Texts read as a truth value.

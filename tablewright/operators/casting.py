@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import kind_of, ref, text_columns
-from tablewright.functions.scalars import parse_boolean, parse_datetime, parse_number
+from tablewright.functions.scalars import DATE_LAYOUTS, parse_boolean, parse_datetime, parse_number
 from tablewright.operators.fused import scalars
 
 # Other names callers use for the types.
@@ -22,6 +22,8 @@ TYPE_NAMES = {
     "bool": "boolean",
     "datetime64[ns]": "timestamp_ntz",
 }
+# What every date in one of the layouts looks like.
+DATE_LIKE = r"^\s*[0-9A-Za-z][0-9A-Za-z ,./:-]{5,29}\s*$"
 # Doubles hold every whole number up to this size.
 WHOLE_LIMIT = 2.0**53
 
@@ -49,7 +51,8 @@ def inferred_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[
     """Type each text column could have: number, datetime, boolean, else string.
 
     One scan decides for all columns. A column counts as a type when all of its
-    values do; a boolean needs true/false, t/f, yes/no or y/n texts.
+    values do; a boolean needs true/false, t/f, yes/no or y/n texts. Dates are ISO or of
+    one layout, which then follows the type's name.
     """
     names = text_columns(df) if columns is None else list(columns)
     tests = {}
@@ -61,6 +64,10 @@ def inferred_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[
         tests[name, "number"] = F.count(value)
         tests[name, "whole"] = F.count_if(whole & c.rlike(r"^\s*[+-]?\d+\s*$"))
         tests[name, "datetime"] = F.count(parse_datetime(c))
+        for layout in DATE_LAYOUTS:
+            # only texts with a digit and of a date's length are worth a try
+            dated = F.when(c.rlike(DATE_LIKE), c)
+            tests[name, layout] = F.count(parse_datetime(dated, layout))
         tests[name, "boolean"] = F.count(parse_boolean(c))
     if not tests:
         return {}
@@ -77,7 +84,8 @@ def inferred_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[
         elif total and got[name, "boolean"] == total:
             types[name] = "boolean"
         else:
-            types[name] = "string"
+            layouts = [x for x in DATE_LAYOUTS if total and got[name, x] == total]
+            types[name] = f"timestamp_ntz {layouts[0]}" if layouts else "string"
     return types
 
 
@@ -89,6 +97,9 @@ def convert_inferred(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
         "boolean": parse_boolean,
     }
     casts = {n: parsers[t](ref(n)) for n, t in types.items() if t in parsers}
+    for name, kind in types.items():
+        if kind.startswith("timestamp_ntz "):
+            casts[name] = parse_datetime(ref(name), kind.removeprefix("timestamp_ntz "))
     return df.withColumns(casts) if casts else df
 
 

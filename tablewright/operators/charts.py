@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.errors import ChartError
 from tablewright.functions.kinds import number, ref
@@ -14,11 +15,10 @@ from tablewright.operators.correlate import correlation_matrix, pearson
 from tablewright.operators.fused import scalars, unpivoted
 from tablewright.operators.histogram import histogram
 from tablewright.operators.ranking import grouped_quantiles
-from tablewright.session import BROADCAST_ROWS, broadcast_if_small
+from tablewright.session import broadcast_if_small, held
 
-# Points of a density curve, marks shown in point charts.
+# Fixed value: points of a density curve.
 CURVE_POINTS = 500
-MARKS = 1_000
 
 
 def _spread_order(key: Iterable[str]) -> list[Column]:
@@ -27,15 +27,19 @@ def _spread_order(key: Iterable[str]) -> list[Column]:
     return [F.md5(text), *[ref(k) for k in key]]
 
 
-def scatter(df: DataFrame, key, x: str, y: str, color: str | None = None, size: str | None = None, limit: int = MARKS) -> DataFrame:
-    """Up to ``limit`` marks, picked by the hash of the key."""
+def _picked(df: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy(*_spread_order(keys)).limit(limit)
+
+
+def scatter(df: DataFrame, key, x: str, y: str, color: str | None = None, size: str | None = None, limit: int | None = None) -> DataFrame:
+    """A mark per row; with a ``limit`` so many, picked by the hash of the key."""
     keys = [key] if isinstance(key, str) else list(key)
     shown = [ref(x).alias("x"), ref(y).alias("y")]
     if color:
         shown.append(ref(color).alias("color"))
     if size:
         shown.append(ref(size).alias("size"))
-    return df.orderBy(*_spread_order(keys)).limit(limit).select(*[ref(k) for k in keys], *shown)
+    return _picked(df, keys, limit).select(*[ref(k) for k in keys], *shown)
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
@@ -100,9 +104,10 @@ def box(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
 def density(df: DataFrame, column: str, by: str | None = None, points: int = CURVE_POINTS) -> DataFrame:
     """Gaussian kernel density on an even grid from minimum to maximum.
 
-    The width is the sample deviation times ``n ** (-1/5)``. Equal values are
-    counted first; each distinct value then adds to every grid point, and the
-    sums combine before the shuffle. Groups are curves of their own.
+    The width is the sample deviation times ``n ** (-1/5)``. Every task adds its values
+    to an array of grid points per group, and the arrays are added up; groups are
+    curves of their own. A group without spread (one row, or equal values) has no
+    curve: it is one point of its value with a null density.
     """
     group = ref(by) if by else F.lit("all")
     cells = df.select(group.alias("group"), number(df, column).alias("value")).filter("value IS NOT NULL")
@@ -114,20 +119,55 @@ def density(df: DataFrame, column: str, by: str | None = None, points: int = CUR
             F.max("value").alias("high"),
             F.stddev_samp("value").alias("std"),
         )
-        .select(F.col("group").alias("g"), "n", "low", "high", (F.col("std") * F.pow("n", F.lit(-0.2))).alias("h"))
-        .filter("h > 0")
+        .select(
+            F.col("group").alias("g"),
+            "n",
+            "low",
+            "high",
+            F.when(F.col("low") < F.col("high"), F.col("std") * F.pow("n", F.lit(-0.2))).alias("h"),
+        )
     )
-    counts = cells.groupBy("group", "value").agg(F.count(F.lit(1)).alias("count"))
+    facts = held(facts)
+    curves = facts.filter("h IS NOT NULL")
+    counts = cells.groupBy("group", "value").agg(F.count(F.lit(1)).cast("double").alias("count"))
+    group_type = cells.schema["group"].dataType
+    placed = counts.join(broadcast_if_small(curves), F.col("group").eqNullSafe(F.col("g")))
+    placed = placed.select("group", "value", "count", "low", "high", "h")
+
+    def add_up(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            table = batch.to_pandas()
+            for key, part in table.groupby("group", dropna=False, sort=False):
+                low, high, h = (float(part[c].iloc[0]) for c in ("low", "high", "h"))
+                grid = low + (high - low) / (points - 1) * np.arange(points)
+                sums = np.zeros(points)
+                values, weights = part["value"].to_numpy(), part["count"].to_numpy()
+                for at in range(0, len(values), 2_000):  # bounded memory
+                    z = (grid - values[at : at + 2_000, None]) / h
+                    sums += weights[at : at + 2_000] @ np.exp(-0.5 * z * z)
+                row = {"group": [None if key != key else key], "sums": [sums.tolist()]}
+                yield pa.RecordBatch.from_pydict(row, pa.schema([batch.schema.field("group"), ("sums", pa.list_(pa.float64()))]))
+
+    schema = T.StructType([T.StructField("group", group_type), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    summed = (
+        placed.mapInArrow(add_up, schema)
+        .select("group", F.posexplode("sums").alias("point", "height"))
+        .groupBy("group", "point")
+        .agg(F.sum("height").alias("height"))
+    )
+    joined = summed.join(broadcast_if_small(curves), F.col("group").eqNullSafe(F.col("g")))
     step = (F.col("high") - F.col("low")) / F.lit(float(points - 1))
-    placed = (
-        counts.join(broadcast_if_small(facts), F.col("group").eqNullSafe(F.col("g")))
-        .select("group", "value", "count", "n", "low", "h", step.alias("step"),
-                F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    scale = F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5)
+    curve = joined.select(
+        "group", "point", (F.col("low") + F.col("point") * step).alias("x"), (F.col("height") / scale).alias("density")
+    )
+    single = facts.filter("h IS NULL").select(
+        F.col("g").alias("group"), F.lit(0).alias("point"), F.col("low").alias("x"), F.lit(None).cast("double").alias("density")
     )
-    x = F.col("low") + F.col("point") * F.col("step")
-    z = (x - F.col("value")) / F.col("h")
-    height = F.col("count") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return placed.groupBy("group", "point").agg(F.first(x).alias("x"), F.sum(height).alias("density"))
+    return curve.unionByName(single)
 
 
 def violin(df: DataFrame, column: str, by: str | None = None, points: int = CURVE_POINTS) -> DataFrame:
@@ -143,11 +183,11 @@ def heatmap(df: DataFrame, columns: Iterable[str] | None = None, wide: bool = Fa
     return correlation_matrix(cells, names)
 
 
-def scatter_matrix(df: DataFrame, key, columns: Iterable[str], color: str | None = None, limit: int = MARKS) -> DataFrame:
-    """Marks of every column pair; one selection of rows serves all pairs."""
+def scatter_matrix(df: DataFrame, key, columns: Iterable[str], color: str | None = None, limit: int | None = None) -> DataFrame:
+    """Marks of every column pair; with a ``limit`` one selection of rows serves all pairs."""
     keys = [key] if isinstance(key, str) else list(key)
     names = list(columns)
-    picked = df.orderBy(*_spread_order(keys)).limit(limit)
+    picked = _picked(df, keys, limit)
     shown = [ref(color).cast("string").alias("color")] if color else []
     pairs = F.array(
         *[
@@ -161,8 +201,8 @@ def scatter_matrix(df: DataFrame, key, columns: Iterable[str], color: str | None
     return picked.select(*[ref(k) for k in keys], *shown, F.inline(pairs))
 
 
-def parallel_coordinates(df: DataFrame, key, columns: Iterable[str], color: str | None = None, limit: int = MARKS) -> DataFrame:
-    """A selection of rows with every axis scaled to [0, 1] by the whole table."""
+def parallel_coordinates(df: DataFrame, key, columns: Iterable[str], color: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows, all or ``limit`` of them, with every axis scaled to [0, 1] by the whole table."""
     keys = [key] if isinstance(key, str) else list(key)
     names = list(columns)
     ends = scalars(
@@ -176,7 +216,7 @@ def parallel_coordinates(df: DataFrame, key, columns: Iterable[str], color: str
         return ((number(df, n) - F.lit(low)) / F.lit((high - low) or 1.0)).alias(n)
 
     shown = [ref(color).alias("color")] if color else []
-    picked = df.orderBy(*_spread_order(keys)).limit(limit)
+    picked = _picked(df, keys, limit)
     return picked.select(*[ref(k) for k in keys], *shown, *[axis(n) for n in names])
 
 

@@ -18,6 +18,8 @@ from tablewright.functions.kinds import FLOATING, kind_of, number, numeric_colum
 from tablewright.operators.casting import TYPE_NAMES
 from tablewright.operators.duplicates import repeated_rows
 from tablewright.operators.fused import per_column, scalars
+from tablewright.operators.values import value_table
+from tablewright.session import broadcast_if_small
 
 REPORT_SCHEMA = (
     "check string, column string, passed boolean, severity string, "
@@ -343,15 +345,13 @@ def assert_numeric_range(
 
 def unexpected_values(df: DataFrame, column: str, allowed: Iterable) -> DataFrame:
     """Observed values outside the allowed set, with their number of rows."""
-    dtype = df.schema[column].dataType.simpleString()
     observed = (
         df.filter(ref(column).isNotNull())
         .groupBy(ref(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    # the allowed set is written by the caller on the driver
-    table = df.sparkSession.createDataFrame([(v,) for v in set(allowed)], f"value {dtype}")
-    return observed.join(F.broadcast(table), "value", "left_anti")
+    table = value_table(df, column, allowed, "value")
+    return observed.join(broadcast_if_small(table), "value", "left_anti")
 
 
 def category_facts(df: DataFrame, column: str, allowed: Iterable | None = None) -> DataFrame:

@@ -6,11 +6,11 @@ Every pair uses the rows where both columns are present.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from decimal import Decimal
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.errors import ProfileError
@@ -29,65 +29,55 @@ NATIVE_PAIRS = 10
 # Up to this many columns the matrix is put together on the driver.
 DRIVER_COLUMNS = 200
 
-# Rows looked at for the point that sums are taken from.
-CENTRE_ROWS = 10_000
-# Values of a rank table that may travel with the tasks, 16 bytes each.
-LOOKUP_VALUES = 4_000_000
-# A variance below this share of the sum of squares is rounding, not spread.
-ROUNDING = 1e-13
-
-_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-
 SCHEMA = "method string, column_a string, column_b string, correlation double"
 
 
 def _ratio(cov: float | None, var_x: float | None, var_y: float | None) -> float | None:
+    """The one rule of all paths: no correlation with an infinite value on either side."""
     if cov is None or not var_x or not var_y:
         return None
-    r = cov / math.sqrt(var_x * var_y)
-    return max(-1.0, min(1.0, r))
+    r = cov / math.sqrt(var_x) / math.sqrt(var_y)
+    return max(-1.0, min(1.0, r)) if math.isfinite(r) else None
 
 
 def _pair_correlations(
-    df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]]
-) -> dict[tuple[str, str], float | None]:
-    """Correlation of expression pairs; rows with either side null are skipped."""
+    df: DataFrame, pairs: dict[tuple[str, str], tuple[Column, Column]], counts: bool = False
+):
+    """Correlation of expression pairs; rows with either side null are skipped.
+
+    A side whose values in those rows are all equal, or one that holds an infinite
+    value there, has no correlation. With ``counts`` the numbers of rows come too.
+    """
     names: dict[tuple[str, str], tuple[str, str]] = {}
     sides: dict[str, Column] = {}
     for key, (x, y) in pairs.items():
         names[key] = (str(x), str(y))
         sides[str(x)], sides[str(y)] = x, y
     if len(pairs) <= NATIVE_PAIRS:
-        return _native_pairs(df, pairs, names, sides)
-    order = list(sides)
-    labels = [f"_{i}" for i in range(len(order))]
-    table = df.select(*[sides[text].alias(label) for text, label in zip(order, labels)])
-    places = {key: (order.index(x), order.index(y)) for key, (x, y) in names.items()}
-    sums = _pair_sums(table, _centres(table), sorted(set(places.values())))
-    return _from_sums(sums, places)
-
-
-def _from_sums(sums: DataFrame, places: dict[tuple[str, str], tuple[int, int]]) -> dict:
-    found = {(r["i"], r["j"]): r for r in sums.collect()}  # one row per pair
-    result = {}
-    for key, place in places.items():
-        r = found.get(place)
-        result[key] = None
-        if r is not None and r["n"] > 0:
-            n, sx, sy = r["n"], r["sx"], r["sy"]
-            cov, var_x, var_y = r["sxy"] - sx * sy / n, r["sxx"] - sx * sx / n, r["syy"] - sy * sy / n
-            if var_x > ROUNDING * r["sxx"] and var_y > ROUNDING * r["syy"]:
-                result[key] = _ratio(cov, var_x, var_y)
-    return result
+        found = _native_pairs(df, pairs, names, sides)
+    else:
+        order = list(sides)
+        labels = [f"_{i}" for i in range(len(order))]
+        table = df.select(*[sides[text].alias(label) for text, label in zip(order, labels)])
+        places = {key: (order.index(x), order.index(y)) for key, (x, y) in names.items()}
+        rows = _pair_rows(table, sorted(set(places.values()))).collect()  # one row per pair
+        by_place = {(r["i"], r["j"]): (r["r"], int(r["n"])) for r in rows}
+        found = {key: by_place.get(place, (None, 0)) for key, place in places.items()}
+    r = {key: value for key, (value, _) in found.items()}
+    return (r, {key: n for key, (_, n) in found.items()}) if counts else r
 
 
 def _native_pairs(df, pairs, names, sides) -> dict:
     """Few pairs as native aggregates: one scan when the pairs have their nulls on
-    the same rows, else a second one for the variances of the pairs that do not."""
+    the same rows, else a second one for the pairs that do not."""
+
+    def spread(c: Column) -> Column:
+        return F.when(F.min(c) < F.max(c), F.var_pop(c))
+
     first = {}
     for text, c in sides.items():
         first[text, "n"] = F.count(c)
-        first[text, "var"] = F.var_pop(c)
+        first[text, "var"] = spread(c)
     for key, (x, y) in pairs.items():
         first[key, "n"] = F.regr_count(x, y)
         first[key, "cov"] = F.covar_pop(x, y)
@@ -96,37 +86,26 @@ def _native_pairs(df, pairs, names, sides) -> dict:
     for key, (x, y) in pairs.items():
         tx, ty = names[key]
         if got[key, "n"] == got[tx, "n"] == got[ty, "n"]:
-            result[key] = _ratio(got[key, "cov"], got[tx, "var"], got[ty, "var"])
+            result[key] = _ratio(got[key, "cov"], got[tx, "var"], got[ty, "var"]), got[key, "n"]
         else:
-            uneven[key, "x"] = F.var_pop(F.when(y.isNotNull(), x))
-            uneven[key, "y"] = F.var_pop(F.when(x.isNotNull(), y))
+            uneven[key, "x"] = spread(F.when(y.isNotNull(), x))
+            uneven[key, "y"] = spread(F.when(x.isNotNull(), y))
     if uneven:
         variances = scalars(df, uneven)
         for key in {k for k, _ in uneven}:
-            result[key] = _ratio(got[key, "cov"], variances[key, "x"], variances[key, "y"])
+            result[key] = _ratio(got[key, "cov"], variances[key, "x"], variances[key, "y"]), got[key, "n"]
     return result
 
 
-def _centres(table: DataFrame) -> list[float]:
-    """A point among the values of each column, from some of its rows.
+_PARTS = ["n", "mx", "my", "vx", "vy", "c", "lx", "hx", "ly", "hy", "bad"]
 
-    The sums are taken from it so that they stay small; any such point does.
-    """
-    means = scalars(table.limit(CENTRE_ROWS), {c: F.avg(ref(c)) for c in table.columns})
-    return [m if m is not None and math.isfinite(m) else 0.0 for m in means.values()]
 
+def _pair_rows(table: DataFrame, pairs: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``(i, j, n, r)`` of column pairs; ``None`` means every pair with ``i <= j``.
 
-def _pair_sums(
-    table: DataFrame,
-    centre: list[float],
-    pairs: list[tuple[int, int]] | None = None,
-    prepare: Callable | None = None,
-) -> DataFrame:
-    """``(i, j, n, sx, sy, sxx, syy, sxy)`` of column pairs around given centres.
-
-    Each task multiplies its rows as matrices and sends one row per pair,
-    whatever the number of rows it saw; Spark adds the parts. ``prepare`` turns
-    the columns of a batch into the numbers to correlate.
+    Each task multiplies its rows as matrices, every batch around its own means, and
+    sends means and co-moments, one row per pair whatever the number of rows it saw.
+    The parts are then merged around the common mean.
     """
     k = len(table.columns)
 
@@ -136,32 +115,84 @@ def _pair_sums(
 
         i, j = np.triu_indices(k) if pairs is None else np.array(pairs, dtype="int64").reshape(-1, 2).T
         dense = pairs is None or 4 * len(pairs) >= k * k
-        totals = np.zeros((6, len(i)))
+        total = {name: np.zeros(len(i)) for name in _PARTS}
+        total["lx"][:] = total["ly"][:] = np.inf
+        total["hx"][:] = total["hy"][:] = -np.inf
         for batch in batches:
             # nulls arrive as NaN
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            x = (x if prepare is None else prepare(x)) - centre
             seen = ~np.isnan(x)
-            x = np.where(seen, x, 0.0)
+            odd = np.isinf(x)
             mask = seen.astype("float64")
-            square = x * x
+            plain = np.where(seen & ~odd, x, 0.0)
+            middle = plain.sum(axis=0) / np.maximum((seen & ~odd).sum(axis=0), 1)
+            x0 = np.where(seen & ~odd, plain - middle, 0.0)
+            square = x0 * x0
             if dense:
-                n, sx, sxx, sxy = mask.T @ mask, x.T @ mask, square.T @ mask, x.T @ x
-                totals += [n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+                n, sx, sxx, sxy = mask.T @ mask, x0.T @ mask, square.T @ mask, x0.T @ x0
+                odds = odd.astype("float64").T @ mask
+                n, bad = n[i, j], odds[i, j] + odds[j, i]
+                a, b, aa, bb, ab = sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]
             else:
-                for at, (a, b) in enumerate(zip(i, j)):
-                    ma, mb = mask[:, a], mask[:, b]
-                    totals[:, at] += [
-                        ma @ mb, x[:, a] @ mb, x[:, b] @ ma, square[:, a] @ mb, square[:, b] @ ma, x[:, a] @ x[:, b]
+                sums = np.zeros((7, len(i)))
+                for at, (p, q) in enumerate(zip(i, j)):
+                    mp, mq = mask[:, p], mask[:, q]
+                    sums[:, at] = [
+                        mp @ mq, x0[:, p] @ mq, x0[:, q] @ mp, square[:, p] @ mq, square[:, q] @ mp,
+                        x0[:, p] @ x0[:, q], odd[:, p] @ mq + odd[:, q] @ mp,
                     ]
+                n, a, b, aa, bb, ab, bad = sums
+            ends = {}
+            if seen.all():
+                low, high = x.min(axis=0, initial=np.inf), x.max(axis=0, initial=-np.inf)
+                ends = {"lx": low[i], "hx": high[i], "ly": low[j], "hy": high[j]}
+            else:
+                down, up = np.where(seen, x, np.inf), np.where(seen, x, -np.inf)
+                ends = {e: np.empty(len(i)) for e in ("lx", "hx", "ly", "hy")}
+                for at, (p, q) in enumerate(zip(i, j)):
+                    both = seen[:, p] & seen[:, q]
+                    ends["lx"][at] = down[both, p].min(initial=np.inf)
+                    ends["hx"][at] = up[both, p].max(initial=-np.inf)
+                    ends["ly"][at] = down[both, q].min(initial=np.inf)
+                    ends["hy"][at] = up[both, q].max(initial=-np.inf)
+            for e, of in (("lx", np.minimum), ("ly", np.minimum), ("hx", np.maximum), ("hy", np.maximum)):
+                total[e] = of(total[e], ends[e])
+            some = np.maximum(n, 1)
+            mx, my = middle[i] + a / some, middle[j] + b / some
+            vx, vy, c = aa - a * a / some, bb - b * b / some, ab - a * b / some
+            every = np.maximum(total["n"] + n, 1)
+            dx, dy, share = mx - total["mx"], my - total["my"], total["n"] * n / every
+            total["vx"] += vx + dx * dx * share
+            total["vy"] += vy + dy * dy * share
+            total["c"] += c + dx * dy * share
+            total["mx"] = total["mx"] + dx * n / every
+            total["my"] = total["my"] + dy * n / every
+            total["n"] = total["n"] + n
+            total["bad"] += bad
         places = {"i": i.astype("int32"), "j": j.astype("int32")}
-        yield pa.RecordBatch.from_pydict({**places, **dict(zip(_SUMS, totals))})
-
-    schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
-    parts = table.select(*[ref(c).cast("double").alias(c) for c in table.columns]).mapInArrow(
-        multiply, schema
+        yield pa.RecordBatch.from_pydict({**places, **total})
+
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in _PARTS)
+    cells = table.select(*[ref(c).cast("double").alias(c) for c in table.columns])
+    parts = cells.mapInArrow(multiply, schema).filter("n > 0")
+    same = Window.partitionBy("i", "j")  # a row per task
+    centred = parts.withColumns(
+        {
+            "dx": F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(same) / F.sum("n").over(same),
+            "dy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(same) / F.sum("n").over(same),
+        }
+    )
+    merged = centred.groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("vx") + F.col("n") * F.col("dx") * F.col("dx")).alias("vx"),
+        F.sum(F.col("vy") + F.col("n") * F.col("dy") * F.col("dy")).alias("vy"),
+        F.sum(F.col("c") + F.col("n") * F.col("dx") * F.col("dy")).alias("c"),
+        ((F.min("lx") < F.max("hx")) & (F.min("ly") < F.max("hy")) & (F.sum("bad") == 0)).alias("good"),
     )
-    return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    spread = F.col("good") & (F.col("vx") > 0) & (F.col("vy") > 0)
+    r = F.when(spread, F.col("c") / F.sqrt(F.when(spread, F.col("vx"))) / F.sqrt(F.when(spread, F.col("vy"))))
+    bounded = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return merged.select("i", "j", "n", bounded.alias("r"))
 
 
 def _square(spark, method: str, columns: list[str], values: dict) -> DataFrame:
@@ -188,14 +219,11 @@ def pearson(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
 def _pearson_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Very many columns: the matrix itself stays on the executors."""
     table = df.select(*[number(df, c).alias(f"_{i}") for i, c in enumerate(columns)])
-    total = _pair_sums(table, _centres(table))
-    cov = F.expr("sxy - try_divide(sx * sy, n)")
-    var_x, var_y = F.expr("sxx - try_divide(sx * sx, n)"), F.expr("syy - try_divide(sy * sy, n)")
-    spread = (var_x > F.lit(ROUNDING) * F.col("sxx")) & (var_y > F.lit(ROUNDING) * F.col("syy"))
-    r = F.when(spread, cov / F.sqrt(F.when(spread, var_x * var_y).otherwise(1.0)))
     labels = F.array(*[F.lit(c) for c in columns])
-    half = total.select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("bounded"), r.alias("r"))
-    half = half.select("i", "j", F.when(F.col("r").isNotNull(), F.col("bounded")).alias("r"))
+    # pairs without a common row have a row too
+    numbers = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
+    every = numbers.select("i", F.explode(F.sequence(F.col("i"), F.lit(len(columns) - 1))).alias("j"))
+    half = every.join(_pair_rows(table).select("i", "j", "r"), ["i", "j"], "left")
     mirrored = half.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r")
     return half.unionByName(mirrored).select(
         F.lit("pearson").alias("method"),
@@ -228,30 +256,6 @@ def with_ranks(df: DataFrame, specs: dict[str, tuple[str, str | None]], ranks: D
     return df
 
 
-def _rank_lookup(labels: list[str], ranks: DataFrame) -> Callable:
-    """A function from values to average ranks, column by column.
-
-    For rank tables whose size was checked; they travel with the tasks.
-    """
-    import numpy as np
-
-    tables = ranks.select("spec", "value", "avg_rank").toArrow().to_pandas()
-    tables = tables.sort_values(["spec", "value"])
-    lookup = {
-        labels.index(label): (part["value"].to_numpy(), part["avg_rank"].to_numpy())
-        for label, part in tables.groupby("spec")
-    }
-
-    def look_up(x):
-        out = np.full(x.shape, np.nan)
-        for column, (values, places) in lookup.items():
-            seen = ~np.isnan(x[:, column])
-            out[seen, column] = places[np.searchsorted(values, x[seen, column])]
-        return out
-
-    return look_up
-
-
 def spearman(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Pearson correlation of average ranks, ranked per pair on its complete rows."""
     columns = numeric_columns(df) if columns is None else list(columns)
@@ -267,20 +271,9 @@ def spearman(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
         return label
 
     names = {(a, b): (rank_name(a, b), rank_name(b, a)) for a, b in _upper(columns)}
-    ranks = spec_ranks(plain, specs)
-    size = ranks.groupBy("spec").agg(F.count(F.lit(1)).alias("values"), F.max("total").alias("rows"))
-    sizes = {r["spec"]: r for r in size.collect()}  # one row per spec
-    if sum(r["values"] for r in sizes.values()) <= LOOKUP_VALUES:
-        labels = list(specs)
-        cells = plain.select(*[_rank_cell(plain, specs[label]).alias(label) for label in labels])
-        centre = [(sizes[label]["rows"] + 1) / 2 if label in sizes else 0.0 for label in labels]
-        places = {key: (labels.index(x), labels.index(y)) for key, (x, y) in names.items()}
-        sums = _pair_sums(cells, centre, sorted(set(places.values())), _rank_lookup(labels, ranks))
-        values = _from_sums(sums, places)
-    else:
-        ranked = with_ranks(plain, specs, ranks).select(*specs)
-        pairs = {key: (ref(x), ref(y)) for key, (x, y) in names.items()}
-        values = _pair_correlations(ranked, pairs)
+    ranked = with_ranks(plain, specs, spec_ranks(plain, specs)).select(*specs)
+    pairs = {key: (ref(x), ref(y)) for key, (x, y) in names.items()}
+    values = _pair_correlations(held(ranked), pairs)
     return _square(df.sparkSession, "spearman", columns, values)
 
 

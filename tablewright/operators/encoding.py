@@ -12,31 +12,37 @@ from tablewright.functions.kinds import ref
 from tablewright.operators.fused import counted
 from tablewright.operators.ranking import attach, rank_table
 
-METHODS = ("onehot", "label", "ordinal")
-# Categories written into the expression; more are kept in a table and joined.
+# ``position`` is the sparse form of one-hot: the place of the 1, in one column.
+METHODS = ("onehot", "label", "ordinal", "position")
+# Codes written into the expression; more are kept in a table and joined, with equal results.
 INLINE_CATEGORIES = 999
 
 
 def fit_categories(
-    df: DataFrame, columns: Iterable[str], inline: int = INLINE_CATEGORIES
+    df: DataFrame, columns: Iterable[str], inline: int | None = INLINE_CATEGORIES
 ) -> tuple[dict[str, list[str] | None], dict[str, DataFrame]]:
     """Sorted categories per column, in one job for all columns.
 
     A column with more than ``inline`` categories gets a code table instead
-    (``value, dense, ...``), ranked on the executors.
+    (``value, dense, ...``), ranked on the executors. ``None`` lists them all, for
+    forms with a column per category.
     """
     names = list(columns)
     if not names:
         return {}, {}
     cells = {n: ref(n).cast("string") for n in names}
     counts = counted(df, cells)
+    lists: dict[str, list[str] | None] = {n: [] for n in names}
+    tables: dict[str, DataFrame] = {}
+    if inline is None:
+        for r in counts.select("column", "value").orderBy("column", "value").collect():
+            lists[r["column"]].append(r["value"])
+        return lists, tables
     # the smallest few of each column; the limit holds before the shuffle
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     found = counts.withColumn("place", place).filter(F.col("place") <= inline + 1)
-    lists: dict[str, list[str] | None] = {n: [] for n in names}
     for r in sorted(found.collect(), key=lambda r: r["place"]):
         lists[r["column"]].append(r["value"])
-    tables = {}
     for name in names:
         if len(lists[name]) > inline:
             lists[name] = None

@@ -82,14 +82,14 @@ def regression_scores(df: DataFrame, features: Iterable[str], target: str) -> Da
     names = list(features)
     complete = df.na.drop("any", subset=[*names, target])
     pairs = {(f, target): (number(complete, f), number(complete, target)) for f in names}
-    r = _pair_correlations(complete, pairs)
-    n = complete.select().count()
+    r, n = _pair_correlations(complete, pairs, counts=True)
     rows = []
     for f in names:
-        value = r[f, target]
-        score = None
-        if value is not None and n > 2 and value * value < 1:
-            score = value * value / (1 - value * value) * (n - 2)
+        value, score = r[f, target], None
+        if value is not None and n[f, target] > 2:
+            # a feature that explains everything scores without limit
+            square = value * value
+            score = square / (1 - square) * (n[f, target] - 2) if square < 1 else float("inf")
         rows.append((f, value, score))
     scores = df.sparkSession.createDataFrame(rows, "feature string, correlation double, f_score double")
     return scores.orderBy(F.desc_nulls_last("f_score"), "feature")

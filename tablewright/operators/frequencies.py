@@ -88,7 +88,11 @@ def modes(
     columns: Iterable[str] | None = None,
     counts: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """``(column, mode, count)``; of tied values the smallest in its own type."""
+    """``(column, mode, count)``; of tied values the smallest in its own type.
+
+    A column without values has a null mode, counted 0 times.
+    """
+    names = df.columns if columns is None else list(columns)
     tables = typed_counts(df, columns) if counts is None else counts
     picked = []
     for table in tables:
@@ -102,7 +106,9 @@ def modes(
                 (-F.col("best.n")).alias("count"),
             )
         )
-    return _union(picked)
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    found = every.join(_union(picked), "column", "left")
+    return found.withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
 
 
 def mode_values(df: DataFrame, columns: Iterable[str]) -> dict[str, object]:

@@ -66,9 +66,11 @@ def numeric_metrics(
     )
     if group_by:
         return found
-    # an empty table has no cells, yet a row per column
+    # an empty table has no cells, yet a row per column with what each metric is of nothing
     every = df.sparkSession.createDataFrame([(n,) for n in cells], "column string")
-    return every.join(found, "column", "left")
+    nothing = long.filter(F.lit(False)).agg(*[fn(F.col("value")).alias(m) for m, fn in metrics.items()])
+    absent = every.join(found, "column", "left_anti").crossJoin(nothing)  # with one row
+    return found.unionByName(absent)
 
 
 def scalars(df: DataFrame, expressions: Mapping[object, Column]) -> dict:

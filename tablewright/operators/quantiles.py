@@ -1,11 +1,11 @@
 """Exact quantiles without a sort and without holding a column in one task.
 
-A quantile sketch brackets each wanted order statistic; the next scan counts
-the rows below the bracket and the distinct values inside it. When the values
-inside are too many to fetch, the sketch runs again inside the bracket. Two
-scans do for up to about a hundred million rows, three for far more, and a
-value repeated so often that it fills its bracket is settled by the count.
-The sketch only steers: a bracket that misses its value is moved.
+A quantile sketch brackets each wanted order statistic; the last scan counts
+the rows below the bracket and the distinct values inside it. Where the brackets
+would hold too many values to fetch, one scan before it counts and sketches inside
+them and narrows them; should they still hold too many, the counted values are
+ranked on the executors. So the table is read two or three times, whatever its
+size. The sketch only steers: a bracket that misses its value is moved.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import number, ref
 from tablewright.operators.fused import scalars
+from tablewright.operators.ranking import rank_table
+from tablewright.session import held
 
 # Sketch size; its rank error is about 0.0002 of the rows.
 SKETCH_SIZE = 32_768
@@ -180,93 +182,136 @@ def _zone_counts(
     return placed.groupBy("i", "zone", inside.alias("value")).agg(*aggregates)
 
 
-def _narrow(df: DataFrame, open_targets: list[_Target]) -> None:
-    """Shrink brackets that hold too many distinct values by sketching inside them."""
+def _narrow(
+    df: DataFrame, open_targets: list[_Target], centres: dict[str, float] | None
+) -> dict[str, PowerSums] | None:
+    """Shrink full brackets by counting and sketching inside them, in one scan.
+
+    The same scan takes the power sums around ``centres``.
+    """
     by_bracket: dict[tuple[str, float, float], list[_Target]] = {}
     for t in open_targets:
         by_bracket.setdefault((t.column, t.low, t.high), []).append(t)
-    counts = {}
+    facts = {}
+    for name, centre in (centres or {}).items():
+        c, d = number(df, name), number(df, name) - F.lit(centre)
+        facts[name, "rows"] = F.count(c)
+        for k, p in enumerate((d, d * d, d * d * d, d * d * d * d)):
+            facts[name, k] = F.sum(p)
     for key in by_bracket:
         name, low, high = key
-        c = number(df, name)
-        counts[key, "below"] = F.count_if(c < low)
-        counts[key, "inside"] = F.count_if((c >= low) & (c <= high))
-    counted = scalars(df, counts)
-    sketches = {}
-    for key, targets in by_bracket.items():
-        name, low, high = key
-        rows = counted[key, "inside"]
-        if low == high or not rows:
+        c = number(df, name) + F.lit(0.0)
+        within = (c >= low) & (c <= high)
+        facts[key, "below"] = F.count_if(c < low)
+        facts[key, "inside"] = F.count_if(within)
+        facts[key, "sketch"] = F.kll_sketch_agg_double(F.when(within, c), SKETCH_SIZE)
+    got = scalars(df, facts)
+    asked = []
+    for at, (key, targets) in enumerate(by_bracket.items()):
+        rows = got[key, "inside"]
+        if key[1] == key[2] or not rows:
             continue
         slack = max(WIDTHS[0][0], 3.0 / rows)
         levels = []
         for t in targets:
-            p = (t.index - counted[key, "below"]) / rows
+            p = (t.index - got[key, "below"]) / rows
             levels += [min(max(p - slack, 0.0), 1.0), min(max(p + slack, 0.0), 1.0)]
-        c = number(df, name)
-        inside = F.when((c >= low) & (c <= high), c)
-        sketches[key] = F.kll_sketch_get_quantile_double(
-            F.kll_sketch_agg_double(inside, SKETCH_SIZE),
-            F.array(*[F.lit(x) for x in levels]),
-        )
-    if not sketches:
-        return
-    for key, points in scalars(df, sketches).items():
-        for i, t in enumerate(by_bracket[key]):
-            t.low, t.high = points[2 * i], points[2 * i + 1]
+        asked.append((at, got[key, "sketch"], levels))
+    if asked:  # a row per bracket
+        table = df.sparkSession.createDataFrame(asked, "at int, sketch binary, levels array<double>")
+        points = table.select("at", F.kll_sketch_get_quantile_double("sketch", F.col("levels")).alias("points"))
+        brackets = list(by_bracket.values())
+        for row in points.collect():
+            for i, t in enumerate(brackets[row["at"]]):
+                t.low, t.high = row["points"][2 * i], row["points"][2 * i + 1]
+    if centres is None:
+        return None
+    return {n: PowerSums(c, got[n, "rows"], [got[n, k] or 0.0 for k in range(4)]) for n, c in centres.items()}
 
 
 def _settle(
     df: DataFrame,
     targets: list[_Target],
     fetch_rows: int,
-    centres: dict[str, float] | None = None,
+    centres: dict[str, float] | None,
+    sketches: dict[str, ColumnSketch],
 ) -> dict[str, PowerSums] | None:
-    """Resolve every target, narrowing or moving its bracket until it is found.
+    """Resolve every target, moving its bracket should the sketch have missed.
 
-    Returns power sums of the columns in ``centres`` when the first round was
-    small enough to fetch.
+    Returns power sums of the columns in ``centres``.
     """
     # a settled target still takes a few rows
     fetch_rows = max(fetch_rows, 16 * len(targets))
     powers = None
-    for attempt in range(64):
+    open_targets = [t for t in targets if t.value is None]
+    brackets = {(t.column, t.low, t.high) for t in open_targets}
+    width = 2 * WIDTHS[0][0]
+    if sum(width * sketches[name].rows for name, _, _ in brackets) > fetch_rows:
+        powers = _narrow(df, open_targets, centres)
+    for _ in range(64):
         open_targets = [t for t in targets if t.value is None]
-        if not open_targets and (attempt or centres is None):
-            break
+        wanted_sums = centres if powers is None else None
+        if not open_targets and not wanted_sums:
+            return powers
         zones = {
             name: _disjoint((t.low, t.high) for t in open_targets if t.column == name)
             for name in dict.fromkeys(t.column for t in open_targets)
         }
-        wanted_sums = centres if attempt == 0 else None
         if wanted_sums is not None:
             zones = {name: zones.get(name, []) for name in wanted_sums}
         names = list(zones)
-        if not names:
-            break
         if not any(zones.values()):
             zones[names[0]] = [(math.inf, math.inf)]
-        rows = _zone_counts(df, zones, wanted_sums).limit(fetch_rows + 1).collect()
-        if len(rows) > fetch_rows:
-            _narrow(df, open_targets)
-            continue
-        entries: dict[str, list] = {name: [] for name in names}
+        counted = held(_zone_counts(df, zones, wanted_sums))
         if wanted_sums is not None:
             powers = {name: PowerSums(wanted_sums[name]) for name in names}
-        for row in rows:
-            name = names[row["i"]]
-            entries[name].append((row["zone"], row["value"], row["count"]))
-            if powers is not None and wanted_sums is not None:
-                powers[name].add(row["count"], [row[f"s{k}"] for k in range(4)])
+            sums = counted.groupBy("i").agg(F.sum("count").alias("rows"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)])
+            for row in sums.collect():  # a row per column
+                powers[names[row["i"]]].add(row["rows"], [row[f"s{k}"] for k in range(4)])
+        by_column = {
+            name: sorted((t for t in open_targets if t.column == name), key=lambda t: t.index) for name in names
+        }
+        if counted.count() > fetch_rows:
+            _rank_inside(counted, names, by_column, zones)
+            continue
+        entries: dict[str, list] = {name: [] for name in names}
+        for row in counted.select("i", "zone", "value", "count").collect():
+            entries[names[row["i"]]].append((row["zone"], row["value"], row["count"]))
         for name in names:
             _locate(
                 sorted(entries[name], key=lambda e: (e[0], -math.inf if e[1] is None else e[1])),
-                sorted((t for t in open_targets if t.column == name), key=lambda t: t.index),
+                by_column[name],
                 zones[name],
             )
-    else:
-        raise RuntimeError("quantile brackets did not settle")
-    return powers
+    raise RuntimeError("quantile brackets did not settle")
+
+
+def _rank_inside(counted: DataFrame, names: list[str], by_column: dict, zones: dict) -> None:
+    """Find targets among counted values that are too many to fetch, on the executors."""
+    totals = counted.groupBy("i", "zone").agg(F.sum("count").alias("count")).collect()  # a row per zone
+    wanted = []
+    for at, name in enumerate(names):
+        sizes = sorted((r["zone"], r["count"]) for r in totals if r["i"] == at)
+        for k, target in enumerate(by_column[name]):
+            seen = 0
+            for zone, count in sizes:
+                if target.index < seen + count:
+                    if zone % 2:
+                        wanted.append((at, zone, k, target.index - seen))
+                    else:
+                        _locate([(zone, None, target.index + 1)], [target], zones[name])
+                    break
+                seen += count
+    if not wanted:
+        return
+    inside = counted.filter(F.col("zone") % 2 == 1).select("i", "zone", "value", "count")
+    ranked = rank_table(inside, ["i", "zone"])
+    asked = counted.sparkSession.createDataFrame(wanted, "i int, zone int, k int, offset bigint")
+    found = ranked.join(F.broadcast(asked), ["i", "zone"]).filter(  # a row per target
+        (F.col("before") <= F.col("offset")) & (F.col("offset") < F.col("before") + F.col("count"))
+    )
+    for row in found.select("i", "k", "value").collect():
+        by_column[names[row["i"]]][row["k"]].value = row["value"]
 
 
 def _locate(entries: list, targets: list[_Target], brackets: list) -> None:
@@ -318,10 +363,7 @@ def quantiles_and_powers(
     centres = None
     if powers:
         centres = {n: s.mean for n, s in sketches.items() if s.rows}
-    sums = _settle(pruned, targets, fetch_rows, centres)
-    if powers and sums is None:
-        # the brackets were too full to fetch at first: one more scan for the sums
-        sums = _settle(pruned, [], fetch_rows, centres)
+    sums = _settle(pruned, targets, fetch_rows, centres, sketches)
     result: dict[str, dict[float, float | None]] = {}
     for name, ps in wanted.items():
         result[name] = {}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import kind_of, number, ref
 from tablewright.operators.fused import counted
-from tablewright.session import BROADCAST_ROWS, broadcast_if_small, held
+from tablewright.session import broadcast_if_small, held, is_small
 
 # Distinct values per bucket aimed at, and the most buckets made.
 BUCKET_VALUES = 100_000
@@ -128,11 +128,10 @@ def column_ranks(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def attach(df: DataFrame, on: str, table: DataFrame, wanted: str, name: str) -> DataFrame:
     """Add ``table.wanted`` as ``name`` by matching ``on`` with ``table.value``.
 
-    A table within the size limit is broadcast. Beyond it the values that fill
-    the table's rows by themselves (at most ``1 / HEAVY_SHARE`` of them) are
-    broadcast and the rest is shuffled, with heavy rows spread over all tasks.
+    A table within the size limits is broadcast. Beyond them the values that fill
+    the table's rows by themselves (at most ``1 / HEAVY_SHARE`` of them) are matched
+    apart and the rest is shuffled, with heavy rows spread over all tasks.
     """
-    rows = table.limit(BROADCAST_ROWS + 1).count()
     lookup = table.select(
         F.col("value").alias("_v"),
         F.col(wanted).alias(name),
@@ -142,10 +141,10 @@ def attach(df: DataFrame, on: str, table: DataFrame, wanted: str, name: str) ->
         key, blank = ref(on).cast("double") + F.lit(0.0), F.lit(0.0)
     else:
         key, blank = ref(on), F.lit("")
-    if rows <= BROADCAST_ROWS:
+    if is_small(lookup):
         small = F.broadcast(lookup.drop("_heavy"))
         return df.join(small, key == F.col("_v"), "left").drop("_v")
-    heavy = F.broadcast(
+    heavy = broadcast_if_small(
         lookup.filter("_heavy").select(
             F.col("_v").alias("_hv"), F.col(name).alias("_hit")
         )

@@ -25,6 +25,7 @@ CLIP = 1e-7
 POWER_WINDOW = (-2.0, 4.0)
 POWER_STEP = 0.5
 POWER_LAST_STEP = 0.0005
+POWER_REACH = 1e6
 
 
 def fit_scaler(df: DataFrame, columns: Iterable[str], method: str) -> dict[str, dict]:
@@ -79,6 +80,28 @@ def yeo_johnson(c: Column, lam: Column) -> Column:
     return F.when(c >= 0, up).otherwise(down)
 
 
+def _log_scale(centre: Column, lam: Column) -> Column:
+    """Logarithm of the transform's slope at the centre, but for a constant factor."""
+    return F.when(centre >= 0, lam * F.log1p(F.abs(centre))).otherwise((2 - lam) * F.log1p(F.abs(centre)))
+
+
+def _power_gap(a: Column, b: Column, lam: Column) -> Column:
+    """``((1 + a) ** lam / (1 + b) ** lam - 1) / lam`` from the logarithm of the ratio."""
+    ratio = F.log1p((a - b) / (1 + b))
+    return F.when(F.abs(lam) < 1e-12, ratio).otherwise(F.expm1(lam * ratio) / lam)
+
+
+def yeo_johnson_gap(c: Column, centre: Column, lam: Column) -> Column:
+    """Transformed value less the transformed centre, divided by the scale at the centre.
+
+    No two large numbers are subtracted, and no power of a large number is left: values
+    close together far from zero keep their spread.
+    """
+    same_side = F.when(c >= 0, _power_gap(c, centre, lam)).otherwise(-_power_gap(-c, -centre, 2 - lam))
+    across = (yeo_johnson(c, lam) - yeo_johnson(centre, lam)) * F.exp(-_log_scale(centre, lam))
+    return F.when((c >= 0) == (centre >= 0), same_side).otherwise(across)
+
+
 def _fit_power(df: DataFrame, columns: list[str]) -> dict:
     """Lambda of largest likelihood per column, then mean and deviation.
 
@@ -123,7 +146,7 @@ def _fit_power(df: DataFrame, columns: list[str]) -> dict:
         rows = counts.select("i", "value", "w", F.posexplode(table[F.col("i")]).alias("k", "lam"))
         lam = F.col("lam")
         # measured from the transformed mean, which keeps the small variances
-        t = yeo_johnson(v, lam) - yeo_johnson(centres[F.col("i")], lam)
+        t = yeo_johnson_gap(v, centres[F.col("i")], lam)
         sums = (
             rows.select("i", "k", "w", t.alias("t"))
             .groupBy("i", "k")
@@ -138,20 +161,27 @@ def _fit_power(df: DataFrame, columns: list[str]) -> dict:
             variance = r["s2"] / n - (r["s1"] / n) ** 2
             if variance > 0 and math.isfinite(variance):
                 x = grids[i][r["k"]]
-                out[i][r["k"]] = -n / 2 * math.log(variance) + (x - 1) * base[i]["jacobian"]
+                centre = base[i]["mean"]
+                scale = (x if centre >= 0 else 2 - x) * math.log1p(abs(centre))
+                out[i][r["k"]] = -n / 2 * (math.log(variance) + 2 * scale) + (x - 1) * base[i]["jacobian"]
         return out
 
-    rounds = 0
-    while open_columns and rounds < 40:
-        rounds += 1
+    while open_columns:
         scores = score(grids)
+        lost = [columns[i] for i in open_columns if max(scores[i]) == -math.inf]
+        if lost:
+            raise PrepareError("no power transform has a finite likelihood", {"columns": lost})
         moved = False
         for i in open_columns:
             k = max(range(len(scores[i])), key=lambda j: scores[i][j])
             best[i] = grids[i][k]
             moved = moved or k in (0, len(scores[i]) - 1)
         if moved:
-            # the best is on the rim of a window: slide the windows, same step
+            # the best is on the rim of a window: slide the windows with twice the step
+            far = [columns[i] for i in open_columns if abs(best[i]) > POWER_REACH]
+            if far:
+                raise PrepareError("the likelihood has no peak", {"columns": far})
+            step *= 2
             grids = {i: [best[i] + (j - 4) * step for j in range(9)] for i in open_columns}
             continue
         if step <= POWER_LAST_STEP:
@@ -161,17 +191,21 @@ def _fit_power(df: DataFrame, columns: list[str]) -> dict:
         step /= 4
         grids = {i: [best[i] + (j - 4) * step for j in range(9)] for i in open_columns}
     transformed = {
-        (c, f): fn(yeo_johnson(number(df, c), F.lit(best[i])))
+        (c, f): fn(yeo_johnson_gap(number(df, c), F.lit(_centre(base, i)), F.lit(best[i])))
         for i, c in enumerate(columns)
         for f, fn in (("mean", F.avg), ("std", F.stddev_pop))
     }
     got = scalars(df, transformed)
     return {
-        c: {"lambda": best[i], "mean": got[c, "mean"], "std": got[c, "std"]}
+        c: {"lambda": best[i], "centre": _centre(base, i), "mean": got[c, "mean"], "std": got[c, "std"]}
         for i, c in enumerate(columns)
     }
 
 
+def _centre(base: dict, i: int) -> float:
+    return base[i]["mean"] if i in base else 0.0
+
+
 def _peak(xs: list[float], ys: list[float]) -> float:
     """Top of the parabola through the best point and its neighbours."""
     k = max(range(len(ys)), key=lambda j: ys[j])
@@ -240,18 +274,45 @@ def scaled(c: Column, params: dict) -> Column:
     if method == "robust":
         return (c - F.lit(params["median"])) / F.lit(_safe(params["iqr"]))
     if method == "power":
-        t = yeo_johnson(c, F.lit(params["lambda"]))
+        t = yeo_johnson_gap(c, F.lit(params["centre"]), F.lit(params["lambda"]))
         return (t - F.lit(params["mean"])) / F.lit(_safe(params["std"]))
     return _to_normal(params["landmarks"])(c)
 
 
+def inverse_normal(p):
+    """Quantiles of the normal distribution for an array of probabilities.
+
+    Newton steps on the tail's logarithm, ``log(Q(x))``, from an asymptotic start. The
+    tail is a continued fraction far out and a series near the middle.
+    """
+    import numpy as np
+
+    low = np.minimum(p, 1 - p)
+    wanted = np.log(low)
+    x = np.sqrt(np.maximum(-2 * np.log(2 * np.maximum(low, 1e-300)), 0.0))
+    for _ in range(40):
+        density = np.exp(-0.5 * x * x) / np.sqrt(2 * np.pi)
+        term, series = x.copy(), x.copy()
+        for k in range(1, 60):
+            term = term * x * x / (2 * k + 1)
+            series = series + term
+        near = 0.5 - density * series
+        fraction = x + 0.0
+        for k in range(60, 0, -1):
+            fraction = x + k / np.where(fraction == 0, 1e-300, fraction)
+        tail = np.where(x < 2.5, near, density / np.where(fraction == 0, 1.0, fraction))
+        step = (np.log(tail) - wanted) * tail / density
+        x = np.maximum(x + step, 0.0)
+        if not np.any(np.abs(step) > 1e-13 * (1 + x)):
+            break
+    return np.where(p < 0.5, -x, x)
+
+
 def _to_normal(landmarks: list[float]):
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
     def to_normal(values):
-        from statistics import NormalDist
-
         import numpy as np
         import pandas as pd
 
@@ -266,8 +327,6 @@ def _to_normal(landmarks: list[float]):
         position = np.where(x - CLIP < marks[0], 0.0, position)
         position = np.where(x + CLIP > marks[-1], 1.0, position)
         position = np.clip(position, CLIP, 1.0 - CLIP)
-        normal = NormalDist().inv_cdf
-        out = np.array([np.nan if np.isnan(p) else normal(p) for p in position])
-        return pd.Series(np.where(np.isnan(x), np.nan, out))
+        return pd.Series(np.where(np.isnan(x), np.nan, inverse_normal(position)))
 
     return lambda c: F.when(c.isNotNull(), to_normal(c))

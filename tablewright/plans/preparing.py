@@ -71,7 +71,7 @@ class FittedPrep:
         )
         if spec.imputation == "knn" and spec.numeric:
             df = nearest_fill(df, spec.numeric, self.donors)
-        strict = spec.encoding != "onehot"
+        strict = spec.encoding != "position"
         coded = {}
         for i, name in enumerate(c for c in spec.categorical if self.categories[c] is None):
             coded[name] = f"_code{i}"
@@ -82,14 +82,13 @@ class FittedPrep:
             c = ref(name) if fill is None else F.coalesce(ref(name), F.lit(float(fill)))
             out.append(scaled(c, self.scales[name]).alias(name))
         for name in spec.categorical:
-            if name in coded:
-                # too many categories for a column each: the position of the 1
-                label = f"{name}_position" if spec.encoding == "onehot" else name
-                out.append(F.col(coded[name]).alias(label))
-            elif spec.encoding == "onehot":
+            label = f"{name}_position" if spec.encoding == "position" else name
+            if spec.encoding == "onehot":
                 out += encoding.one_hot(ref(name), name, self.categories[name])
+            elif name in coded:
+                out.append(F.col(coded[name]).alias(label))
             else:
-                out.append(encoding.code(ref(name), self.categories[name]).alias(name))
+                out.append(encoding.code(ref(name), self.categories[name], strict).alias(label))
         return df.select(*out)
 
     def parameters(self) -> dict:
@@ -150,7 +149,9 @@ def fit(df: DataFrame, spec: PrepSpec, inline_categories: int = encoding.INLINE_
             for c in spec.categorical
         ]
     )
-    lists, tables = encoding.fit_categories(texts, spec.categorical, inline_categories)
+    # a column per category needs them all; codes may stay in a table
+    inline = None if spec.encoding == "onehot" else inline_categories
+    lists, tables = encoding.fit_categories(texts, spec.categorical, inline)
     return FittedPrep(spec, fills, scales, lists, tables, donors)
 
 

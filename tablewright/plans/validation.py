@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablewright.functions.kinds import ref
 from tablewright.operators import checks as C
 
 # Rules applied when none are given.
@@ -78,5 +80,11 @@ def summarise_reports(headers: DataFrame) -> DataFrame:
 
 
 def latest(table: DataFrame, time_column: str, n: int = 5) -> DataFrame:
-    """The most recent records."""
-    return table.orderBy(F.desc(time_column)).limit(n)
+    """The most recent records; records of one time are ordered by their other columns."""
+    simple = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    rest = [
+        ref(f.name) if not isinstance(f.dataType, simple) else F.to_json(F.struct(ref(f.name)))
+        for f in table.schema.fields
+        if f.name != time_column
+    ]
+    return table.orderBy(F.desc(time_column), *rest).limit(n)

@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.errors import TablewrightError
 
-# Rows a side may have before it is no longer broadcast. Sides are narrow
-# (a key and one or two numbers), so this stays in the tens of megabytes.
+# Rows and bytes a side may have before it is no longer broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -34,15 +35,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder: ``spark.checkpoint.dir``.
 
-    Where the setting is absent a folder is made on a single machine only; on a
-    cluster other machines could not see it.
+    Where the setting is absent a folder is made only if driver and executors are one
+    process; others could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise TablewrightError("set spark.checkpoint.dir to a folder all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
     return context.getCheckpointDir()
@@ -72,6 +73,26 @@ def release() -> None:
             frame.unpersist()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, the rest by a fixed width."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        c = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + F.lit(16)
+    return total.cast("bigint")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` was measured to have at most ``rows`` rows and ``size`` bytes."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return found[0] <= rows and (found[1] or 0) <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring its rows and bytes."""
+    return F.broadcast(df) if is_small(df, rows, size) else df

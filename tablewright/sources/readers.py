@@ -29,16 +29,22 @@ def _paths(path: str | Iterable[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def files_by_encoding(spark: SparkSession, path: str | Iterable[str]) -> tuple[list[str], list[str]]:
-    """Files that are valid UTF-8, and the others; one scan over the raw lines."""
+def files_by_form(spark: SparkSession, path: str | Iterable[str]) -> dict[tuple[bool, bool], list[str]]:
+    """Files by (valid UTF-8, a quoted field goes on in the next line); one scan.
+
+    An odd number of quotes in a line tells of such a field.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     lines = spark.read.text(_paths(path)).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
-    )
-    files = lines.groupBy("file").agg(F.min("valid").alias("valid")).collect()
-    return (
-        sorted(r["file"] for r in files if r["valid"]),
-        sorted(r["file"] for r in files if not r["valid"]),
+        F.col("_metadata.file_path").alias("file"),
+        F.is_valid_utf8("value").alias("valid"),
+        (quotes % 2 == 1).alias("open"),
     )
+    found: dict[tuple[bool, bool], list[str]] = {}
+    files = lines.groupBy("file").agg(F.min("valid").alias("valid"), F.max("open").alias("open"))
+    for r in files.orderBy("file").collect():
+        found.setdefault((r["valid"], r["open"]), []).append(r["file"])
+    return found
 
 
 def _csv(spark, paths, encoding, schema, options) -> DataFrame:
@@ -56,29 +62,36 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; files that are not UTF-8 are read as Latin-1.
 
-    Without a schema the columns become numbers or booleans where all their
-    values are, in one more scan. A given ``encoding`` spares the check of the
-    files, a given ``schema`` the inference.
+    Files with line breaks inside quotes are read whole by one task each, the others in
+    splits. Texts in ``missing`` become null. Without a schema the columns become
+    numbers or booleans where all their values are, in one more scan. A given
+    ``encoding`` together with ``multiLine`` spares the check of the files, a given
+    ``schema`` the inference.
     """
-    if encoding is not None:
-        parts = [(_paths(path), encoding)]
+    if encoding is not None and "multiLine" in options:
+        parts = [(_paths(path), encoding, options["multiLine"])]
     else:
-        good, bad = files_by_encoding(spark, path)
-        if not bad:
-            parts = [(_paths(path), ENCODINGS[0])]
-        else:
-            parts = [(files, e) for files, e in zip((good, bad), ENCODINGS) if files]
+        forms = files_by_form(spark, path)
+        parts = [
+            (files, encoding or ENCODINGS[0 if valid else 1], options.get("multiLine", goes_on))
+            for (valid, goes_on), files in sorted(forms.items(), reverse=True)
+        ] or [(_paths(path), encoding or ENCODINGS[0], False)]
+        if len(parts) == 1:
+            parts = [(_paths(path), *parts[0][1:])]
     table = None
-    for files, name in parts:
-        part = _csv(spark, files, name, schema, options)
+    for files, name, goes_on in parts:
+        part = _csv(spark, files, name, schema, {**options, "multiLine": goes_on})
         table = part if table is None else table.unionByName(part, allowMissingColumns=True)
-    if schema is not None:
-        return table
     tokens = [t for t in missing if t]
     cleaned = table.select(
-        *[F.when(~ref(c).isin(tokens), ref(c)).alias(c) for c in table.columns]
+        *[
+            F.when(~ref(f.name).isin(tokens), ref(f.name)).alias(f.name)
+            if tokens and isinstance(f.dataType, T.StringType)
+            else ref(f.name)
+            for f in table.schema.fields
+        ]
     )
-    return _plain_types(cleaned)
+    return cleaned if schema is not None else _plain_types(cleaned)
 
 
 def _plain_types(df: DataFrame) -> DataFrame:
@@ -180,18 +193,43 @@ def read_table(
     return assert_table(df, allow_nulls=True) if validate else df
 
 
+def whole_files(reader, files: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Files that can be read to their end, and the reason for each of the others.
+
+    A group of files is read as a whole; a group that fails is halved, so ``k`` broken
+    files of ``n`` take about ``k log n`` jobs, none of which brings rows to the driver.
+    """
+    good, failed, groups = [], {}, [files] if files else []
+    while groups:
+        group = groups.pop()
+        try:
+            reader.load(group).write.format("noop").mode("overwrite").save()
+            good += group
+        except Exception as e:  # any reader's own kind of failure
+            if len(group) == 1:
+                failed[group[0]] = str(e).splitlines()[0] if str(e) else type(e).__name__
+            else:
+                half = len(group) // 2
+                groups += [group[:half], group[half:]]
+    return sorted(good), failed
+
+
 def read_many(
     spark: SparkSession, patterns: str | Iterable[str], fmt: str, **options
-) -> DataFrame:
+) -> tuple[DataFrame, dict[str, str]]:
     """All files matching the patterns as one table, with their path as ``source``.
 
-    Files that cannot be read are skipped.
+    Files that cannot be read to their end are left out whole; the second result names
+    them with the reason.
     """
-    reader = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True, **options)
+    reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
         reader = reader.option("header", True)
-    df = reader.format(fmt).load(_paths(patterns))
-    return df.select("*", F.col("_metadata.file_path").alias("source"))
+    listed = spark.read.format("binaryFile").load(_paths(patterns)).select("path")
+    good, failed = whole_files(reader, sorted(r["path"] for r in listed.collect()))  # the listing
+    if not good:
+        raise ReadError("no file could be read", failed)
+    return reader.load(good).select("*", F.col("_metadata.file_path").alias("source")), failed
 
 
 def read_each(spark: SparkSession, paths: Iterable[str], **options) -> tuple[dict[str, DataFrame], dict[str, str]]:

@@ -10,33 +10,40 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.kinds import number, ref
+from tablewright.session import broadcast_if_small
 
 # Samples kept per metric, and the seconds an operation may take.
 METRIC_HISTORY = 1_000
 OPERATION_TIMEOUT = 3_600.0
-# Row-number limits up to this size are applied before the shuffle by Spark.
-PUSHED_LIMIT = 1_000
-# Parts a group is split in when a longer limit is applied in two steps.
-PARTS = 64
+
+
+def _since(df: DataFrame, metric: str, ts: str, unit: str, n: int) -> DataFrame:
+    """Rows of the newest slices of time that hold the latest ``n`` samples of a metric.
+
+    Counts per metric and slice combine before the shuffle, so no task holds a metric.
+    Rows without a time are older than all others.
+    """
+    slices = df.withColumn("_slice", F.date_trunc(unit, F.coalesce(ref(ts), F.lit("0001-01-01").cast(df.schema[ts].dataType))))
+    newer = Window.partitionBy("_metric").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = slices.groupBy(ref(metric).alias("_metric"), "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).filter(F.col("_newer") < n)
+    first = wanted.groupBy("_metric").agg(F.min("_slice").alias("_first"))
+    joined = slices.join(broadcast_if_small(first), ref(metric).eqNullSafe(F.col("_metric")))
+    return joined.filter(F.col("_slice") >= F.col("_first")).drop("_slice", "_metric", "_first")
 
 
 def last_samples(df: DataFrame, metric: str, ts: str, key: str, n: int = METRIC_HISTORY) -> DataFrame:
-    """The latest ``n`` rows of every metric."""
-    newest = [ref(ts).desc(), ref(key).desc()]
-    by_metric = Window.partitionBy(ref(metric)).orderBy(*newest)
-    if n > PUSHED_LIMIT:
-        # first per part of the metric, then over the parts' winners
-        part = F.pmod(F.xxhash64(ref(key)), F.lit(PARTS))
-        by_part = Window.partitionBy(ref(metric), "_part").orderBy(*newest)
-        df = (
-            df.withColumn("_part", part)
-            .withColumn("_place", F.row_number().over(by_part))
-            .filter(F.col("_place") <= n)
-            .drop("_part", "_place")
-        )
-    return df.withColumn("_place", F.row_number().over(by_metric)).filter(F.col("_place") <= n).drop("_place")
+    """The latest ``n`` rows of every metric.
+
+    Hours, then seconds, are counted to find the time from which on ``n`` samples are
+    left; only those rows are ranked.
+    """
+    recent = _since(_since(df, metric, ts, "hour", n), metric, ts, "second", n)
+    newest = Window.partitionBy(ref(metric)).orderBy(ref(ts).desc(), ref(key).desc())
+    return recent.withColumn("_place", F.row_number().over(newest)).filter(F.col("_place") <= n).drop("_place")
 
 
 def metric_summary(df: DataFrame, metric: str, value: str, ts: str, key: str, n: int = METRIC_HISTORY) -> DataFrame:
@@ -192,18 +199,16 @@ def open_operations(
     ).filter(F.col("seconds") > timeout)
 
 
-TRACK_SCHEMA = "operation long, outcome string, started timestamp, ended timestamp, seconds double"
-
-
 def track_operations(
     stream: DataFrame, operation: str, kind: str, start: str, end: str, ts: str, key: str,
     delay: str = "10 minutes", timeout: float = OPERATION_TIMEOUT,
 ) -> DataFrame:
     """Durations (``completed``) and overlong operations (``long_running``) of a stream.
 
-    The state of an operation is the time of its open start. Marks are ordered
-    inside a micro-batch, whose size the source's ``maxFilesPerTrigger`` bounds;
-    marks that reach a later batch out of order are taken as they arrive. An operation is reported overlong once, when event time
+    Operations go by whatever type their column has. The state of an operation is the
+    time of its open start. Marks are ordered inside a micro-batch, whose size the
+    source's ``maxFilesPerTrigger`` bounds; marks that reach a later batch out of order
+    are taken as they arrive. An operation is reported overlong once, when event time
     passes its start by the timeout.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -213,47 +218,67 @@ def track_operations(
         .withWatermark(ts, delay)
         .filter(ref(kind).isin([start, end]))
         .select(
-            ref(operation).cast("long").alias("operation"), ref(ts).alias("ts"), ref(key).alias("id"),
+            ref(operation).alias("operation"), ref(ts).alias("ts"), ref(key).alias("id"),
             (ref(kind) == start).alias("is_start"),
         )
     )
     limit_ms = int(timeout * 1000)
+    schema = T.StructType(
+        [
+            T.StructField("operation", marks.schema["operation"].dataType),
+            T.StructField("outcome", T.StringType()),
+            T.StructField("started", T.TimestampType()),
+            T.StructField("ended", T.TimestampType()),
+            T.StructField("seconds", T.DoubleType()),
+        ]
+    )
 
     def advance(key, batches, state):
+        import numpy as np
         import pandas as pd
 
-        columns = ["operation", "outcome", "started", "ended", "seconds"]
+        def overlong(began):
+            return pd.DataFrame(
+                {
+                    "operation": [key[0]], "outcome": ["long_running"], "started": [pd.Timestamp(began, unit="us")],
+                    "ended": [pd.NaT], "seconds": [timeout],
+                }
+            )
+
         if state.hasTimedOut:
             (opened,) = state.get
             state.update((opened,))  # stays open, already reported
-            began = pd.Timestamp(opened, unit="us")
-            yield pd.DataFrame([(key[0], "long_running", began, pd.NaT, timeout)], columns=columns)
+            yield overlong(opened)
             return
-        opened = state.get[0] if state.exists else None
-        rows = []
         every = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
-        for moment, is_start in zip(every["ts"], every["is_start"]):
-            at = int(moment.value // 1000)
-            if is_start:
-                opened = at
-            elif opened is not None:
-                took = (at - opened) / 1e6
-                rows.append((key[0], "completed", pd.Timestamp(opened, unit="us"), moment, took))
-                opened = None
-        if opened is None:
+        at = every["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        starts = every["is_start"].to_numpy(dtype=bool)
+        if state.exists:  # the open start stands before all marks of the batch
+            at, starts = np.r_[state.get[0], at], np.r_[True, starts]
+        ends = np.flatnonzero(~starts[1:] & starts[:-1]) + 1
+        yield pd.DataFrame(
+            {
+                "operation": [key[0]] * len(ends),
+                "outcome": "completed",
+                "started": pd.to_datetime(at[ends - 1], unit="us"),
+                "ended": pd.to_datetime(at[ends], unit="us"),
+                "seconds": (at[ends] - at[ends - 1]) / 1e6,
+            }
+        )
+        if not starts[-1]:
             if state.exists:
                 state.remove()
+            return
+        opened = int(at[-1])
+        state.update((opened,))
+        due = opened // 1000 + limit_ms
+        if due > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(due)
         else:
-            state.update((opened,))
-            due = opened // 1000 + limit_ms
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                rows.append((key[0], "long_running", pd.Timestamp(opened, unit="us"), pd.NaT, timeout))
-        yield pd.DataFrame(rows, columns=columns)
+            yield overlong(opened)
 
     return marks.groupBy("operation").applyInPandasWithState(
-        advance, TRACK_SCHEMA, "opened long", "append", GroupStateTimeout.EventTimeTimeout
+        advance, schema, "opened long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -249,9 +249,19 @@ def test_unknown_categories(spark):
         preparing.fit(df, PrepSpec([], ["c"], encoding="ordinal"), inline_categories=1).transform(other).collect()
 
 
-def test_many_categories_one_hot(spark):
+@pytest.mark.parametrize("n", [2, 998, 1_000, 1_500])
+def test_one_hot_has_one_form(spark, n):
+    df = spark.range(n).selectExpr("concat('v', format_string('%05d', id)) AS c")
+    out = preparing.fit(df, PrepSpec([], ["c"]), inline_categories=2).transform(df.limit(1), ["c"])
+    row = out.first().asDict()
+    assert len(row) == n + 1 and sum(v for k, v in row.items() if k != "c") == 1.0
+    assert row[f"c_{row['c']}"] == 1.0
+
+
+@pytest.mark.parametrize("inline", [2, 999])
+def test_position_is_the_sparse_form(spark, inline):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "c string")
-    fitted = preparing.fit(df, PrepSpec([], ["c"]), inline_categories=2)
+    fitted = preparing.fit(df, PrepSpec([], ["c"], encoding="position"), inline_categories=inline)
     out = fitted.transform(df.unionAll(spark.createDataFrame([("z",)], "c string")), ["c"])
     assert {r["c"]: r["c_position"] for r in out.collect()} == {"a": 0, "b": 1, "c": 2, "z": None}
 
