@@ -11,11 +11,16 @@ Equal sets are one node from the start, so exact copies cost nothing further. In
 bucket every node is paired with the bucket's smallest node only (a star), which keeps
 pairs linear in the rows. Pairs are confirmed on the full sets and linked by connected
 components. A star can miss a link between two of its points, so buckets that still
-span several components are worked up again: members take turns as centres, about
-``CENTRES`` a round, against the members of other components, until each has been
-one. Nothing in a bucket remains untested but what is already in one component.
+span several components are worked up again: the members outside a bucket's largest
+component are compared with the members of its other components, about ``CENTRES`` of
+them a round, until all have been. A pair is taken in the first band it shares only.
+Nothing in a bucket remains untested but what is already in one component.
 
-A link with similarity 0.8 has no common band with a probability of 2e-7.
+Before texts are read again, pairs whose one-bit sketches differ too much are dropped:
+``BITS`` bins with a bit each, in which a link differs in a tenth of the bits.
+
+A link with similarity 0.8 has no common band with a probability of 2e-7, and is
+dropped by its sketch with one of 1e-10.
 
 Inputs: a null text, or one without words, has an empty set and is linked with nothing.
 A text with fewer words than a shingle has one shingle, the whole sequence. A null id
@@ -37,12 +42,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import ref
-from tablewright.llm.common import portions, written
+from tablewright.llm.common import per_worker, portions, written
+from tablewright.session import broadcast_if_small
 
 BANDS = 40
 ROWS = 5
 BINS = BANDS * ROWS
-CENTRES = 32
+CENTRES = 1024
+BITS = 1024
+FEW = 64  # filled bins up to which draws are looked up instead of made
+# Bits that may differ: a tenth, and six and a half standard deviations.
+DIFFERENT = int(0.1 * BITS + 6.5 * (0.09 * BITS) ** 0.5)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 POWER = 0x9E3779B97F4A7C15 | 1
 
@@ -111,21 +121,46 @@ class Shingler:
         return out
 
 
-def bin_values(sets: list[np.ndarray]) -> np.ndarray:
+def _draw(bins: np.ndarray, attempt: int, size: int) -> np.ndarray:
+    """The bin that each of ``bins`` draws in an attempt."""
+    return (_mix(bins.astype(np.uint64) + np.uint64(attempt * size)) % np.uint64(size)).astype(np.int64)
+
+
+def _first_draws(size: int) -> np.ndarray:
+    """For every bin, the attempt that first draws each other bin.
+
+    Bins not drawn in so many attempts follow in an order of their own.
+    """
+    every = np.arange(size)
+    attempts = 16 * size
+    order = _mix(every[:, None].astype(np.uint64) * np.uint64(POWER) + every.astype(np.uint64))
+    table = attempts + 1 + (order >> np.uint64(40)).astype(np.int32)
+    for attempt in range(attempts, 0, -1):
+        table[every, _draw(every, attempt, size)] = attempt
+    return table
+
+
+def bin_values(sets: list[np.ndarray], size: int = BINS) -> np.ndarray:
     """The smallest hash of each bin, empty bins filled by densification; no set may be empty."""
-    values = np.full((len(sets), BINS), EMPTY)
+    values = np.full((len(sets), size), EMPTY)
     for row, own in zip(values, sets):
-        bins = ((own >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+        bins = ((own >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
         first = np.r_[True, bins[1:] != bins[:-1]]  # sorted hashes have sorted bins
         row[bins[first].astype(np.int64)] = own[first]
     filled = values != EMPTY
     out = values.copy()
-    rows, bins = np.nonzero(~filled)
+    few = filled.sum(axis=1) <= FEW
+    if few.any():  # these would draw in vain many times: look up which of their bins comes first
+        table = per_worker(f"draws:{size}", lambda: _first_draws(size))
+        for row in np.flatnonzero(few).tolist():
+            own = np.flatnonzero(filled[row])
+            borrowed = values[row, own[table[:, own].argmin(axis=1)]]
+            out[row] = np.where(filled[row], values[row], borrowed)
+    rows, bins = np.nonzero(~filled & ~few[:, None])
     attempt = 0
     while len(rows):
         attempt += 1
-        drawn = _mix(bins.astype(np.uint64) + np.uint64(attempt * BINS)) % np.uint64(BINS)
-        drawn = drawn.astype(np.int64)
+        drawn = _draw(bins, attempt, size)
         found = filled[rows, drawn]
         out[rows[found], bins[found]] = values[rows[found], drawn[found]]
         rows, bins = rows[~found], bins[~found]
@@ -140,6 +175,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit per bin, of the bin's value and number, as 64-bit words."""
+    values = bin_values(sets, BITS)
+    bits = _mix(values * np.uint64(POWER) + np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+
+
 def _digest(own: np.ndarray) -> bytes | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
@@ -159,7 +201,7 @@ def _each(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(id, text_hash, n_shingles, digest, bands) of (id, text_hash, text binary)."""
+    """(id, text_hash, n_shingles, digest, bands, sketch) of (id, text_hash, text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -168,6 +210,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingler.sets(part)
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(bin_values(full))) if full else iter(())
+                bits = iter(sketches(full)) if full else iter(())
                 none = np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -176,11 +219,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
                         _lists([next(keys) if len(s) else none for s in sets]),
+                        _lists([next(bits) if len(s) else none for s in sets]),
                     ],
-                    ["id", "text_hash", "n_shingles", "digest", "bands"],
+                    ["id", "text_hash", "n_shingles", "digest", "bands", "sketch"],
                 )
 
-    columns = "id long, text_hash long, n_shingles long, digest binary, bands array<long>"
+    columns = "id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
     return docs.mapInArrow(run, columns)
 
 
@@ -218,7 +262,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = (
             large.join(low, "u")
@@ -236,23 +279,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
 
 
+def _alike(one: str, other: str) -> Column:
+    """Whether two sketches may belong to a link."""
+    words = range(BITS // 64)
+    apart = sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in words), F.lit(0))
+    return apart <= DIFFERENT
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    sizes = nodes.select("digest", "n_shingles")
+    facts = nodes.select("digest", "n_shingles", "sketch")
     # A similarity needs sizes that far apart at most.
     sized = (
-        pairs.join(sizes.select(F.col("digest").alias("a"), F.col("n_shingles").alias("n_a")), "a")
-        .join(sizes.select(F.col("digest").alias("b"), F.col("n_shingles").alias("n_b")), "b")
+        pairs.join(facts.toDF("a", "n_a", "k_a"), "a")
+        .join(facts.toDF("b", "n_b", "k_b"), "b")
         .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        .filter(_alike("k_a", "k_b"))
+        .select("a", "b", "n_a", "n_b")
     )
     sized = written(sized, "near-pairs")
     needed = sized.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    owners = nodes.join(needed, "digest").select("owner", "text_hash")
-    texts = docs.join(owners, ["owner", "text_hash"], "left_semi").select("text")
+    owners = written(nodes.join(needed, "digest").select("owner", "text_hash"), "near-owners")
+    texts = docs.join(broadcast_if_small(owners), ["owner", "text_hash"], "left_semi").select("text")
     sets = written(shingle_sets(texts, words).dropDuplicates(["digest"]), "near-sets")
     return (
-        sized.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("s_a")), "a")
-        .join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("s_b")), "b")
+        sized.join(sets.toDF("a", "s_a"), "a")
+        .join(sets.toDF("b", "s_b"), "b")
         .withColumn("common", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
         .filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent)
         .select("a", "b")
@@ -271,6 +323,37 @@ def _stars(buckets: DataFrame) -> DataFrame:
     )
 
 
+def _left_over(buckets: DataFrame, found: DataFrame, nodes: DataFrame) -> Iterator[DataFrame]:
+    """Rounds of pairs (a, b) that share a bucket but no component."""
+    placed = buckets.join(found.toDF("digest", "component"), "digest", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "digest"))
+    groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    open_ = groups.groupBy("key").agg(
+        F.max(F.struct("rows", "component")).alias("largest"), F.sum("rows").alias("rows")
+    )
+    open_ = open_.filter(F.col("rows") > F.col("largest.rows")).select(
+        "key",
+        F.col("largest.component").alias("main"),
+        F.ceil((F.col("rows") - F.col("largest.rows")) / CENTRES).alias("turns"),
+    )
+    facts = nodes.select("digest", "bands", "sketch")
+    members = written(placed.join(open_, "key").join(facts, "digest"), "near-open")
+    turns = members.agg(F.max("turns")).first()[0] or 0
+    for turn in range(turns):
+        mine = F.pmod(F.xxhash64("key", "digest"), F.col("turns")) == turn
+        centres = members.filter((F.col("component") != F.col("main")) & mine)
+        centres = centres.select("key", *[F.col(c).alias(f"c_{c}") for c in ("digest", "component", "bands", "sketch")])
+        first_band = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("m.key")
+        apart = (
+            (F.col("m.key") == F.col("c.key"))
+            & (F.col("component") != F.col("c_component"))
+            & _alike("sketch", "c_sketch")
+            & first_band
+        )
+        pairs = members.alias("m").join(centres.alias("c"), apart)
+        yield pairs.select(F.least("digest", "c_digest").alias("a"), F.greatest("digest", "c_digest").alias("b")).distinct()
+
+
 def _owner(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit("null"))
 
@@ -282,56 +365,25 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     nodes = (
         marked.filter("digest is not null")
         .groupBy("digest")
-        .agg(some.alias("one"), F.max("n_shingles").alias("n_shingles"))
-        .select("digest", "n_shingles", F.col("one.id").alias("id"), F.col("one.text_hash").alias("text_hash"))
+        .agg(some.alias("one"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+        .select("digest", "one.id", "one.text_hash", "n_shingles", "bands", "sketch")
         .withColumn("owner", _owner(F.col("id")))
     )
     nodes = written(nodes, "near-nodes")
-    # One row per copy would carry the same bands: only the node's own row is dealt out.
-    bands = (
-        marked.filter("digest is not null")
-        .select("digest", "id", "text_hash", "bands")
-        .join(
-            nodes.select("digest", F.col("id").alias("own_id"), F.col("text_hash").alias("own_hash")),
-            "digest",
-        )
-        .filter(F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-        .select("digest", F.explode("bands").alias("key"))
-    )
+    bands = nodes.select("digest", F.explode("bands").alias("key"))
     counted = bands.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     shared = counted.filter("low <> high").select("key")
     buckets = written(bands.join(shared, "key").distinct(), "near-buckets")
 
     links = written(_confirmed(_stars(buckets), nodes, docs, words, percent), "near-links")
     found = written(components(links), "near-components")
-    turn = 0
-    while True:
-        placed = buckets.join(found.select(F.col("node").alias("digest"), "component"), "digest", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "digest"))
-        open_ = placed.groupBy("key").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.ceil(F.count(F.lit(1)) / CENTRES).alias("turns"),
-        )
-        open_ = open_.filter((F.col("low") != F.col("high")) & (F.col("turns") > turn)).select("key", "turns")
-        members = written(placed.join(open_, "key"), "near-open")
-        if members.isEmpty():
-            break
-        centre = F.pmod(F.xxhash64("key", "digest"), F.col("turns")) == turn
-        centres = members.filter(centre).select(
-            "key", F.col("digest").alias("centre"), F.col("component").alias("other")
-        )
-        pairs = (
-            members.join(centres, "key")
-            .filter("component <> other")
-            .select(F.least("digest", "centre").alias("a"), F.greatest("digest", "centre").alias("b"))
-            .distinct()
-        )
-        more = written(_confirmed(pairs, nodes, docs, words, percent), "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = written(components(links), "near-components")
-        turn += 1
+    more = None
+    for pairs in _left_over(buckets, found, nodes):
+        part = written(_confirmed(pairs, nodes, docs, words, percent), "near-links")
+        more = part if more is None else more.unionByName(part)
+    if more is not None and not more.isEmpty():
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = written(components(known.unionByName(more)), "near-components")
 
     names = found.join(nodes.select(F.col("digest").alias("node"), "id"), "node")
     least = names.groupBy("component").agg(F.min("id").alias("component_id"))

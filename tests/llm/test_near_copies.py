@@ -155,3 +155,25 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901)], "a long, b long")
     found_ = {r["node"]: r["component"] for r in nearcopies.components(links).collect()}
     assert found_ == {**{i: 0 for i in range(301)}, 900: 900, 901: 900}
+
+
+def test_looked_up_draws_are_the_draws_made(monkeypatch):
+    draw = np.random.default_rng(6)
+    sets = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (5, 30, 64, 65, 80, 400)]
+    for size in (nearcopies.BINS, nearcopies.BITS):
+        one = nearcopies.bin_values(sets, size)
+        monkeypatch.setattr(nearcopies, "FEW", 0)
+        assert (one == nearcopies.bin_values(sets, size)).all()
+        monkeypatch.undo()
+
+
+def test_sketches_of_links_stay_alike():
+    draw = np.random.default_rng(7)
+    worst = 0
+    for size in (4, 20, 100, 900, 5000):
+        for _ in range(60):
+            own = np.unique(draw.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+            part = np.sort(draw.choice(own, -(-4 * len(own) // 5), replace=False))
+            a, b = nearcopies.sketches([own, part])
+            worst = max(worst, int(np.unpackbits((a ^ b).view(np.uint8)).sum()))
+    assert worst <= nearcopies.DIFFERENT - 10
