@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.errors import PrepareError
 from tablewright.functions.kinds import number, ref
 from tablewright.operators.fused import scalars
 from tablewright.session import broadcast_if_small, held
@@ -22,6 +23,10 @@ NEIGHBOURS = 5
 # Donor locations per box and queries per task aimed at.
 BOX_ROWS = 20_000
 QUERY_ROWS = 50_000
+# Distances held at once by a task.
+BLOCK_CELLS = 2_000_000
+# Patterns of gaps are bits of a whole number.
+MOST_FEATURES = 62
 # Locations looked at per box when the cuts are chosen.
 CUT_SAMPLE = 32
 
@@ -101,6 +106,8 @@ def nearest_fill(
 
     features = list(columns)
     d = len(features)
+    if d > MOST_FEATURES:
+        raise PrepareError("too many features to tell patterns of gaps apart", {"most": MOST_FEATURES})
     source = df if donors is None else donors
     means = scalars(source, {c: F.avg(number(source, c)) for c in features})
     wide = df.withColumns({c: number(df, c) for c in features})
@@ -221,30 +228,35 @@ def nearest_fill(
         donor_f = np.array(donor["f"].tolist(), dtype="float64").reshape(-1, d)
         donor_n = donor["n"].to_numpy()
         here = ~np.isnan(donor_f[0])  # one pattern a box
+        places = query["loc"].to_numpy()
+        vectors = np.array(query["f"].tolist(), dtype="float64").reshape(-1, d)
+        targets = query["target"].to_numpy()
+        block = max(1, BLOCK_CELLS // len(donor_f))
         parts = []
-        for target, group in query.groupby("target"):
+        # queries of one target and one pattern of gaps meet all donors as a matrix
+        for _, target, rows in by_case(vectors, targets):
             values = donor_f[:, target]
-            vectors = np.array(group["f"].tolist(), dtype="float64").reshape(-1, d)
-            for loc, vector in zip(group["loc"], vectors):
-                shared = here & ~np.isnan(vector)
-                gaps = donor_f[:, shared] - vector[shared]
-                distance = (gaps * gaps).sum(axis=1) * d / shared.sum()
-                if len(distance) > k:
-                    edge = np.partition(distance, k - 1)[k - 1]
-                    some = np.flatnonzero(distance <= edge)
+            shared = np.flatnonzero(here & ~np.isnan(vectors[rows[0]]))
+            for start in range(0, len(rows), block):
+                some = rows[start : start + block]
+                distance = np.zeros((len(some), len(donor_f)))
+                for i in shared:
+                    gap = vectors[some, i][:, None] - donor_f[:, i]
+                    distance += gap * gap
+                distance = distance * d / len(shared)
+                if len(donor_f) > k:
+                    near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
                 else:
-                    some = np.arange(len(distance))
-                order = some[np.lexsort((values[some], distance[some]))][:k]
-                parts.append((loc, target, distance[order], values[order], donor_n[order]))
-        return pd.DataFrame(
-            {
-                "loc": np.repeat([p[0] for p in parts], [len(p[2]) for p in parts]),
-                "target": np.repeat([p[1] for p in parts], [len(p[2]) for p in parts]),
-                "distance": np.concatenate([p[2] for p in parts]),
-                "value": np.concatenate([p[3] for p in parts]),
-                "n": np.concatenate([p[4] for p in parts]),
-            }
-        )
+                    near = np.ones(distance.shape, dtype=bool)
+                asked, found = np.nonzero(near)
+                apart = distance[asked, found]
+                order = np.lexsort((values[found], apart, asked))
+                asked, found, apart = asked[order], found[order], apart[order]
+                first = np.searchsorted(asked, np.arange(len(some)))
+                kept = np.arange(len(asked)) - first[asked] < k
+                asked, found, apart = asked[kept], found[kept], apart[kept]
+                parts.append((places[some][asked], np.full(len(asked), target), apart, values[found], donor_n[found]))
+        return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
 
     def visit(routed: DataFrame) -> DataFrame:
         # a box with many queries is copied and its queries spread over the copies

@@ -61,7 +61,8 @@ def test_top_values_limit_before_the_shuffle(tables):
 
 
 def test_scatter_is_a_top_n(tables):
-    assert "TakeOrderedAndProject" in plan(lazy_results(tables)["scatter"])
+    assert "TakeOrderedAndProject" not in plan(charts.scatter(tables["events"], "event_id", "user_id", "value"))
+    assert "TakeOrderedAndProject" in plan(charts.scatter(tables["events"], "event_id", "user_id", "value", limit=10))
 
 
 def test_filters_reach_the_files(tables):
