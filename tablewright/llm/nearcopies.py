@@ -20,7 +20,7 @@ Before texts are read again, pairs whose one-bit sketches differ too much are dr
 ``BITS`` bins with a bit each, in which a link differs in a tenth of the bits.
 
 A link with similarity 0.8 has no common band with a probability of 2e-7, and is
-dropped by its sketch with one of 1e-10.
+dropped by its sketch with one of 3e-7.
 
 Inputs: a null text, or one without words, has an empty set and is linked with nothing.
 A text with fewer words than a shingle has one shingle, the whole sequence. A null id
@@ -49,10 +49,10 @@ BANDS = 40
 ROWS = 5
 BINS = BANDS * ROWS
 CENTRES = 1024
-BITS = 1024
+BITS = 2048
 FEW = 64  # filled bins up to which draws are looked up instead of made
-# Bits that may differ: a tenth, and six and a half standard deviations.
-DIFFERENT = int(0.1 * BITS + 6.5 * (0.09 * BITS) ** 0.5)
+# Bits that may differ: a tenth, and five standard deviations.
+DIFFERENT = int(0.1 * BITS + 5 * (0.09 * BITS) ** 0.5)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 POWER = 0x9E3779B97F4A7C15 | 1
 
@@ -298,7 +298,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
         .select("a", "b", "n_a", "n_b")
     )
     sized = written(sized, "near-pairs")
-    needed = sized.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    needed = sized.select("a").union(sized.select("b")).toDF("digest").distinct()
     owners = written(nodes.join(needed, "digest").select("owner", "text_hash"), "near-owners")
     texts = docs.join(broadcast_if_small(owners), ["owner", "text_hash"], "left_semi").select("text")
     sets = written(shingle_sets(texts, words).dropDuplicates(["digest"]), "near-sets")
