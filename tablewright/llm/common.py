@@ -40,7 +40,7 @@ def per_worker(name: str, make: Callable):
     return getattr(held, name)
 
 
-def portions(texts: list[str], characters: int = 4_000_000) -> Iterator[list[str]]:
+def portions(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about so many characters, so that a batch's tokens need little memory."""
     part: list[str] = []
     size = 0
@@ -54,6 +54,11 @@ def portions(texts: list[str], characters: int = 4_000_000) -> Iterator[list[str
         yield part
 
 
+def hash_share(share: Column, *keys: str) -> Column:
+    """Whether the hash of a row's keys lies in the lowest ``share`` of its range."""
+    return F.xxhash64(F.lit("share"), *keys).bitwiseAND(F.lit(2**53 - 1)) < share * float(2**53)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a row is kept from every fit: crc32 of its id as text leaves 1 when divided by 3.
 

@@ -8,7 +8,7 @@ kernel is an inner product of n-gram presences, landmarks and coefficients multi
 to one weight matrix, and a batch of texts is scored by one sparse matrix product.
 
 Training reads a bounded sample: ``per_language`` rows of each language and ``rows`` in
-all, those with the smallest hash of id and text. It leaves the rows given as held out
+all, chosen by hashes of id and text. It leaves the rows given as held out
 untouched. Only n-gram numbers of the sample come to the driver.
 
 Inputs: a text that is null or has no letter is ``und`` with score 0; so is every text
@@ -31,10 +31,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions.kinds import ref
+from tablewright.llm.common import hash_share
+from tablewright.session import broadcast_if_small
 
 LENGTHS = (1, 2, 3)
 SPACE = 1 << 16  # of n-grams of one length; longer ones are hashed into it
 UNKNOWN = "und"
+SPARE = 8  # times the rows wanted that are looked at
 
 
 @dataclass(frozen=True)
@@ -70,9 +73,16 @@ def prepared(text: Column) -> Column:
 
 
 def _sample(docs: DataFrame, per_language: int, rows: int) -> DataFrame:
-    """(lang, text): a bounded sample that depends on the rows alone."""
+    """(lang, text): a bounded sample that depends on the rows alone.
+
+    Texts are looked at only where the hash of the id is low enough for a few times the
+    rows wanted, so the ranking sees little more than the sample.
+    """
+    counts = docs.groupBy("lang").agg((per_language * SPARE / F.count(F.lit(1))).alias("_share"))
+    likely = docs.join(broadcast_if_small(counts), "lang").filter(hash_share(F.col("_share"), "doc_id"))
+    likely = likely.withColumn("text", prepared(F.col("text"))).filter("text is not null")
     order = F.xxhash64("doc_id", "text")
-    ranked = docs.withColumn("_order", order).withColumn(
+    ranked = likely.withColumn("_order", order).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text"))
     )
     return ranked.filter(F.col("_rank") <= per_language).orderBy("_rank", "_order").limit(rows).select("lang", "text")
@@ -99,9 +109,9 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows of ``docs`` where ``train`` holds."""
     usable = docs.filter(train).select(
-        ref(doc_id).alias("doc_id"), ref(lang).cast("string").alias("lang"), prepared(ref(text)).alias("text")
+        ref(doc_id).alias("doc_id"), ref(lang).cast("string").alias("lang"), ref(text).alias("text")
     )
-    sample = _sample(usable.filter("lang is not null and text is not null"), per_language, rows)
+    sample = _sample(usable.filter("lang is not null"), per_language, rows)
     columns = "lang string, " + ", ".join(f"g{n} array<int>" for n in LENGTHS)
     found = sample.mapInArrow(_spectra, columns).toArrow()
     named = found.column("lang").to_pylist()
