@@ -51,8 +51,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256)."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     chosen = docs.select("doc_id", "lang", "source", "text")
-    encoded = pieces.encode(chosen, model).drop("text")
-    return pieces.digests(pieces.decode(encoded, model)).drop("decoded")
+    encoded = pieces.encode(chosen, model, decoded="decoded")
+    return pieces.digests(encoded).drop("text", "decoded")
 
 
 STAGES = [

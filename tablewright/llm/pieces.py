@@ -37,7 +37,8 @@ from tablewright.llm.common import per_worker, portions
 
 MARK = "▁"  # stands for a space inside pieces
 NEVER = np.int64(1 << 40)
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
+ROWS = 500  # of a batch worked on at once
 LONG_SEGMENT = 64
 PROBES = ("", " ", "  two  spaces ", "a\tb\nc", "é́ ﬁ \U0001f600͸", "Hello hello, world!!", MARK + "x")
 
@@ -277,35 +278,45 @@ def _model(path: str) -> PieceModel:
     return per_worker(f"pieces:{path}", lambda: PieceModel(path))
 
 
-def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    names = batch.schema.names
-    columns = [values if n == name else batch.column(i) for i, n in enumerate(names)]
-    if name not in names:
-        names, columns = [*names, name], [*columns, values]
-    return pa.RecordBatch.from_arrays(columns, names)
+def _with(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    columns = dict(zip(batch.schema.names, batch.columns)) | new
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    fields = [T.StructField(f.name, kind if f.name == name else f.dataType) for f in df.schema.fields]
-    if name not in df.columns:
-        fields.append(T.StructField(name, kind))
-    return T.StructType(fields)
+def _schema(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
+    kinds = {f.name: f.dataType for f in df.schema.fields} | new
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``, an array of the text's piece ids. ``model`` is a path on every machine."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of few rows, which keeps a worker small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def encode(
+    docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` with ``ids``, an array of the text's piece ids. ``model`` is a path on every machine.
+
+    With ``decoded`` a column of that name gets what the ids decode to, in the same pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(model)
-        for batch in batches:
+        for batch in _parts(batches):
             column = batch.column(batch.schema.get_field_index(text))
             raw = pieces.encode_batch([t or "" for t in column.to_pylist()])
             ends = np.r_[0, np.cumsum([len(r) // 4 for r in raw])].astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
-            lists = pa.ListArray.from_arrays(pa.array(ends), values)
-            yield _with(batch, ids, lists)
+            new = {ids: pa.ListArray.from_arrays(pa.array(ends), values)}
+            if decoded is not None:
+                new[decoded] = pa.array([pieces.decode(np.frombuffer(r, "<i4")) for r in raw], pa.string())
+            yield _with(batch, new)
 
-    return docs.mapInArrow(run, _schema(docs, ids, T.ArrayType(T.IntegerType())))
+    new = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded is not None else {})
+    return docs.mapInArrow(run, _schema(docs, new))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -313,14 +324,14 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(model)
-        for batch in batches:
+        for batch in _parts(batches):
             lists = batch.column(batch.schema.get_field_index(ids))
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             spans = zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())
-            yield _with(batch, text, pa.array([pieces.decode(flat[a:b]) for a, b in spans], pa.string()))
+            yield _with(batch, {text: pa.array([pieces.decode(flat[a:b]) for a, b in spans], pa.string())})
 
-    return docs.mapInArrow(run, _schema(docs, text, T.StringType()))
+    return docs.mapInArrow(run, _schema(docs, {text: T.StringType()}))
 
 
 def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -89,8 +89,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs, model).select("doc_id", "ids")
-    found = pieces.digests(pieces.decode(encoded, model))
+    found = pieces.digests(pieces.encode(docs, model, decoded="decoded"))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

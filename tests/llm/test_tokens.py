@@ -68,8 +68,10 @@ def test_pieces_in_spark(spark):
     rows = [(1, "Hello  world"), (None, None), (3, ""), (3, ""), (4, "é" * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit("x"), "decoded": F.lit(1)})
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    out = pieces.digests(pieces.decode(pieces.encode(df, PIECES), PIECES))
-    for r in out.collect():
+    apart = pieces.decode(pieces.encode(df, PIECES), PIECES)
+    at_once = pieces.encode(df, PIECES, decoded="decoded").select(*apart.columns)
+    assert sorted(map(repr, apart.collect())) == sorted(map(repr, at_once.collect()))
+    for r in pieces.digests(at_once).collect():
         assert r["ids"] == library.encode(r["text"] or "")
         assert r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(r["ids"])
     assert pieces.encode(df.limit(0), PIECES).count() == 0
