@@ -286,17 +286,24 @@ def _alike(one: str, other: str) -> Column:
     return apart <= DIFFERENT
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+def _near_in_size(one: str, other: str, percent: int) -> Column:
+    """A similarity needs sizes that far apart at most."""
+    return F.least(one, other) * 100 >= F.greatest(one, other) * percent
+
+
+def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may be links, as (a, b, n_a, n_b)."""
     facts = nodes.select("digest", "n_shingles", "sketch")
-    # A similarity needs sizes that far apart at most.
-    sized = (
+    return (
         pairs.join(facts.toDF("a", "n_a", "k_a"), "a")
         .join(facts.toDF("b", "n_b", "k_b"), "b")
-        .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .filter(_alike("k_a", "k_b"))
+        .filter(_near_in_size("n_a", "n_b", percent) & _alike("k_a", "k_b"))
         .select("a", "b", "n_a", "n_b")
     )
+
+
+def _confirmed(sized: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``sized`` (a, b, n_a, n_b) whose full sets are similar enough."""
     sized = written(sized, "near-pairs")
     needed = sized.select("a").union(sized.select("b")).toDF("digest").distinct()
     owners = written(nodes.join(needed, "digest").select("owner", "text_hash"), "near-owners")
@@ -323,8 +330,8 @@ def _stars(buckets: DataFrame) -> DataFrame:
     )
 
 
-def _left_over(buckets: DataFrame, found: DataFrame, nodes: DataFrame) -> Iterator[DataFrame]:
-    """Rounds of pairs (a, b) that share a bucket but no component."""
+def _left_over(buckets: DataFrame, found: DataFrame, nodes: DataFrame, percent: int) -> Iterator[DataFrame]:
+    """Rounds of pairs (a, b, n_a, n_b) that share a bucket but no component and may be links."""
     placed = buckets.join(found.toDF("digest", "component"), "digest", "left")
     placed = placed.withColumn("component", F.coalesce("component", "digest"))
     groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
@@ -336,22 +343,25 @@ def _left_over(buckets: DataFrame, found: DataFrame, nodes: DataFrame) -> Iterat
         F.col("largest.component").alias("main"),
         F.ceil((F.col("rows") - F.col("largest.rows")) / CENTRES).alias("turns"),
     )
-    facts = nodes.select("digest", "bands", "sketch")
+    facts = nodes.select("digest", "n_shingles", "bands", "sketch")
     members = written(placed.join(open_, "key").join(facts, "digest"), "near-open")
     turns = members.agg(F.max("turns")).first()[0] or 0
     for turn in range(turns):
         mine = F.pmod(F.xxhash64("key", "digest"), F.col("turns")) == turn
         centres = members.filter((F.col("component") != F.col("main")) & mine)
-        centres = centres.select("key", *[F.col(c).alias(f"c_{c}") for c in ("digest", "component", "bands", "sketch")])
+        centres = centres.select("key", *[F.col(c).alias(f"c_{c}") for c in ("digest", "component", "n_shingles", "bands", "sketch")])
         first_band = F.array_min(F.array_intersect("bands", "c_bands")) == F.col("m.key")
         apart = (
             (F.col("m.key") == F.col("c.key"))
             & (F.col("component") != F.col("c_component"))
+            & _near_in_size("n_shingles", "c_n_shingles", percent)
             & _alike("sketch", "c_sketch")
             & first_band
         )
         pairs = members.alias("m").join(centres.alias("c"), apart)
-        yield pairs.select(F.least("digest", "c_digest").alias("a"), F.greatest("digest", "c_digest").alias("b")).distinct()
+        one, other = F.struct("digest", "n_shingles"), F.struct(F.col("c_digest").alias("digest"), F.col("c_n_shingles").alias("n_shingles"))
+        ordered = pairs.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
+        yield ordered.select("x.digest", "y.digest", "x.n_shingles", "y.n_shingles").toDF("a", "b", "n_a", "n_b")
 
 
 def _owner(doc_id: Column) -> Column:
@@ -375,10 +385,11 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = counted.filter("low <> high").select("key")
     buckets = written(bands.join(shared, "key").distinct(), "near-buckets")
 
-    links = written(_confirmed(_stars(buckets), nodes, docs, words, percent), "near-links")
+    links = _sized(_stars(buckets), nodes, percent)
+    links = written(_confirmed(links, nodes, docs, words, percent), "near-links")
     found = written(components(links), "near-components")
     more = None
-    for pairs in _left_over(buckets, found, nodes):
+    for pairs in _left_over(buckets, found, nodes, percent):
         part = written(_confirmed(pairs, nodes, docs, words, percent), "near-links")
         more = part if more is None else more.unionByName(part)
     if more is not None and not more.isEmpty():
