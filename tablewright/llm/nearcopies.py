@@ -16,11 +16,15 @@ component are compared with the members of its other components, about ``CENTRES
 them a round, until all have been. A pair is taken in the first band it shares only.
 Nothing in a bucket remains untested but what is already in one component.
 
-Before texts are read again, pairs whose one-bit sketches differ too much are dropped:
-``BITS`` bins with a bit each, in which a link differs in a tenth of the bits.
+Before texts are read again, pairs whose sketches differ too much are dropped. Up to
+``ODD`` shingles a sketch tells which of ``BITS`` places hold an odd number of the set's
+shingles: a place that differs needs a shingle that only one of the sets has, and a link
+has few of these, so no link is dropped. In larger sets it holds one bit for each of
+``BITS`` bins, in which a link differs in a tenth of the bits. A pair of a larger and a
+smaller set is compared in full.
 
-A link with similarity 0.8 has no common band with a probability of 2e-7, and is
-dropped by its sketch with one of 3e-7.
+A link with similarity 0.8 has no common band with a probability of 2e-7. Between sets
+of more than ``ODD`` shingles it is dropped by its sketch with one of 3e-7.
 
 Inputs: a null text, or one without words, has an empty set and is linked with nothing.
 A text with fewer words than a shingle has one shingle, the whole sequence. A null id
@@ -51,7 +55,8 @@ BINS = BANDS * ROWS
 CENTRES = 1024
 BITS = 2048
 FEW = 64  # filled bins up to which draws are looked up instead of made
-# Bits that may differ: a tenth, and five standard deviations.
+ODD = 2048  # shingles up to which a sketch loses no link
+# Bits that may differ in sketches of larger sets: a tenth, and five standard deviations.
 DIFFERENT = int(0.1 * BITS + 5 * (0.09 * BITS) ** 0.5)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 POWER = 0x9E3779B97F4A7C15 | 1
@@ -182,6 +187,22 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
 
 
+def odd_places(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit per place, whether an odd number of the set's hashes fall there, as 64-bit words."""
+    bits = np.zeros((len(sets), BITS), np.uint8)
+    for row, own in zip(bits, sets):
+        row[:] = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _sketched(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sketch of each set, of the kind that its size asks for."""
+    small = iter(odd_places([s for s in sets if len(s) <= ODD]))
+    large = [s for s in sets if len(s) > ODD]
+    bits = iter(sketches(large)) if large else iter(())
+    return [next(small) if len(s) <= ODD else next(bits) for s in sets]
+
+
 def _digest(own: np.ndarray) -> bytes | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
@@ -210,7 +231,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingler.sets(part)
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(bin_values(full))) if full else iter(())
-                bits = iter(sketches(full)) if full else iter(())
+                bits = iter(_sketched(full))
                 none = np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -279,11 +300,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
 
 
-def _alike(one: str, other: str) -> Column:
-    """Whether two sketches may belong to a link."""
+def _alike(one: str, other: str, n_one: str, n_other: str, percent: int) -> Column:
+    """Whether two sketches, of sets of ``n_one`` and ``n_other`` shingles, may belong to a link."""
     words = range(BITS // 64)
     apart = sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in words), F.lit(0))
-    return apart <= DIFFERENT
+    # Of a link's shingles, counted in both sets, this share at most is in one set only.
+    few = apart * (100 + percent) <= (F.col(n_one) + F.col(n_other)) * (100 - percent)
+    small = F.greatest(n_one, n_other) <= ODD
+    return F.when(small, few).otherwise((F.least(n_one, n_other) <= ODD) | (apart <= DIFFERENT))
 
 
 def _near_in_size(one: str, other: str, percent: int) -> Column:
@@ -297,7 +321,7 @@ def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return (
         pairs.join(facts.toDF("a", "n_a", "k_a"), "a")
         .join(facts.toDF("b", "n_b", "k_b"), "b")
-        .filter(_near_in_size("n_a", "n_b", percent) & _alike("k_a", "k_b"))
+        .filter(_near_in_size("n_a", "n_b", percent) & _alike("k_a", "k_b", "n_a", "n_b", percent))
         .select("a", "b", "n_a", "n_b")
     )
 
@@ -355,7 +379,7 @@ def _left_over(buckets: DataFrame, found: DataFrame, nodes: DataFrame, percent:
             (F.col("m.key") == F.col("c.key"))
             & (F.col("component") != F.col("c_component"))
             & _near_in_size("n_shingles", "c_n_shingles", percent)
-            & _alike("sketch", "c_sketch")
+            & _alike("sketch", "c_sketch", "n_shingles", "c_n_shingles", percent)
             & first_band
         )
         pairs = members.alias("m").join(centres.alias("c"), apart)

@@ -177,3 +177,42 @@ def test_sketches_of_links_stay_alike():
             a, b = nearcopies.sketches([own, part])
             worst = max(worst, int(np.unpackbits((a ^ b).view(np.uint8)).sum()))
     assert worst <= nearcopies.DIFFERENT - 10
+
+
+def test_links_of_short_texts_are_not_dropped(spark):
+    """Texts of eight and seven words whose one-bit sketches are too far apart for a link."""
+    rows = []
+    for at in (886, 2207, 2553, 4379, 4867, 8568):
+        words = [f"p{at}w{i}" for i in range(8)]
+        rows += [(2 * at, " ".join(words)), (2 * at + 1, " ".join(words[:7]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 4, 80)
+    assert sum(kept for *_, kept in expected) == 6
+    assert found(df, 4) == expected
+
+
+def test_odd_places_never_exceed_what_differs():
+    draw = np.random.default_rng(8)
+    for size in (1, 5, 8, 60, 500, nearcopies.ODD):
+        for share in (0, 0.1, 0.5, 1):
+            own = np.unique(draw.integers(0, 2**64, size, np.uint64))
+            other = np.unique(np.r_[own[int(share * size) :], draw.integers(0, 2**64, int(share * size), np.uint64)])
+            a, b = nearcopies.odd_places([own, other])
+            apart = int(np.unpackbits((a ^ b).view(np.uint8)).sum())
+            assert apart <= len(np.setxor1d(own, other))
+
+
+def test_links_around_the_sketch_limit(spark, monkeypatch):
+    """Pairs of small, of large, and of one small and one large set."""
+    monkeypatch.setattr(nearcopies, "ODD", 100)
+    draw = random.Random(9)
+    rows = []
+    for size in (90, 98, 100, 103, 104, 110, 120, 140):
+        words = [f"z{size}v{i}" for i in range(size)]
+        for _ in range(8):
+            changed = list(words)
+            for _ in range(draw.randrange(0, 6)):
+                changed[draw.randrange(size)] = f"q{draw.randrange(99)}"
+            rows.append((len(rows), " ".join(changed[: size - draw.randrange(0, 8)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, 4) == brute(rows, 4, 80)
