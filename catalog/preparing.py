@@ -304,8 +304,7 @@ def m6_k_means_pairs(spark, sf_dir):
 def m7_forest(spark, sf_dir):
     # no SQL: a random forest
     df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    grid = {"numTrees": [5], "maxDepth": [3, 5]}
-    model = features.forest_regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", grid, folds=2)
+    model = features.forest_regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     rows = [(i, float(m)) for i, m in enumerate(model.avgMetrics)]
     return tidy(spark.createDataFrame(rows, "setting int, rmse double"))
 
