@@ -20,11 +20,15 @@ Before texts are read again, pairs whose sketches differ too much are dropped. U
 ``ODD`` shingles a sketch tells which of ``BITS`` places hold an odd number of the set's
 shingles: a place that differs needs a shingle that only one of the sets has, and a link
 has few of these, so no link is dropped. In larger sets it holds one bit for each of
-``BITS`` bins, in which a link differs in a tenth of the bits. A pair of a larger and a
-smaller set is compared in full.
+``BITS`` bins, in which a link of similarity 0.8 differs in a tenth of the bits. A pair of a
+larger and a smaller set is compared in full.
 
 A link with similarity 0.8 has no common band with a probability of 2e-7. Between sets
-of more than ``ODD`` shingles it is dropped by its sketch with one of 3e-7.
+of more than ``ODD`` shingles it is dropped by its sketch with one of 3e-7. Below 80
+percent there are more bands, and the limit of sketches is wider, for the same
+probabilities. Between sets of very few shingles a link is missed more often there, as
+two shingles of a set may fall into one bin: at 50 percent, of links between a set of one
+and a set of two, about 1 in 700 by calculation.
 
 Inputs: a null text, or one without words, has an empty set and is linked with nothing.
 A text with fewer words than a shingle has one shingle, the whole sequence. A null id
@@ -38,6 +42,7 @@ length. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.errors import PrepareError
 from tablewright.functions.kinds import ref
 from tablewright.llm.common import per_worker, portions, written
 from tablewright.session import broadcast_if_small
@@ -56,8 +62,15 @@ CENTRES = 1024
 BITS = 2048
 FEW = 64  # filled bins up to which draws are looked up instead of made
 ODD = 2048  # shingles up to which a sketch loses no link
-# Bits that may differ in sketches of larger sets: a tenth, and five standard deviations.
-DIFFERENT = int(0.1 * BITS + 5 * (0.09 * BITS) ** 0.5)
+
+
+def different(percent: int) -> int:
+    """Bits that may differ in sketches of larger sets: half of what sets may, and five standard deviations."""
+    share = (100 - percent) / 200
+    return int(share * BITS + 5 * (share * (1 - share) * BITS) ** 0.5)
+
+
+DIFFERENT = different(80)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 POWER = 0x9E3779B97F4A7C15 | 1
 
@@ -172,11 +185,23 @@ def bin_values(sets: list[np.ndarray], size: int = BINS) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, rows) in which a link shares a band as surely as one of 80 percent does in BANDS and ROWS."""
+    if not 0 < percent <= 100:
+        raise PrepareError(f"percent must be from 1 to 100, not {percent}")
+    if percent >= 80:
+        return BANDS, ROWS
+    missed = BANDS * math.log1p(-(0.8**ROWS))
+    needed = {rows: math.ceil(missed / math.log1p(-((percent / 100) ** rows))) for rows in range(1, ROWS + 1)}
+    rows = max((r for r, n in needed.items() if n <= 4 * BANDS), default=1)
+    return needed[rows], rows
+
+
+def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per band; the band's number is part of it."""
-    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(values), 1))
-    for at in range(ROWS):
-        keys = _mix(keys * np.uint64(POWER) + values[:, at::ROWS])
+    keys = np.tile(np.arange(values.shape[1] // rows, dtype=np.uint64), (len(values), 1))
+    for at in range(rows):
+        keys = _mix(keys * np.uint64(POWER) + values[:, at::rows])
     return keys
 
 
@@ -221,8 +246,9 @@ def _each(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]
         at += len(part)
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, percent: int = 80) -> DataFrame:
     """(id, text_hash, n_shingles, digest, bands, sketch) of (id, text_hash, text binary)."""
+    bands, rows = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -230,7 +256,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             for at, part in _each(batch, 2):
                 sets = shingler.sets(part)
                 full = [s for s in sets if len(s)]
-                keys = iter(band_keys(bin_values(full))) if full else iter(())
+                keys = iter(band_keys(bin_values(full, bands * rows), rows)) if full else iter(())
                 bits = iter(_sketched(full))
                 none = np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -307,7 +333,7 @@ def _alike(one: str, other: str, n_one: str, n_other: str, percent: int) -> Colu
     # Of a link's shingles, counted in both sets, this share at most is in one set only.
     few = apart * (100 + percent) <= (F.col(n_one) + F.col(n_other)) * (100 - percent)
     small = F.greatest(n_one, n_other) <= ODD
-    return F.when(small, few).otherwise((F.least(n_one, n_other) <= ODD) | (apart <= DIFFERENT))
+    return F.when(small, few).otherwise((F.least(n_one, n_other) <= ODD) | (apart <= different(percent)))
 
 
 def _near_in_size(one: str, other: str, percent: int) -> Column:
@@ -394,7 +420,7 @@ def _owner(doc_id: Column) -> Column:
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, text_hash, n_shingles, component_id) of (id, text_hash, text binary, owner)."""
-    marked = written(signatures(docs.select("id", "text_hash", "text"), words), "near-signatures")
+    marked = written(signatures(docs.select("id", "text_hash", "text"), words, percent), "near-signatures")
     some = F.min_by(F.struct("id", "text_hash"), F.struct(F.col("id").isNull(), "id", "text_hash"))
     nodes = (
         marked.filter("digest is not null")

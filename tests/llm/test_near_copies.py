@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.errors import PrepareError
 from tablewright.llm import nearcopies
 
 
@@ -202,6 +203,29 @@ def test_odd_places_never_exceed_what_differs():
             assert apart <= len(np.setxor1d(own, other))
 
 
+@pytest.mark.parametrize("percent", [50, 70])
+def test_links_of_a_lower_percent(spark, monkeypatch, percent):
+    """Pairs just similar enough, in both kinds of sketch."""
+    monkeypatch.setattr(nearcopies, "ODD", 300)
+    rows = []
+    for at, size in enumerate([40, 60, 100, 200, 250, 400, 600, 900] * 5):
+        words = [f"l{at}v{i}" for i in range(size)]
+        rows += [(2 * at, " ".join(words)), (2 * at + 1, " ".join(words[: -(-size * percent // 100)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 1, percent)
+    assert sum(kept for *_, kept in expected) == 40
+    assert found(df, 1, percent) == expected
+
+
+def test_bands_of_a_percent():
+    assert nearcopies.bands_for(80) == nearcopies.bands_for(95) == (nearcopies.BANDS, nearcopies.ROWS)
+    for percent in range(1, 80):
+        bands, rows = nearcopies.bands_for(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 2.5e-7
+    with pytest.raises(PrepareError):
+        nearcopies.bands_for(0)
+
+
 def test_links_around_the_sketch_limit(spark, monkeypatch):
     """Pairs of small, of large, and of one small and one large set."""
     monkeypatch.setattr(nearcopies, "ODD", 100)
