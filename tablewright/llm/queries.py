@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import cuckoo, dac, langid, linespread, mixing, nearcopies, pieces, topk, toxicity, warc
+from tablewright.llm import cuckoo, dac, disclosure, langid, linespread, mixing, nearcopies, pieces, topk, toxicity, warc
 from tablewright.llm.common import held_out, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.find_near_copies(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@register("op13_disclosure")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that give it away, in every document."""
+    found = disclosure.report(disclosure.find_private(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"
+    )
