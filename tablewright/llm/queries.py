@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import cuckoo, dac, disclosure, langid, linespread, mixing, nearcopies, pieces, topk, toxicity, warc
+from tablewright.llm import cuckoo, dac, disclosure, langid, lexical, linespread, mixing, nearcopies, pieces, topk, toxicity, warc
 from tablewright.llm.common import held_out, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.find_near_copies(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+@register(
+    "op12_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^ -/:-@[-`{-]+') AS ws
+        FROM documents
+    ), c AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS words FROM d WHERE len(ws) > 0
+    ), b AS (
+        SELECT item_id, text, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^ -/:-@[-`{-]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ), i AS (SELECT item_id, text, term, count(*) AS times FROM b GROUP BY ALL
+    ), p AS (
+        SELECT row, doc_id, n, term, count(*) AS tf
+        FROM (SELECT row, doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM d)
+        WHERE term IN (SELECT term FROM i) GROUP BY ALL
+    ), w AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c
+    ), s AS (
+        SELECT item_id, text, row, doc_id,
+               sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+        FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+        FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @register("op13_disclosure")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, and terms that give it away, in every document."""
