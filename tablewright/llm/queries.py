@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import cuckoo, dac, disclosure, langid, lexical, linespread, mixing, nearcopies, pieces, topk, toxicity, warc
+from tablewright.llm import cuckoo, dac, disclosure, langid, lexical, linespread, mixing, nearcopies, pieces, topk, toxicity, turns, warc
 from tablewright.llm.common import held_out, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.find_near_copies(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+@register("op11_turn_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired by the cheapest edits."""
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), copies="copies")
+
+
 @register(
     "op12_lexical_search",
     r"""
