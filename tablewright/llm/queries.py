@@ -207,13 +207,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (
         SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[^ -/:-@[-`{-]+') AS ws
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
         FROM documents
     ), c AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS words FROM d WHERE len(ws) > 0
     ), b AS (
         SELECT item_id, text, unnest(regexp_extract_all(
             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[^ -/:-@[-`{-]+')) AS term
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
         FROM (SELECT DISTINCT item_id, text FROM benchmark)
     ), i AS (SELECT item_id, text, term, count(*) AS times FROM b GROUP BY ALL
     ), p AS (

@@ -54,7 +54,7 @@ def faults(rows):
 def audits(rows, marks):
     """Cheapest and least (cost, audit, rows) by strings kept whole, all states of all prefixes."""
     state = {"": (0, "", ())}  # role initials so far, folded by what may follow
-    fold = lambda s: s if len(s) < 3 else s[: len(s) % 2 + 2] if s[0] != "s" else s[: 3 - len(s) % 2]
+    fold = lambda s: s if len(s) < 3 else s[: len(s) % 2 + 2] if s[0] != "s" else s[: 2 + len(s) % 2]
 
     def better(into, key, offer):
         if key not in into or offer[:2] < into[key][:2]:
@@ -125,7 +125,7 @@ def tried(rows, marks):
 
     def go(at, roles, cost, audit, inserted):
         nonlocal best
-        if best is not None and cost > best[0]:
+        if (best is not None and cost > best[0]) or not re.fullmatch("s?(ua)*u?", roles):
             return
         if at == len(rows) and re.fullmatch("(s?(ua)+)?", roles) and (best is None or (cost, audit) < best):
             best = (cost, audit)
