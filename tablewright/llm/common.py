@@ -7,6 +7,8 @@ import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +56,39 @@ def portions(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str
         yield part
 
 
-def hash_share(share: Column, *keys: str) -> Column:
-    """Whether the hash of a row's keys lies in the lowest ``share`` of its range."""
-    return F.xxhash64(F.lit("share"), *keys).bitwiseAND(F.lit(2**53 - 1)) < share * float(2**53)
+def smallest(df: DataFrame, per_group: int, rows: int) -> DataFrame:
+    """(name, mark, rank): of a table (name, mark) each name's smallest marks, ``rows`` in all.
+
+    Marks are hashes of rows, so this is a sample that depends on the rows alone, however
+    often one of them is repeated and whatever its id. Every task keeps the ``per_group``
+    smallest marks of each name it meets and passes on nothing else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            names = [n for n, marks in held.items() for _ in range(len(marks))]
+            marks = np.concatenate([*held.values(), np.zeros(0, np.int64)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks)], ["name", "mark"])
+
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            at, marks = codes.indices.to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(at, kind="stable")
+            edges = np.searchsorted(at[order], np.arange(len(codes.dictionary) + 1))
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                own = marks[order[edges[k] : edges[k + 1]]]
+                held[name] = np.unique(np.concatenate([held[name], own]) if name in held else own)[:per_group]
+            if len(held) > 10_000:  # names without end: ranked below
+                yield out()
+        yield out()
+
+    found = df.mapInArrow(run, "name string, mark long").distinct()
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("mark"))
+    ranked = found.withColumn("rank", rank).filter(F.col("rank") <= per_group)
+    return ranked.orderBy("rank", "mark", "name").limit(rows)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -8,8 +8,9 @@ kernel is an inner product of n-gram presences, landmarks and coefficients multi
 to one weight matrix, and a batch of texts is scored by one sparse matrix product.
 
 Training reads a bounded sample: ``per_language`` rows of each language and ``rows`` in
-all, chosen by hashes of id and text. It leaves the rows given as held out
-untouched. Only n-gram numbers of the sample come to the driver.
+all, those with the smallest hashes of id and text; equal rows count once. It leaves the
+rows given as held out untouched. Kernels are computed on the executors; n-grams of the
+landmarks and one kernel value per row and landmark come to the driver, never a text.
 
 Inputs: a text that is null or has no letter is ``und`` with score 0; so is every text
 if there is nothing to learn from. Whole texts are read. Rows with a null language are
@@ -28,16 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tablewright.functions.kinds import ref
-from tablewright.llm.common import hash_share
-from tablewright.session import broadcast_if_small
+from tablewright.llm.common import smallest, written
 
 LENGTHS = (1, 2, 3)
 SPACE = 1 << 16  # of n-grams of one length; longer ones are hashed into it
 UNKNOWN = "und"
-SPARE = 8  # times the rows wanted that are looked at
 
 
 @dataclass(frozen=True)
@@ -73,27 +71,66 @@ def prepared(text: Column) -> Column:
 
 
 def _sample(docs: DataFrame, per_language: int, rows: int) -> DataFrame:
-    """(lang, text): a bounded sample that depends on the rows alone.
-
-    Texts are looked at only where the hash of the id is low enough for a few times the
-    rows wanted, so the ranking sees little more than the sample.
-    """
-    counts = docs.groupBy("lang").agg((per_language * SPARE / F.count(F.lit(1))).alias("_share"))
-    likely = docs.join(broadcast_if_small(counts), "lang").filter(hash_share(F.col("_share"), "doc_id"))
-    likely = likely.withColumn("text", prepared(F.col("text"))).filter("text is not null")
-    order = F.xxhash64("doc_id", "text")
-    ranked = likely.withColumn("_order", order).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text"))
+    """(lang, mark, rank, text): a bounded sample that depends on the rows alone."""
+    marked = docs.withColumns({"mark": F.xxhash64("doc_id", "text"), "text": prepared(F.col("text"))})
+    marked = marked.filter("text is not null")
+    chosen = smallest(marked.select("lang", "mark"), per_language, rows).withColumnRenamed("name", "lang")
+    return (
+        marked.join(F.broadcast(chosen), ["lang", "mark"])  # no more than ``rows``
+        .groupBy("lang", "mark")
+        .agg(F.min("rank").alias("rank"), F.min("text").alias("text"))
     )
-    return ranked.filter(F.col("_rank") <= per_language).orderBy("_rank", "_order").limit(rows).select("lang", "text")
+
+
+class Landmarks:
+    """N-grams of the landmarks, one after another."""
+
+    def __init__(self, spectra: list[list[np.ndarray]]):
+        self.count = len(spectra)
+        self.sizes = [np.array([len(s[k]) for s in spectra]) for k in range(len(LENGTHS))]
+        self.cells = [np.concatenate([s[k] for s in spectra]) for k in range(len(LENGTHS))]
+
+    def kernel(self, own: list[np.ndarray], flags: np.ndarray) -> np.ndarray:
+        """Kernel values of one text with all landmarks."""
+        out = np.zeros(self.count)
+        for cells, sizes, present in zip(self.cells, self.sizes, own):
+            flags[present] = True
+            shared = np.add.reduceat(flags[cells].astype(np.int32), np.cumsum(sizes) - sizes)
+            flags[present] = False
+            out += shared / np.sqrt(sizes * len(present)) / len(LENGTHS)
+        return out
+
+    def folded(self, alpha: np.ndarray) -> np.ndarray:
+        """Weights of the n-grams: coefficients of the landmarks that have them."""
+        weights = np.zeros((len(LENGTHS), SPACE, alpha.shape[1]), np.float32)
+        for k, (cells, sizes) in enumerate(zip(self.cells, self.sizes)):
+            scale = alpha / np.sqrt(sizes)[:, None] / len(LENGTHS)
+            at = np.cumsum(sizes) - sizes
+            for row, (a, n) in enumerate(zip(at.tolist(), sizes.tolist())):
+                weights[k, cells[a : a + n]] += scale[row]  # a landmark has an n-gram once
+        return weights
 
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spectrum = Spectrum()
     for batch in batches:
-        rows = [spectrum.of(t) for t in batch.column(1).to_pylist()]
+        rows = [spectrum.of(t.as_py()) for t in batch.column(1)]
         columns = [pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in range(len(LENGTHS))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["lang", *(f"g{n}" for n in LENGTHS)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["place", *(f"g{n}" for n in LENGTHS)])
+
+
+def _kernels(sample: DataFrame, points: Landmarks) -> pa.Table:
+    """(lang, place, values): kernel values of every row of the sample with the landmarks."""
+    shared = sample.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spectrum, flags = Spectrum(), np.zeros(SPACE, bool)
+        for batch in batches:
+            values = [shared.value.kernel(spectrum.of(t.as_py()), flags) for t in batch.column(2)]
+            lists = pa.array(values, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["lang", "place", "values"])
+
+    return sample.select("lang", "place", "text").mapInArrow(run, "lang string, place string, values array<double>").toArrow()
 
 
 def fit(
@@ -112,32 +149,37 @@ def fit(
         ref(doc_id).alias("doc_id"), ref(lang).cast("string").alias("lang"), ref(text).alias("text")
     )
     sample = _sample(usable.filter("lang is not null"), per_language, rows)
-    columns = "lang string, " + ", ".join(f"g{n} array<int>" for n in LENGTHS)
-    found = sample.mapInArrow(_spectra, columns).toArrow()
+    # The sample takes languages in turn, and so do the landmarks; no two rows have one place.
+    place = F.format_string("%08d %016x %s", "rank", "mark", "lang")
+    sample = written(sample.withColumn("place", place), "language-sample")
+    columns = "place string, " + ", ".join(f"g{n} array<int>" for n in LENGTHS)
+    picked = sample.orderBy("place").limit(landmarks).select("place", "text")
+    own = picked.mapInArrow(_spectra, columns).toArrow().sort_by("place")
+    if not own.num_rows:
+        return LanguageModel([], np.zeros((len(LENGTHS), SPACE, 0), np.float32))
+    spectra = list(zip(*[[v.values.to_numpy() for v in own.column(f"g{n}")] for n in LENGTHS]))
+    points = Landmarks(spectra)
+    found = _kernels(sample, points).sort_by("place")
     named = found.column("lang").to_pylist()
+    kernel = found.column("values").combine_chunks().flatten().to_numpy().reshape(len(named), points.count)
+    flags = np.zeros(SPACE, bool)
+    small = np.stack([points.kernel(s, flags) for s in spectra])
+    languages, alpha = regression(kernel, small, named, ridge)
+    return LanguageModel(languages, points.folded(alpha))
+
+
+def regression(kernel: np.ndarray, small: np.ndarray, named: list[str], ridge: float) -> tuple[list[str], np.ndarray]:
+    """Languages, and the landmarks' coefficients for each: this one against the rest.
+
+    ``kernel`` holds rows of the sample against landmarks, ``small`` landmarks against landmarks.
+    """
     languages = sorted(set(named))
-    if not languages:
-        return LanguageModel([], np.zeros((len(LENGTHS), SPACE, 0), np.float32))
-    grams = [[np.array(g, np.int64) for g in found.column(f"g{n}").to_pylist()] for n in LENGTHS]
-    picked = np.arange(min(landmarks, len(named)))  # the sample takes languages in turn
-    points = []  # per length: landmarks as rows, scaled
-    kernel = np.zeros((len(named), len(picked)))
-    for own in grams:
-        matrix = np.zeros((len(picked), SPACE), np.float32)
-        for row, i in enumerate(picked):
-            matrix[row, own[i]] = 1 / np.sqrt(len(own[i]))
-        points.append(matrix)
-        for i, g in enumerate(own):
-            kernel[i] += matrix[:, g].sum(axis=1) / np.sqrt(len(g)) / len(LENGTHS)
     target = np.where(np.array(named)[:, None] == np.array(languages), 1.0, -1.0)
     # Languages weigh the same, however many rows the sample has of each.
     counts = np.array([named.count(x) for x in named], float)
     weigh = (len(named) / (len(languages) * counts))[:, None]
-    small = kernel[picked]
-    left = kernel.T @ (weigh * kernel) + ridge * len(named) * (small + 1e-8 * np.eye(len(picked)))
-    alpha = np.linalg.lstsq(left, kernel.T @ (weigh * target), rcond=None)[0]
-    weights = np.stack([(m.T @ alpha / len(LENGTHS)).astype(np.float32) for m in points])
-    return LanguageModel(languages, weights)
+    left = kernel.T @ (weigh * kernel) + ridge * len(named) * (small + 1e-8 * np.eye(len(small)))
+    return languages, np.linalg.lstsq(left, kernel.T @ (weigh * target), rcond=None)[0]
 
 
 def scores(model: LanguageModel, spectrum: Spectrum, texts: list[bytes]) -> np.ndarray:
