@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import PrepareError
 from tablewright.functions.kinds import ref
-from tablewright.llm.common import per_worker, portions, running_total
+from tablewright.llm.common import per_worker, running_total
 
 MAGIC = b"DACTOK01"
 BLOCK = 512  # bits that one entry of a rank directory stands for
@@ -42,9 +43,10 @@ LEVELS = 4
 HEAD = "<8sQQQ"  # magic, bytes of the shard, documents, tokens
 NULL_ID = -(2**63)
 CACHED_CHUNKS = 800_000
-MARKS = ".,;:!?"
-PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]?")  # a word, perhaps a mark behind it
-PROBES = ("two words", " a  b\nc ", "don't <|endoftext|> 12 é́", "")
+# A word of letters that compose and lower-case one by one, perhaps with punctuation behind it.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+PORTION = 4 << 20  # bytes of texts whose chunks are numbered at a time
+PROBES = ("two words", "Two, ÉTÉ!! it's***", " a  b\nc ", "don't <|endoftext|> 12 é́", "")
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -148,49 +150,77 @@ class ChunkTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}  # lower-cased words and runs of punctuation
         for probe in PROBES:
             whole = self.library.encode(probe, add_special_tokens=False).ids
             if np.frombuffer(self.encode_batch([probe])[0], "<u4").tolist() != whole:
                 raise PrepareError("the tokenizer's tokens go across blanks", {"probe": probe})
 
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+    def _alone(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(chunks), 20_000):
+            part = chunks[at : at + 20_000]
+            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
+            yield from ((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded))
+
+    def _learn(self, words: list[str]) -> None:
         """Plain words go to the library many at a time, and come apart at their ends of word."""
-        found = {}
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
-        for at in range(0, len(plain), 200):
-            part = plain[at : at + 200]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            words = np.array([1 if c[-1] not in MARKS else 2 for c in part])
-            if len(ends) == words.sum():
-                cuts = [0, *(4 * ends[np.cumsum(words) - 1]).tolist()]
+        groups = [words[at : at + 200] for at in range(0, len(words), 200)]
+        encoded = self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, encoded):
+            ids = np.array(found.ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) == len(group):
                 raw = ids.tobytes()
-                found.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        rest = [c for c in chunks if c not in found]
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            encoded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            found.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded))
+                self.words.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+            else:
+                self.words.update(self._alone(group))
+
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """A chunk is a word and the punctuation behind it, or is encoded as it is."""
+        split = list(map(PLAIN.fullmatch, chunks))
+        pairs = [(m[1].lower(), m[2]) if m else None for m in split]
+        if len(self.words) > CACHED_CHUNKS:
+            self.words = {"": b""}
+        known = self.words
+        self._learn(list({p[0] for p in pairs if p and p[0] not in known}))
+        known.update(self._alone(list({p[1] for p in pairs if p and p[1] not in known})))
+        found = {c: known[p[0]] + known[p[1]] for c, p in zip(chunks, pairs) if p}
+        found.update(self._alone([c for c, p in zip(chunks, pairs) if not p]))
         return found
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in portions(texts):
-            joined = " ".join(part).replace("\n", " ")
-            chunks = joined.split(" ")
-            ends = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in part]).tolist()
-            ids = list(map(self.cache.get, chunks))
-            missing = [i for i, x in enumerate(ids) if x is None]
-            if missing:
-                found = self._encode_chunks(list({chunks[i]: None for i in missing}))
-                for i in missing:
-                    ids[i] = found[chunks[i]]
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Chunks of many texts are numbered at once; only distinct ones are looked up, and ids gathered
+        by number.
+        """
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // PORTION
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        for first, last in zip(edges, edges[1:]):
+            blank = pc.replace_substring(texts.slice(first, last - first), "\n", " ")
+            lists = pc.split_pattern(blank, " ")
+            numbered = lists.flatten().dictionary_encode()
+            distinct = numbered.dictionary.to_pylist()
+            raws = list(map(self.cache.get, distinct))
+            if None in raws:
+                missing = [c for c, raw in zip(distinct, raws) if raw is None]
+                found = self._encode_chunks(missing)
+                raws = [found[c] if raw is None else raw for c, raw in zip(distinct, raws)]
                 if len(self.cache) + len(found) > CACHED_CHUNKS:
                     self.cache = {"": b""}
                 self.cache.update(found)
-            out += [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
-        return out
+            pool = np.frombuffer(b"".join(raws), "<u4")
+            lengths = np.fromiter(map(len, raws), np.int64, len(raws)) >> 2
+            codes = numbered.indices.to_numpy()
+            n = lengths[codes]
+            ends = np.cumsum(n)
+            ids = pool[np.repeat((np.cumsum(lengths) - lengths)[codes] - ends + n, n) + np.arange(len(n) and ends[-1])]
+            # A text has one chunk at least, the empty one.
+            cuts = [0, *ends[np.cumsum(np.diff(lists.offsets.to_numpy())) - 1].tolist()]
+            yield from (ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return list(self.encode_column(pa.array(texts, pa.string())))
 
 
 def write_tokens(
@@ -221,7 +251,7 @@ def write_tokens(
             )
 
         for batch in batches:
-            encoded = encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            encoded = encoder.encode_column(batch.column(1).fill_null(""))
             for name, raw in zip(batch.column(0).to_pylist(), encoded):
                 names.append(name)
                 raws.append(raw + end)
