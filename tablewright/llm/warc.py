@@ -58,7 +58,11 @@ def _member(data: bytes) -> bytes:
 
 
 def _members(raw: bytes) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each member; what is not compressed is one member."""
+    """Offset and content of each member; what is not compressed is one member.
+
+    A line feed may follow the last member. Anything else behind one, and a member without
+    its end, raises an error: what stands there would be lost.
+    """
     view, at = memoryview(raw), 0
     while view[at : at + 2] == b"\x1f\x8b":
         unpacker, parts, next_at = zlib.decompressobj(31), [], at
@@ -66,8 +70,12 @@ def _members(raw: bytes) -> Iterator[tuple[int, bytes]]:
             piece = view[next_at : next_at + 16_384]
             parts.append(unpacker.decompress(piece))
             next_at += len(piece)
+        if not unpacker.eof:
+            raise PrepareError("the archive ends inside a member", {"offset": at})
         yield at, b"".join(parts)
         at = next_at - len(unpacker.unused_data)
+    if at and raw[at:] not in (b"", b"\n"):
+        raise PrepareError("bytes behind a member are no member", {"offset": at})
     if not at and raw.strip(b"\n"):
         yield 0, raw
 
@@ -174,7 +182,7 @@ def write_arc(
         task = TaskContext.get().partitionId()
         files = 0
         parts: list[bytes] = []
-        held = 0
+        held = offset = 0
         for batch in batches:
             for key, address, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if not parts:
@@ -182,14 +190,16 @@ def write_arc(
                     own = {"URL": f"filedesc://pages-{task}-{files}.arc", "IP-address": "0.0.0.0"}
                     own |= {"Archive-date": DATE, "Content-type": "text/plain"}
                     parts = [_member(arc_header(1, own, len(intro)) + intro + b"\n")]
+                    offset = len(parts[0])
                 payload = payload or b""
                 head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 head += f"{ID_FIELD}: {key}\r\n" if key is not None else ""
                 block = f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
                 own = {"URL": _address(address), "IP-address": "0.0.0.0", "Archive-date": DATE}
-                own |= {"Content-type": "text/html", "Result-code": "200", "Offset": str(sum(map(len, parts)))}
+                own |= {"Content-type": "text/html", "Result-code": "200", "Offset": str(offset)}
                 own |= {"Filename": f"pages-{task}-{files}.arc"}
                 parts.append(_member(arc_header(version, own, len(block)) + block + b"\n"))
+                offset += len(parts[-1])
                 held += len(block)
                 if held >= file_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["file"])

@@ -43,6 +43,15 @@ def test_records_cut_short_and_broken_lines():
     assert list(warc.read_arc(b"\n")) == []
 
 
+def test_bytes_behind_members_are_not_lost():
+    whole = arc_file(1, [("http://a/", b"one"), ("http://b/", b"two")], True)
+    assert len(list(warc.read_arc(whole + b"\n"))) == 2
+    second = whole.rindex(b"\x1f\x8b")
+    for bad in (whole[:second] + b"\n" + whole[second:], whole + b"\n\n", whole + b"rest", whole[:-3], whole[:second] + whole[second : second + 12]):
+        with pytest.raises(PrepareError):
+            list(warc.read_arc(bad))
+
+
 def test_types_and_digests():
     raw = arc_file(1, [("http://a/", b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody"), ("dns:a", b"text")], True)
     page, name = warc.read_arc(raw)
