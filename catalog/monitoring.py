@@ -98,6 +98,19 @@ def g2_error_windows_stream(spark, sf_dir):
     return _run(spark, monitor.error_windows(_stream(spark, sf_dir), "event_type", "ts", "1 hour", "10 minutes"))
 
 
+@register(
+    "g2_error_counts_stream",
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, "
+    f"{_ERRORS} AS error_type, count(*) AS \"count\" FROM events WHERE event_type = 'error' GROUP BY 1, 2, 3",
+)
+def g2_error_counts_stream(spark, sf_dir):
+    # windows that are still open included
+    path = scratch(spark, "counts")
+    counts = monitor.error_windows(_errors(_stream(spark, sf_dir)), "code", "ts", "1 hour", "10 minutes")
+    monitor.update_to(counts, path, f"{path}/checkpoint")
+    return monitor.updated(spark, path, ["window_start", "window_end", "error_type"])
+
+
 @register(
     "g3_change_counts",
     "SELECT user_id AS component, event_type AS change_type, count(*) AS changes FROM events GROUP BY 1, 2",
@@ -130,7 +143,11 @@ def g4_operation_durations(spark, sf_dir):
     return tidy(monitor.operation_durations(table(spark, sf_dir, "events"), *_OPERATION), 6)
 
 
-@register("g4_operation_durations_stream", _DURATIONS)
+# a mark is final once the watermark, ten minutes behind the newest mark, has passed its millisecond
+_PASSED = "(SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events WHERE event_type IN ('click', 'purchase'))"
+
+
+@register("g4_operation_durations_stream", f"{_DURATIONS} AND ceil(epoch_us(ts) / 1000.0) < {_PASSED}")
 def g4_operation_durations_stream(spark, sf_dir):
     found = _run(spark, monitor.track_operations(_stream(spark, sf_dir), *_OPERATION)).filter("outcome = 'completed'")
     return tidy(
@@ -159,9 +176,10 @@ def g5_open_operations(spark, sf_dir):
 
 @register(
     "g5_open_operations_stream",
-    # the watermark follows the start and end events
-    f"SELECT operation, started FROM ({_OPEN}) WHERE started + INTERVAL '70 minutes' <= "
-    "(SELECT max(ts) FROM events WHERE event_type IN ('click', 'purchase'))",
+    # open for longer than an hour, as far as the watermark tells
+    f"SELECT user_id AS operation, ts AS started FROM ({_MARKS.replace('lag(ts) OVER w AS started', 'lead(ts) OVER w AS following')}) "
+    f"WHERE event_type = 'click' AND ceil((epoch_us(ts) + 3600000000) / 1000.0) < {_PASSED} "
+    "AND (following IS NULL OR epoch_us(following) - epoch_us(ts) > 3600000000)",
 )
 def g5_open_operations_stream(spark, sf_dir):
     found = _run(spark, monitor.track_operations(_stream(spark, sf_dir), *_OPERATION)).filter("outcome = 'long_running'")
@@ -183,6 +201,35 @@ def g6_report(spark, sf_dir):
     return tidy(spark.read.parquet(path).drop("reported_at"), 6)
 
 
+def _kept_report(spark, sf_dir):
+    path = scratch(spark, "report")
+    stream = _stream(spark, sf_dir).withColumn("code", F.get_json_object("props", "$.k"))
+    monitor.report_to(
+        stream, path, f"{path}/checkpoint", "event_type", "error", "code", "ts", "user_id", "click", "purchase",
+        "event_id", "event_type", "value",
+    )
+    return monitor.kept_report(spark, path)
+
+
+@register(
+    "g6_report_stream",
+    f"WITH c AS (SELECT {_ERRORS} AS e, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) "
+    f"SELECT count(*) AS events, {rd('epoch_us(max(ts) - min(ts)) / 1e6', 6)} AS uptime_seconds, "
+    "count_if(event_type = 'error')::BIGINT AS total_errors, (SELECT count(*) FROM (SELECT user_id FROM events "
+    "WHERE event_type IN ('click', 'purchase') GROUP BY user_id HAVING max_by(event_type, (ts, event_id)) = 'click')) AS active_operations, "
+    "(SELECT count(*) FROM c) AS error_types, (SELECT e FROM c ORDER BY n DESC, e LIMIT 1) AS most_common FROM events",
+)
+def g6_report_stream(spark, sf_dir):
+    kept = _kept_report(spark, sf_dir)
+    kinds = kept["error_summary"].select("error_types", "most_common")
+    return tidy(kept["totals"].crossJoin(kinds), 6)  # one row each
+
+
+@register("g6_report_metrics_stream", _latest(1000))
+def g6_report_metrics_stream(spark, sf_dir):
+    return tidy(_kept_report(spark, sf_dir)["metrics"], average=8)
+
+
 @register(
     "g7_call_ledger",
     f"SELECT user_id AS function, count(*) AS calls, {rd('avg(value)', 8)} AS average_seconds, {rd('max(value)')} AS longest_seconds, "

@@ -300,15 +300,6 @@ def m6_k_means_pairs(spark, sf_dir):
     return out.groupBy("column_a", "column_b", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("m7_forest")
-def m7_forest(spark, sf_dir):
-    # no SQL: a random forest
-    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    model = features.forest_regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    rows = [(i, float(m)) for i, m in enumerate(model.avgMetrics)]
-    return tidy(spark.createDataFrame(rows, "setting int, rmse double"))
-
-
 @register(
     "m8_roles",
     f"SELECT c_acctbal::DOUBLE AS c_acctbal, c_mktsegment, c_nationkey::BIGINT AS c_nationkey FROM customer",

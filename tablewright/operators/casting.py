@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import kind_of, ref, text_columns
@@ -22,8 +23,9 @@ TYPE_NAMES = {
     "bool": "boolean",
     "datetime64[ns]": "timestamp_ntz",
 }
-# What every date in one of the layouts looks like.
-DATE_LIKE = r"^\s*[0-9A-Za-z][0-9A-Za-z ,./:-]{5,29}\s*$"
+# What every date in one of the layouts looks like: 6 to 30 characters, a digit among them.
+DATE_LIKE = r"^(?=[^0-9]*[0-9])[0-9A-Za-z][0-9A-Za-z ,./:-]{5,29}$"
+TIME_LIKE = r" \d\d?:\d\d?(:\d\d?)?$"
 # Doubles hold every whole number up to this size.
 WHOLE_LIMIT = 2.0**53
 
@@ -47,12 +49,44 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, di
     return (df.withColumns(casts) if casts else df), kept
 
 
+def layout_shape(layout: str) -> str:
+    """A layout with every run of digits as 9 and every name as a: ``MMM d, yyyy`` is ``a 9, 9``."""
+    names = re.sub(r"MMM+", "a", layout)
+    return re.sub(r"[yMd]+", "9", names)
+
+
+def date_shape(c: Column) -> Column:
+    """The shape of a text that could be a date, without its time of day; null for other texts."""
+    text = F.trim(c)
+    day = F.regexp_replace(text, TIME_LIKE, "")
+    runs = F.regexp_replace(F.regexp_replace(day, "[A-Za-z]+", "a"), "[0-9]+", "9")
+    return F.when(text.rlike(DATE_LIKE), runs)
+
+
+def possible_layouts(c: Column) -> Column:
+    """A bit for each of :data:`DATE_LAYOUTS` that the shape of a text leaves open."""
+    shapes: dict[str, int] = {}
+    for i, layout in enumerate(DATE_LAYOUTS):
+        shapes[layout_shape(layout)] = shapes.get(layout_shape(layout), 0) | 1 << i
+    shape, bits = date_shape(c), F.lit(0)
+
+    def chosen(shape: Column) -> Column:
+        out = bits
+        for text, mask in shapes.items():
+            out = F.when(shape == text, mask).otherwise(out)
+        return out
+
+    # computed once, and not at all for nulls
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(shape), chosen), F.lit(0)))
+
+
 def inferred_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, str]:
     """Type each text column could have: number, datetime, boolean, else string.
 
-    One scan decides for all columns. A column counts as a type when all of its
-    values do; a boolean needs true/false, t/f, yes/no or y/n texts. Dates are ISO or of
-    one layout, which then follows the type's name.
+    One scan decides for all columns but those that may be dates of another layout than ISO:
+    it keeps the layouts that fit the shape of every value, and a second scan parses by these
+    alone. A column counts as a type when all of its values do; a boolean needs true/false,
+    t/f, yes/no or y/n texts. Dates are ISO or of one layout, which then follows the type's name.
     """
     names = text_columns(df) if columns is None else list(columns)
     tests = {}
@@ -64,15 +98,12 @@ def inferred_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[
         tests[name, "number"] = F.count(value)
         tests[name, "whole"] = F.count_if(whole & c.rlike(r"^\s*[+-]?\d+\s*$"))
         tests[name, "datetime"] = F.count(parse_datetime(c))
-        for layout in DATE_LAYOUTS:
-            # only texts with a digit and of a date's length are worth a try
-            dated = F.when(c.rlike(DATE_LIKE), c)
-            tests[name, layout] = F.count(parse_datetime(dated, layout))
+        tests[name, "layouts"] = F.bit_and(possible_layouts(c))
         tests[name, "boolean"] = F.count(parse_boolean(c))
     if not tests:
         return {}
     got = scalars(df, tests)
-    types = {}
+    types, open_layouts = {}, {}
     for name in names:
         total = got[name, "values"]
         if total and got[name, "whole"] == total:
@@ -84,8 +115,14 @@ def inferred_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[
         elif total and got[name, "boolean"] == total:
             types[name] = "boolean"
         else:
-            layouts = [x for x in DATE_LAYOUTS if total and got[name, x] == total]
-            types[name] = f"timestamp_ntz {layouts[0]}" if layouts else "string"
+            types[name] = "string"
+            left = [x for i, x in enumerate(DATE_LAYOUTS) if total and got[name, "layouts"] >> i & 1]
+            open_layouts |= {(name, x): F.count(parse_datetime(ref(name), x)) for x in left}
+    if open_layouts:
+        parsed = scalars(df, open_layouts)
+        for name, layout in reversed(list(open_layouts)):  # the first that fits stays
+            if parsed[name, layout] == got[name, "values"]:
+                types[name] = f"timestamp_ntz {layout}"
     return types
 
 

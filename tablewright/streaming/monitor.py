@@ -91,10 +91,13 @@ def error_counts(df: DataFrame, error_type: str) -> DataFrame:
 
 def error_summary(df: DataFrame, error_type: str) -> DataFrame:
     """One row: all errors, number of types, most common type (ties: the smaller)."""
+    return _error_summary(error_counts(df, error_type))
+
+
+def _error_summary(counts: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("count")).alias("n"), F.col("error_type")))
     return (
-        error_counts(df, error_type)
-        .agg(
+        counts.agg(
             F.coalesce(F.sum("count"), F.lit(0)).alias("total_errors"),
             F.count(F.lit(1)).alias("error_types"),
             best.alias("best"),
@@ -205,11 +208,13 @@ def track_operations(
 ) -> DataFrame:
     """Durations (``completed``) and overlong operations (``long_running``) of a stream.
 
-    Operations go by whatever type their column has. The state of an operation is the
-    time of its open start. Marks are ordered inside a micro-batch, whose size the
-    source's ``maxFilesPerTrigger`` bounds; marks that reach a later batch out of order
-    are taken as they arrive. An operation is reported overlong once, when event time
-    passes its start by the timeout.
+    A mark is final once the watermark, ``delay`` behind the newest mark, has passed it. The state
+    of an operation is its open start and its marks that are not final yet, so its
+    size is bounded by the marks of one delay; timers of event time release them in the order of
+    time and id, whatever batch brought them. Marks later than the delay are dropped. Results
+    depend on the marks alone, not on how they fall into batches: they are those of
+    :func:`operation_durations` over the final marks. An operation is reported overlong
+    once, when it stays open for longer than the timeout, ended later or not.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -222,7 +227,7 @@ def track_operations(
             (ref(kind) == start).alias("is_start"),
         )
     )
-    limit_ms = int(timeout * 1000)
+    limit = int(timeout * 1_000_000)
     schema = T.StructType(
         [
             T.StructField("operation", marks.schema["operation"].dataType),
@@ -232,53 +237,67 @@ def track_operations(
             T.StructField("seconds", T.DoubleType()),
         ]
     )
+    held = T.StructType(
+        [
+            T.StructField("opened", T.LongType()),  # microseconds; none: -1
+            T.StructField("told", T.BooleanType()),
+            T.StructField("at", T.ArrayType(T.LongType())),
+            T.StructField("id", T.ArrayType(marks.schema["id"].dataType)),
+            T.StructField("is_start", T.ArrayType(T.BooleanType())),
+        ]
+    )
 
     def advance(key, batches, state):
         import numpy as np
         import pandas as pd
 
-        def overlong(began):
-            return pd.DataFrame(
-                {
-                    "operation": [key[0]], "outcome": ["long_running"], "started": [pd.Timestamp(began, unit="us")],
-                    "ended": [pd.NaT], "seconds": [timeout],
-                }
-            )
-
-        if state.hasTimedOut:
-            (opened,) = state.get
-            state.update((opened,))  # stays open, already reported
-            yield overlong(opened)
-            return
-        every = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
-        at = every["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        starts = every["is_start"].to_numpy(dtype=bool)
-        if state.exists:  # the open start stands before all marks of the batch
-            at, starts = np.r_[state.get[0], at], np.r_[True, starts]
-        ends = np.flatnonzero(~starts[1:] & starts[:-1]) + 1
+        opened, told, *waiting = state.get if state.exists else (-1, False, [], [], [])
+        every = pd.DataFrame(dict(zip(("at", "id", "is_start"), map(list, waiting))))
+        if not state.hasTimedOut:
+            for batch in batches:
+                at = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+                fresh = pd.DataFrame({"at": at, "id": batch["id"].tolist(), "is_start": batch["is_start"].tolist()})
+                every = pd.concat([every, fresh], ignore_index=True) if len(every) else fresh
+        every = every.sort_values(["at", "id"], kind="stable")
+        passed = state.getCurrentWatermarkMs()
+        # a timer fires once the watermark is past its millisecond; marks follow the same rule
+        final = int(np.searchsorted(every["at"].to_numpy(dtype="int64"), (passed - 1) * 1000, side="right"))
+        at = every["at"].to_numpy(dtype="int64")[:final]
+        starts = every["is_start"].to_numpy(dtype=bool)[:final]
+        known = np.zeros(final, bool)
+        if opened >= 0:
+            at, starts, known = np.r_[opened, at], np.r_[True, starts], np.r_[told, known]
+        took = np.diff(at)
+        ended = np.flatnonzero(starts[:-1] & ~starts[1:])
+        long = starts & ~known
+        if len(at):
+            long[:-1] &= took > limit
+            long[-1] &= -(-(int(at[-1]) + limit) // 1000) < passed  # the last mark waits for its own time
+        late = np.flatnonzero(long)
         yield pd.DataFrame(
             {
-                "operation": [key[0]] * len(ends),
-                "outcome": "completed",
-                "started": pd.to_datetime(at[ends - 1], unit="us"),
-                "ended": pd.to_datetime(at[ends], unit="us"),
-                "seconds": (at[ends] - at[ends - 1]) / 1e6,
+                "operation": [key[0]] * (len(ended) + len(late)),
+                "outcome": ["completed"] * len(ended) + ["long_running"] * len(late),
+                "started": pd.to_datetime(np.r_[at[ended], at[late]].astype("int64"), unit="us"),
+                "ended": [*pd.to_datetime(at[ended + 1], unit="us")] + [pd.NaT] * len(late),
+                "seconds": np.r_[took[ended] / 1e6, np.full(len(late), timeout)],
             }
         )
-        if not starts[-1]:
+        opened, told = (int(at[-1]), bool(known[-1] or long[-1])) if len(at) and starts[-1] else (-1, False)
+        rest = every.iloc[final:]
+        if opened < 0 and not len(rest):
             if state.exists:
                 state.remove()
             return
-        opened = int(at[-1])
-        state.update((opened,))
-        due = opened // 1000 + limit_ms
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        else:
-            yield overlong(opened)
+        state.update((opened, told, rest["at"].tolist(), rest["id"].tolist(), rest["is_start"].tolist()))
+        timers = [-(-int(rest["at"].iloc[0]) // 1000)] if len(rest) else []
+        if opened >= 0 and not told:
+            timers.append(-(-(opened + limit) // 1000))
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers), passed))
 
     return marks.groupBy("operation").applyInPandasWithState(
-        advance, schema, "opened long", "append", GroupStateTimeout.EventTimeTimeout
+        advance, schema, held, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -296,19 +315,34 @@ def call_ledger(df: DataFrame, function: str, seconds: str, success) -> DataFram
 def performance_report(
     df: DataFrame, kind: str, error: str, ts: str, operation: str, start: str, end: str, key: str
 ) -> DataFrame:
-    """One row: time covered, events, errors, open operations."""
+    """One row: time covered, events, errors and their types, open operations."""
+    return _report(*_report_parts(df, kind, error, ts, operation, start, end, key))
+
+
+def _report_parts(df: DataFrame, kind: str, error: str, ts: str, operation: str, start: str, end: str, key: str):
+    """Totals, errors by type and last marks: tables of which several can be added up."""
     last = (
         _marks(df, operation, kind, start, end, ts, key)
         .groupBy("operation")
         .agg(F.max(F.struct("ts", "id", "is_start")).alias("last"))
-        .agg(F.count_if("last.is_start").alias("active_operations"))
     )
     totals = df.agg(
         F.count(F.lit(1)).alias("events"),
-        _seconds(F.min(ref(ts)), F.max(ref(ts))).alias("uptime_seconds"),
-        F.count_if(ref(kind) == error).alias("total_errors"),
+        F.min(ref(ts)).alias("first"),
+        F.max(ref(ts)).alias("latest"),
+        F.count_if(ref(kind) == error).alias("errors"),
     )
-    return totals.crossJoin(last)  # one row with one row
+    return totals, last
+
+
+def _report(totals: DataFrame, last: DataFrame) -> DataFrame:
+    whole = totals.agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
+        _seconds(F.min("first"), F.max("latest")).alias("uptime_seconds"),
+        F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"),
+    )
+    newest = last.groupBy("operation").agg(F.max("last").alias("last"))
+    return whole.crossJoin(newest.agg(F.count_if("last.is_start").alias("active_operations")))  # one row each
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"):
@@ -325,5 +359,82 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet
     return query
 
 
+def _each_batch(stream: DataFrame, checkpoint: str, mode: str, write):
+    query = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def _put(df: DataFrame, path: str, table: str, batch: int) -> None:
+    """A batch's part of a table; written again it takes its own place."""
+    df.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch}")
+
+
+def _parts(spark, path: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{table}")
+
+
+def update_to(stream: DataFrame, path: str, checkpoint: str):
+    """Run an aggregation in update mode and keep what each batch changed, below its number.
+
+    Groups still open are there as well. A batch that is run again replaces what it wrote,
+    so nothing counts twice; :func:`updated` reads the newest row of every key. Only
+    changed rows are written, never the whole table.
+    """
+    return _each_batch(stream, checkpoint, "update", lambda df, batch: _put(df, path, "changes", batch))
+
+
+def updated(spark, path: str, keys: Iterable[str]) -> DataFrame:
+    """The table kept by :func:`update_to`: of every key the row of the latest batch."""
+    changes = _parts(spark, path, "changes")
+    keys = list(keys)
+    rest = [c for c in changes.columns if c not in keys and c != "batch"]
+    newest = F.max_by(F.struct(*[ref(c) for c in rest]), F.col("batch")).alias("_row")
+    return changes.groupBy(*[ref(k) for k in keys]).agg(newest).select(
+        *[ref(k) for k in keys], *[F.col("_row")[c].alias(c) for c in rest]
+    )
+
+
+def report_to(
+    stream: DataFrame, path: str, checkpoint: str, kind: str, error: str, error_type: str, ts: str, operation: str,
+    start: str, end: str, key: str, metric: str, value: str, n: int = METRIC_HISTORY,
+):
+    """Keep a performance report up to date from one pass over a stream.
+
+    Of every batch its totals, its errors by type, the last mark of its operations and the latest ``n``
+    samples of its metrics are written below the batch's number: small tables, whatever
+    the batch holds. A batch that is run again replaces its own. :func:`kept_report` adds them up.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        df = df.persist()  # several tables from one read
+        totals, last = _report_parts(df, kind, error, ts, operation, start, end, key)
+        _put(totals, path, "totals", batch)
+        _put(last, path, "marks", batch)
+        _put(error_counts(df.filter(ref(kind) == error), error_type), path, "errors", batch)
+        samples = last_samples(df, metric, ts, key, n)
+        _put(samples.select(ref(metric).alias("metric"), ref(ts).alias("ts"), ref(key).alias("id"), ref(value).alias("value")), path, "samples", batch)
+        df.unpersist()
+
+    return _each_batch(stream, checkpoint, "append", write)
+
+
+def kept_report(spark, path: str, n: int = METRIC_HISTORY) -> dict[str, DataFrame]:
+    """``totals``, ``errors``, ``error_summary`` and ``metrics`` of what :func:`report_to` has kept."""
+    errors = _parts(spark, path, "errors").groupBy("error_type").agg(F.sum("count").alias("count"))
+    return {
+        "totals": _report(_parts(spark, path, "totals"), _parts(spark, path, "marks")),
+        "errors": errors,
+        "error_summary": _error_summary(errors),
+        "metrics": metric_summary(_parts(spark, path, "samples"), "metric", "value", "ts", "id", n),
+    }
+
+
 def save_report(report: DataFrame, path: str) -> None:
     report.withColumn("reported_at", F.current_timestamp()).write.mode("append").parquet(path)

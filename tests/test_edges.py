@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import PrepareError, ReadError, TablewrightError
+from tablewright.functions import scalars
 from tablewright.functions.scalars import parse_datetime
 from tablewright.operators import casting, charts, checks, correlate, describe, features, frequencies, quantiles, scaling, values
 from tablewright.plans.validation import latest
@@ -293,6 +294,7 @@ def test_operations_with_text_names_in_a_stream(spark, tmp_path):
         [("load", "s", "2024-01-01 00:00:00", 1), ("save", "s", "2024-01-01 00:00:01", 2), ("load", "s", "2024-01-01 00:00:02", 3)],
         [("load", "e", "2024-01-01 00:00:05", 4), ("load", "e", "2024-01-01 00:00:06", 5), ("idle", "e", "2024-01-01 00:00:06", 6)],
         [("save", "e", "2024-01-01 00:01:01", 7), ("load", "s", "2024-01-01 00:02:00", 8), ("load", "e", "2024-01-01 00:02:30", 9)],
+        [("other", "s", "2024-01-01 00:30:00", 10)],  # the watermark passes all marks before
     ]
     for k, rows in enumerate(batches):
         df = spark.createDataFrame(rows, "op string, kind string, ts string, id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -303,3 +305,20 @@ def test_operations_with_text_names_in_a_stream(spark, tmp_path):
     monitor.append_to(tracked, str(tmp_path / "out"), str(tmp_path / "ck"))
     found = spark.read.parquet(str(tmp_path / "out")).filter("outcome = 'completed'")
     assert sorted((r["operation"], r["seconds"]) for r in found.collect()) == [("load", 3.0), ("load", 30.0), ("save", 60.0)]
+
+
+def test_shapes_leave_the_right_layouts_open(spark):
+    """Every layout finds its own dates, and words are never tried as dates."""
+    days = ["2024-01-05", "2023-12-25", "2024-11-30"]
+    df = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("d"))
+    made = df.select(*[F.date_format("d", x).alias(str(i)) for i, x in enumerate(scalars.DATE_LAYOUTS)])
+    timed = df.select(*[F.date_format("d", x + " HH:mm").alias(str(i)) for i, x in enumerate(scalars.DATE_LAYOUTS)])
+    first = "bigint"  # yyyyMMdd is a number first
+    for table in (made, timed):
+        kinds = casting.inferred_types(table)
+        for i, layout in enumerate(scalars.DATE_LAYOUTS):
+            last = layout == "yyyyMMdd" and table is made
+            assert kinds[str(i)] == (first if last else f"timestamp_ntz {layout}")
+    words = spark.createDataFrame([("hello world",), ("MACHINERY",), (None,)], "w string")
+    assert casting.inferred_types(words) == {"w": "string"}
+    assert [r[0] for r in words.select(casting.possible_layouts(F.col("w"))).collect()] == [0, 0, None]

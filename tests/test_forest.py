@@ -1,4 +1,4 @@
-"""The forest query's search, and a small search run to its end."""
+"""What the forest search asks for, and a small search run to its end."""
 
 import random
 from itertools import product
@@ -6,13 +6,12 @@ from types import SimpleNamespace
 
 from pyspark.ml.tuning import CrossValidator
 
-from catalog import preparing
 from tablewright.operators import features
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_query_searches_the_declared_grid_in_all_folds(spark, monkeypatch):
+def test_search_covers_the_declared_grid_in_all_folds(spark, monkeypatch):
     asked = []
 
     def fit(self, data):
@@ -20,12 +19,13 @@ def test_query_searches_the_declared_grid_in_all_folds(spark, monkeypatch):
         return SimpleNamespace(avgMetrics=[0.5] * len(self.getEstimatorParamMaps()))
 
     monkeypatch.setattr(CrossValidator, "fit", fit)
-    rows = preparing.m7_forest(spark, SF).collect()
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    model = features.forest_regression(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     settings = [tuple(m[p] for p in sorted(m, key=lambda p: p.name)) for m in asked[0].getEstimatorParamMaps()]
     declared = [features.FOREST_GRID[name] for name in sorted(features.FOREST_GRID)]
     assert sorted(settings) == sorted(product(*declared))
     assert asked[0].getNumFolds() == features.FOLDS == 5
-    assert len(rows) == len(settings) == 27
+    assert len(model.avgMetrics) == len(settings) == 27
 
 
 def test_small_search_beats_the_mean(spark):
