@@ -25,8 +25,10 @@ ORACLE_SQL = None
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents no learned language can be told of."""
+    """Without the documents no learned language can be told of; all stay if there is none to learn."""
     model = langid.fit(docs, ~held_out())
+    if not model.languages:
+        return docs
     found = langid.identify(docs, model, into=("_language", "_language_score"))
     known = (F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LEAST_SCORE)
     return found.filter(known).select(*[ref(c) for c in docs.columns])
