@@ -71,3 +71,8 @@ def test_whole_run(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert len(out) > 100
     assert all(re.fullmatch("[0-9a-f]{64}", r["ids_sha256"]) for r in out)
+
+
+def test_without_languages_to_learn_all_rows_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.languages(spark, docs, SF).count() == docs.count()
