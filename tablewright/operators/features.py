@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.errors import PrepareError
@@ -19,6 +20,8 @@ TRAIN_SIZE = 0.8
 SEED = 42
 CLUSTERS = 5
 FOLDS = 5
+ITERATIONS = 50
+FIRST_POINTS = 2_000  # rows that starting centres are drawn from
 # (30 is the deepest tree; a node splits down to these rows a child)
 FOREST_GRID = {
     "numTrees": [100, 200, 300],
@@ -145,17 +148,76 @@ def k_means(df: DataFrame, columns: Iterable[str], clusters: int = CLUSTERS, see
     return model.transform(data).drop("_features")
 
 
-def k_means_pairs(df: DataFrame, key: Iterable[str], columns: Iterable[str], clusters: int = CLUSTERS, seed: int = SEED) -> DataFrame:
-    """Cluster every pair of columns on its own: ``(key..., column_a, column_b, cluster)``."""
-    out = None
-    for a, b in combinations(list(columns), 2):
-        part = k_means(df, [a, b], clusters, seed).select(
-            *[ref(k) for k in key], F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "cluster"
-        )
-        out = part if out is None else out.unionByName(part)
+def _first_centres(df: DataFrame, pairs: list, clusters: int, seed: int) -> np.ndarray:
+    """Starting centres of every pair, spread out over the ``FIRST_POINTS`` rows with the lowest hashes.
+
+    Each next centre is a row drawn by its squared distance from those before it.
+    """
+    cells = F.array(*[c for pair in pairs for c in pair])
+    mark = F.xxhash64(F.lit(seed), cells)
+    rows = df.select(cells.alias("cells"), mark.alias("mark")).distinct().orderBy("mark").limit(FIRST_POINTS).collect()
+    points = np.array([r["cells"] for r in rows], float).reshape(len(rows), len(pairs), 2)
+    draw = np.random.default_rng(seed)
+    out = np.full((len(pairs), clusters, 2), np.nan)
+    for p in range(len(pairs)):
+        own = np.unique(points[:, p], axis=0)
+        own = own[~np.isnan(own).any(axis=1)]
+        if not len(own):
+            continue
+        out[p, 0] = own[draw.integers(len(own))]
+        for k in range(1, clusters):
+            away = ((own[:, None] - out[p, None, :k]) ** 2).sum(axis=2).min(axis=1)
+            if not away.any():
+                break  # fewer different rows than clusters
+            out[p, k] = own[draw.choice(len(own), p=away / away.sum())]
     return out
 
 
+def _nearest(x: Column, y: Column, centres: np.ndarray) -> Column:
+    """Number of the nearest centre, the first on ties; null for a null coordinate."""
+    known = [(k, c) for k, c in enumerate(centres.tolist()) if c[0] == c[0]]
+    if not known:
+        return F.lit(None).cast("int")
+    away = [F.struct(((x - F.lit(c[0])) ** 2 + (y - F.lit(c[1])) ** 2).alias("d"), F.lit(k).alias("k")) for k, c in known]
+    best = away[0] if len(away) == 1 else F.least(*away)
+    return F.when(x.isNotNull() & y.isNotNull(), best["k"])
+
+
+def k_means_pairs(
+    df: DataFrame, key: Iterable[str], columns: Iterable[str], clusters: int = CLUSTERS, seed: int = SEED,
+    iterations: int = ITERATIONS,
+) -> DataFrame:
+    """Cluster every pair of columns on its own: ``(key..., column_a, column_b, cluster)``.
+
+    One iteration is one scan for all pairs: rows choose their nearest centres, sums by pair and
+    centre are combined in their tasks, and the new centres, a few numbers a pair, come back. It ends when
+    no centre moves, or after ``iterations``. Rows with a null in a pair are left out of that pair.
+    """
+    names = list(combinations(list(columns), 2))
+    pairs = [(number(df, a), number(df, b)) for a, b in names]
+    centres = _first_centres(df, pairs, clusters, seed)
+
+    def assigned(keep: list[Column]) -> DataFrame:
+        cells = [
+            F.struct(x.alias("x"), y.alias("y"), _nearest(x, y, own).alias("cluster")) for (x, y), own in zip(pairs, centres)
+        ]
+        return df.select(*keep, F.posexplode(F.array(*cells)).alias("pair", "cell")).filter("cell.cluster is not null")
+
+    for _ in range(iterations):
+        sums = assigned([]).groupBy("pair", "cell.cluster").agg(F.avg("cell.x").alias("x"), F.avg("cell.y").alias("y"))
+        moved = centres.copy()  # a centre that lost its rows stays
+        for r in sums.collect():  # pairs times clusters
+            moved[r["pair"], r["cluster"]] = r["x"], r["y"]
+        done = np.allclose(moved, centres, rtol=1e-12, atol=1e-12, equal_nan=True)
+        centres = moved
+        if done:
+            break
+    label = [F.array(*[F.lit(n[side]) for n in names])[F.col("pair")] for side in (0, 1)]
+    return assigned([ref(k) for k in key]).select(
+        *[ref(k) for k in key], label[0].alias("column_a"), label[1].alias("column_b"), F.col("cell.cluster").alias("cluster")
+    )
+
+
 def forest_regression(
     df: DataFrame,
     features: Iterable[str],
