@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from catalog.base import KNN_ROWS, NULLS_NUMERIC, NULLS_TEXT, as_cte, big, derived, rd, register, scratch, table, tidy
@@ -9,6 +10,7 @@ from tablewright.operators import features
 from tablewright.operators.neighbours import nearest_fill
 from tablewright.plans import preparing
 from tablewright.plans.preparing import PrepBook, PrepSpec
+from tablewright.plans.stages import PrepEstimator
 
 # --- E1 to E4 ------------------------------------------------------------------
 
@@ -127,6 +129,21 @@ def e13_ordinal_many(spark, sf_dir):
     return tidy(fitted.transform(df, ["c_custkey"]))
 
 
+@register(
+    "e11_sparse_one_hot",
+    "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_name) - 1)::INTEGER AS slot, 1.0::DOUBLE AS value, "
+    "(SELECT count(DISTINCT c_name) FROM customer)::INTEGER AS size FROM customer",
+)
+def e11_sparse_one_hot(spark, sf_dir):
+    # a slot per name: the names stay in their table
+    df = table(spark, sf_dir, "customer")
+    fitted = preparing.fit(df, PrepSpec([], ["c_name"], encoding="sparse"))
+    cell = F.unwrap_udt("c_name")
+    return fitted.transform(df, ["c_custkey"]).select(
+        "c_custkey", cell["indices"][0].alias("slot"), cell["values"][0].alias("value"), cell["size"].alias("size")
+    )
+
+
 # --- E6 to E10 ---------------------------------------------------------------------
 
 
@@ -223,6 +240,16 @@ def e15_save_load(spark, sf_dir):
     return tidy(PrepBook.load(spark, path).transform("customers", df, ["c_custkey"]), 6)
 
 
+@register("e15_pipeline_stage", _PIPELINE_SQL)
+def e15_pipeline_stage(spark, sf_dir):
+    """The same as a stage of a pipeline of Spark's, saved and loaded."""
+    df = derived(spark, sf_dir, _GAPPY_CUSTOMERS)
+    path = scratch(spark, "stages")
+    Pipeline(stages=[PrepEstimator(_customer_spec())]).fit(df).write().save(path)
+    out = PipelineModel.load(path).transform(df)
+    return tidy(out.select("c_custkey", "acctbal", "c_nationkey", *[f"c_mktsegment_{v}" for v in _SEGMENTS]), 6)
+
+
 # --- M1 to M8 -----------------------------------------------------------------------------
 
 _NUMBERS = ["l_quantity", "l_discount", "l_tax"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from tablewright.functions.kinds import (
     present,
     ref,
 )
-from tablewright.operators.fused import numeric_metrics, per_column, unpivoted
+from tablewright.operators.fused import numeric_metrics, per_column, scalars, unpivoted
 from tablewright.operators.frequencies import modes
 from tablewright.operators.quantiles import PowerSums, quantiles_and_powers
 from tablewright.operators.ranking import grouped_quantiles
@@ -216,6 +216,15 @@ WIDTHS = {
 }
 
 
+def _width(dtype: T.DataType) -> int | None:
+    return 16 if isinstance(dtype, T.DecimalType) else WIDTHS.get(dtype.simpleString())
+
+
+def _text_bytes(name: str, dtype: T.DataType) -> Column:
+    text = ref(name) if kind_of(dtype) == "text" else F.to_json(F.struct(ref(name)))
+    return F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint")
+
+
 def type_profile(df: DataFrame) -> DataFrame:
     """Type, kind flags and estimated bytes per column.
 
@@ -224,14 +233,8 @@ def type_profile(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def size(name: str):
-        dtype = types[name]
-        width = WIDTHS.get(dtype.simpleString())
-        if width is None and isinstance(dtype, T.DecimalType):
-            width = 16
-        if width is not None:
-            return F.count(F.lit(1)) * width
-        text = ref(name) if kind_of(dtype) == "text" else F.to_json(F.struct(ref(name)))
-        return F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint")
+        width = _width(types[name])
+        return _text_bytes(name, types[name]) if width is None else F.count(F.lit(1)) * width
 
     return per_column(
         df,
@@ -246,6 +249,57 @@ def type_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def table_facts(df: DataFrame) -> dict:
+    """Rows, and per column its missing cells and bytes, from one scan."""
+    facts: dict = {"rows": F.count(F.lit(1))}
+    for f in df.schema.fields:
+        facts["missing", f.name] = F.count_if(present(df, f.name).isNull())
+        if _width(f.dataType) is None:
+            facts["bytes", f.name] = _text_bytes(f.name, f.dataType)
+    found = scalars(df, facts)
+    for f in df.schema.fields:
+        if ("bytes", f.name) not in found:
+            found["bytes", f.name] = found["rows"] * _width(f.dataType)
+    return found
+
+
+def missing_from(df: DataFrame, facts: dict) -> tuple[DataFrame, DataFrame]:
+    """:func:`missing_by_column` and :func:`missing_total` from :func:`table_facts`."""
+    rows, gaps = facts["rows"], {c: facts["missing", c] for c in df.columns}
+    share = {c: n * 100.0 / rows if rows else None for c, n in gaps.items()}
+    total = sum(gaps.values())
+    spark = df.sparkSession
+    return (
+        spark.createDataFrame(
+            [(c, n, share[c]) for c, n in gaps.items()], "column string, missing bigint, missing_percent double"
+        ),
+        spark.createDataFrame(
+            [(total, total / rows * 100.0 / len(gaps) if rows else None)], "total_missing bigint, missing_percent double"
+        ),
+    )
+
+
+def extremes_from(df: DataFrame, summary: NumericSummary) -> DataFrame:
+    return summary.frame(df.sparkSession, "column string, min double, max double", ["min", "max"])
+
+
+def types_from(df: DataFrame, facts: dict) -> DataFrame:
+    """:func:`type_profile` from :func:`table_facts`."""
+    rows = [
+        (
+            f.name,
+            f.dataType.simpleString(),
+            facts["bytes", f.name],
+            kind_of(f.dataType) in ("numeric", "boolean"),
+            kind_of(f.dataType) == "text",
+            kind_of(f.dataType) == "datetime",
+        )
+        for f in df.schema.fields
+    ]
+    schema = "column string, data_type string, bytes bigint, is_numeric boolean, is_categorical boolean, is_datetime boolean"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def type_counts(df: DataFrame) -> DataFrame:
     """Number of columns per type."""
     rows = [(f.dataType.simpleString(),) for f in df.schema.fields]

@@ -12,8 +12,8 @@ from tablewright.functions.kinds import ref
 from tablewright.operators.fused import counted
 from tablewright.operators.ranking import attach, rank_table
 
-# ``position`` is the sparse form of one-hot: the place of the 1, in one column.
-METHODS = ("onehot", "label", "ordinal", "position")
+# ``position`` is the place of one-hot's 1, in one column; ``sparse`` a sparse vector of it.
+METHODS = ("onehot", "label", "ordinal", "position", "sparse")
 # Codes written into the expression; more are kept in a table and joined, with equal results.
 INLINE_CATEGORIES = 999
 
@@ -85,6 +85,22 @@ def with_codes(df: DataFrame, column: str, table: DataFrame, name: str, strict:
     return out.withColumn(name, value)
 
 
+def sparse_one_hot(df: DataFrame, column: str, size: int, name: str) -> DataFrame:
+    """Turn a column of codes into sparse vectors of ``size`` slots with a 1 at the code.
+
+    Slots are the sorted categories, which stay in their table; a null code, of an unknown or
+    missing value, gives an empty vector.
+    """
+    from pyspark.ml.feature import OneHotEncoder
+
+    slot = f"{name}_slot"
+    # All there is to learn is the number of slots. The one behind them, for unknown values, is dropped.
+    largest = df.sparkSession.createDataFrame([(float(max(size - 1, 0)),)], f"{slot} double")
+    encoder = OneHotEncoder(inputCol=slot, outputCol=name, dropLast=True, handleInvalid="keep").fit(largest)
+    known = F.coalesce(ref(column).cast("double"), F.lit(float(max(size, 1))))
+    return encoder.transform(df.withColumn(slot, known)).drop(slot)
+
+
 def check_method(method: str) -> None:
     if method not in METHODS:
         raise PrepareError(f"unknown encoding method: {method}", {"available_methods": list(METHODS)})

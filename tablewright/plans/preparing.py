@@ -71,7 +71,7 @@ class FittedPrep:
         )
         if spec.imputation == "knn" and spec.numeric:
             df = nearest_fill(df, spec.numeric, self.donors)
-        strict = spec.encoding != "position"
+        strict = spec.encoding not in ("position", "sparse")
         coded = {}
         for i, name in enumerate(c for c in spec.categorical if self.categories[c] is None):
             coded[name] = f"_code{i}"
@@ -89,7 +89,21 @@ class FittedPrep:
                 out.append(F.col(coded[name]).alias(label))
             else:
                 out.append(encoding.code(ref(name), self.categories[name], strict).alias(label))
-        return df.select(*out)
+        df = df.select(*out)
+        if spec.encoding != "sparse":
+            return df
+        names = df.columns
+        vectors = {}
+        for i, name in enumerate(spec.categorical):  # codes give way to vectors, in the same place
+            df = encoding.sparse_one_hot(df, name, self.size_of(name), f"_vector{i}")
+            vectors[name] = F.col(f"_vector{i}")
+        first = len(keep) + len(spec.numeric)
+        return df.select(*[ref(c) if i < first else vectors[c].alias(c) for i, c in enumerate(names)])
+
+    def size_of(self, name: str) -> int:
+        """Number of categories of a column; a table is counted, never fetched."""
+        listed = self.categories[name]
+        return self.code_tables[name].count() if listed is None else len(listed)
 
     def parameters(self) -> dict:
         return {

@@ -44,9 +44,9 @@ def profile(
 ) -> dict[str, DataFrame]:
     """All profile tables of ``df`` by name.
 
-    Numeric facts take two scans whatever the number of columns, value counts
-    one per type, histograms and outliers one each. ``key`` names the columns
-    that identify a row in the outlier table.
+    Numeric facts take two scans whatever the number of columns; rows, missing cells and bytes
+    one together, value counts one per type, histograms and outliers one each. ``key`` names
+    the columns that identify a row in the outlier table.
     """
     config = DEFAULT_CONFIG if config is None else config
     numeric, text = numeric_columns(df), text_columns(df)
@@ -54,7 +54,8 @@ def profile(
     needs_summary = any(_wanted(config, p) for p in ("basic_stats", "distributions", "outliers"))
     summary = D.NumericSummary(df, numeric) if needs_summary and numeric else None
     counts = None
-    rows = df.count()
+    facts = D.table_facts(df)
+    rows = facts["rows"]
     if _wanted(config, "basic_stats") or _wanted(config, "unique_values"):
         counts = [held(t) for t in Q.typed_counts(df)]
     if _wanted(config, "basic_stats"):
@@ -77,15 +78,14 @@ def profile(
     if _wanted(config, "outliers") and summary is not None:
         out["outliers"] = detect_outliers(df, key, numeric, _methods(config, "outliers"), summary)
     if _wanted(config, "missing_values"):
-        out["missing"] = D.missing_by_column(df)
-        out["missing_total"] = D.missing_total(df)
+        out["missing"], out["missing_total"] = D.missing_from(df, facts)
     if _wanted(config, "unique_values"):
         out["distinct"] = Q.distinct_counts(df, counts=counts, rows=rows)
         out["top_values"] = Q.top_values(df, counts=counts)
         if numeric:
-            out["extremes"] = D.extremes(df, numeric)
+            out["extremes"] = D.extremes(df, numeric) if summary is None else D.extremes_from(df, summary)
     if _wanted(config, "data_types"):
-        out["types"] = D.type_profile(df)
+        out["types"] = D.types_from(df, facts)
         out["type_counts"] = D.type_counts(df)
     out["size"] = df.sparkSession.createDataFrame(
         [(rows, len(df.columns))], "rows bigint, columns bigint"

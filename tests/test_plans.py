@@ -93,3 +93,27 @@ def test_wide_values_are_not_broadcast_unchecked(spark):
 
     assert "broadcast" in broadcast_if_small(spark.range(10), 10)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in broadcast_if_small(spark.range(11), 10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_facts_of_a_profile_equal_the_operators(spark):
+    """Rows, gaps, extremes and types from one scan are those of the single operators."""
+    from tablewright.operators import describe
+    from tablewright.plans import profiling
+
+    rows = [(1, 2.5, "é", None, [1, 2]), (2, float("nan"), None, None, None), (None, -1.0, "xyz", None, [3])]
+    df = spark.createDataFrame(rows, "a int, b double, c string, d timestamp_ntz, e array<int>")
+    for table in (df, df.limit(0)):
+        facts = describe.table_facts(table)
+        gaps, total = describe.missing_from(table, facts)
+
+        def same(one, two):
+            assert one.columns == two.columns
+            assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+        same(gaps, describe.missing_by_column(table))
+        same(total, describe.missing_total(table))
+        same(describe.types_from(table, facts), describe.type_profile(table))
+        summary = describe.NumericSummary(table, ["a", "b"])
+        same(describe.extremes_from(table, summary), describe.extremes(table, ["a", "b"]))
+    parts = profiling.profile(df.drop("e"))
+    assert parts["size"].first()["rows"] == 3
