@@ -239,7 +239,91 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
-@register("op13_disclosure")
+@register(
+    "op13_disclosure",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+    ), m AS (
+        SELECT row, t, 1 AS ord, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ms,
+               string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gs FROM d
+        UNION ALL
+        SELECT row, t, 2, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+               string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+        UNION ALL
+        SELECT row, t, 3, 'card', regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'),
+               string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM d
+        UNION ALL
+        SELECT row, t, 4, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'),
+               string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+    ), u AS (
+        SELECT row, t, ord, kind, unnest(ms) AS found,
+               unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0)
+                   + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0)))::BIGINT AS start
+        FROM m WHERE len(ms) > 0
+    ), v AS (
+        SELECT *, start + length(found) AS stop, regexp_replace(found, '[^0-9]', '', 'g') AS digits FROM u
+    ), e AS (
+        SELECT *, coalesce(lag(stop) OVER w, 0) AS before, coalesce(lead(start) OVER w, length(t)) AS after
+        FROM v WHERE kind <> 'card' OR length(digits) BETWEEN 16 AND 19
+        WINDOW w AS (PARTITION BY row, kind ORDER BY start)
+    ), base AS (
+        SELECT row, ord, kind, start, stop,
+               CASE kind WHEN 'email' THEN lower(found) WHEN 'ip' THEN found ELSE digits END AS value,
+               t[before + 1:start] AS lead_text, t[stop + 1:after] AS tail_text
+        FROM e
+        WHERE kind = 'email'
+           OR (kind = 'phone' AND length(digits) BETWEEN 8 AND 15)
+           OR (kind = 'ip' AND len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3
+               OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0)
+           OR (kind = 'card' AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+               CASE WHEN i % 2 = 1 THEN digits[-i]::INTEGER ELSE digits[-i]::INTEGER * 2 - CASE WHEN digits[-i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0)
+    ), near AS (
+        SELECT kind, value, count(*) AS times,
+               CASE WHEN length(lead_text) > 80 THEN regexp_replace(right(lead_text, 80), '^[\p{L}\p{N}]+', '') ELSE lead_text END
+               || ' ' || CASE WHEN length(tail_text) > 80 THEN regexp_replace(left(tail_text, 80), '[\p{L}\p{N}]+$', '') ELSE tail_text END AS context
+        FROM base GROUP BY ALL
+    ), contexts AS (
+        SELECT kind, value, times, context, unnest(list_filter(regexp_extract_all(lower(regexp_replace(context,
+            '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', ' ', 'g')), '[\p{L}\p{N}]+'), lambda x: length(x) > 2 AND regexp_matches(x, '^\p{L}'))) AS term
+        FROM near
+    ), pairs AS (
+        SELECT kind, value, term, sum(times) AS together FROM contexts GROUP BY ALL HAVING count(DISTINCT context) >= 3
+    ), words AS (
+        SELECT row, list_filter(regexp_extract_all(lower(regexp_replace(t,
+            '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', ' ', 'g')), '[\p{L}\p{N}]+'), lambda x: length(x) > 2 AND regexp_matches(x, '^\p{L}')) AS ws
+        FROM d
+    ), counts AS (SELECT term, count(*) AS times FROM (SELECT unnest(ws) AS term FROM words) GROUP BY term
+    ), told AS (
+        SELECT DISTINCT term FROM pairs JOIN counts USING (term) WHERE log2(times / together) <= 0.5
+    ), holders AS (
+        SELECT DISTINCT row FROM (SELECT row, unnest(ws) AS term FROM words) WHERE term IN (SELECT term FROM told)
+    ), r AS (
+        SELECT row, regexp_extract_all(t, '[\p{L}\p{N}]+') AS ms, string_split_regex(t, '[\p{L}\p{N}]+') AS gs
+        FROM d WHERE row IN (SELECT row FROM holders)
+    ), places AS (
+        SELECT row, unnest(ms) AS found,
+               unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g)))
+                   + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0)))::BIGINT AS start
+        FROM r
+    ), added AS (
+        SELECT row, 5 AS ord, 'term' AS kind, start, start + length(found) AS stop FROM places p
+        WHERE lower(found) IN (SELECT term FROM told)
+          AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.start < p.start + length(p.found) AND p.start < b.stop)
+    ), spans AS (SELECT row, ord, kind, start, stop FROM base UNION ALL SELECT * FROM added
+    ), s AS (
+        SELECT row, count(*) FILTER (WHERE ord = 1) AS n_email, count(*) FILTER (WHERE ord = 2) AS n_ip,
+               count(*) FILTER (WHERE ord = 3) AS n_card, count(*) FILTER (WHERE ord = 4) AS n_phone,
+               count(*) FILTER (WHERE ord = 5) AS n_term,
+               string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) AS spans,
+               string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) FILTER (WHERE ord < 5) AS base
+        FROM spans GROUP BY row
+    )
+    SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+           coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           coalesce(n_term, 0) AS n_term
+    FROM d LEFT JOIN s USING (row)
+    """,
+)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, and terms that give it away, in every document."""
     found = disclosure.report(disclosure.find_private(table(spark, sf_dir, "documents")))

@@ -186,3 +186,18 @@ def test_no_python_in_the_plan(spark):
 def test_addresses_side_by_side(spark, text, count):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert disclosure.report(disclosure.find_private(df)).first()["n_email"] == count == len(base(text))
+
+
+def test_sql_of_the_query_equals_plain_python():
+    import duckdb
+    import pandas as pd
+
+    from tablewright.llm.queries import ORACLES
+
+    texts = make(1) + ["a@b." * 200, "é x@y.zz " * 100, "1.2.3." * 200, ""]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    told = disclosing(texts, 80, 3, 0.5)
+    assert told
+    for row in con.execute(ORACLES["op13_disclosure"]).fetchall():
+        assert (row[5], row[6]) == expected(texts[row[0]], told)
