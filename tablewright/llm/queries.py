@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import cuckoo, dac, disclosure, langid, lexical, linespread, mixing, nearcopies, pieces, topk, toxicity, turns, warc
 from tablewright.llm.common import held_out, scratch
+from tablewright.llm.repair_sql import REPAIR_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,7 +196,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.find_near_copies(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-@register("op11_turn_repair")
+@register("op11_turn_repair", REPAIR_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations repaired by the cheapest edits."""
     return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), copies="copies")

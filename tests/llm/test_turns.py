@@ -221,3 +221,17 @@ def test_given_table(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     rows = [tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()]
     assert found(df) == expected(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 9])
+def test_sql_of_the_query_equals_plain_python(seed):
+    import duckdb
+    import pyarrow as pa
+
+    from tablewright.llm.queries import ORACLES
+
+    rows = make(seed)
+    kinds = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string()}
+    con = duckdb.connect()
+    con.register("conversations", pa.table({n: pa.array(v, k) for (n, k), v in zip(kinds.items(), zip(*rows))}))
+    assert sorted(con.execute(ORACLES["op11_turn_repair"]).fetchall(), key=repr) == expected(rows)
