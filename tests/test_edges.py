@@ -322,3 +322,23 @@ def test_shapes_leave_the_right_layouts_open(spark):
     words = spark.createDataFrame([("hello world",), ("MACHINERY",), (None,)], "w string")
     assert casting.inferred_types(words) == {"w": "string"}
     assert [r[0] for r in words.select(casting.possible_layouts(F.col("w"))).collect()] == [0, 0, None]
+
+
+def test_density_against_all_kernels(spark):
+    """Far outliers, heavy repeats and a null group, to nearly all digits."""
+    draw = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in draw.normal(0, 1, 500)] + [("a", 400.0)] + [("a", 0.5)] * 300
+    rows += [(None, float(v)) for v in draw.integers(0, 5, 200)] + [("b", 1.0), ("b", 2.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {}
+    for r in charts.density(df, "v", "g", 200).collect():
+        got.setdefault(r["group"], []).append((r["point"], r["x"], r["density"]))
+    for group, curve in got.items():
+        v = np.array([x for g, x in rows if g == group and x is not None])
+        h = v.std(ddof=1) * len(v) ** -0.2
+        grid = np.linspace(v.min(), v.max(), 200)
+        wanted = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi))
+        points, x, y = (np.array(c) for c in zip(*sorted(curve)))
+        assert points.tolist() == list(range(200)) and np.allclose(x, grid)
+        assert np.allclose(y, wanted, rtol=1e-9, atol=1e-300)
+    assert set(got) == {"a", "b", None}
