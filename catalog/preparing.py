@@ -187,10 +187,46 @@ def e7_constant_column(spark, sf_dir):
     return tidy(preparing.fit(df, PrepSpec(["one"], scaling="minmax")).transform(df, ["event_id"]))
 
 
-@register("e9_power_scale")
+def _power_cell(x, lam):
+    def part(base, power):
+        return f"CASE WHEN abs({power}) < 1e-12 THEN ln({base}) ELSE (pow({base}, {power}) - 1) / ({power}) END"
+
+    return f"CASE WHEN {x} >= 0 THEN {part(f'(1 + {x})', lam)} ELSE -({part(f'(1 - {x})', f'(2 - {lam})')}) END"
+
+
+def _power_sql(columns, key, source):
+    """Lambda of the largest likelihood on grids ever finer, and the top of the parabola through the last three."""
+    ctes, shown = [], []
+    for c in columns:
+        ctes.append(f"v_{c} AS (SELECT {key}, {c}::DOUBLE AS x FROM {source})")
+        ctes.append(f"b_{c} AS (SELECT count(x) AS n, sum(sign(x) * ln(1 + abs(x))) AS slope FROM v_{c})")
+        grid, step, rounds = "SELECT -2 + 0.5::DOUBLE * k AS lam FROM range(13) r(k)", 0.5, 0
+        while True:
+            ctes.append(f"g_{c}_{rounds} AS ({grid})")
+            ctes.append(
+                f"s_{c}_{rounds} AS (SELECT lam, -any_value(n) / 2.0::DOUBLE * ln(var_pop({_power_cell('x', 'lam')})) + (lam - 1) * any_value(slope) AS score "
+                f"FROM v_{c}, b_{c}, g_{c}_{rounds} GROUP BY lam)"
+            )
+            if step <= 0.0005:
+                break
+            step, rounds = step / 4, rounds + 1
+            grid = f"SELECT best + (k - 4) * {step!r}::DOUBLE AS lam FROM (SELECT arg_max(lam, score) AS best FROM s_{c}_{rounds - 1}), range(9) r(k)"
+        ctes.append(
+            f"t_{c} AS (SELECT lam, score, lag(score) OVER w AS below, lead(score) OVER w AS above FROM s_{c}_{rounds} WINDOW w AS (ORDER BY lam))"
+        )
+        ctes.append(
+            f"m_{c} AS (SELECT lam + {step!r}::DOUBLE * (below - above) / (2 * (below - 2 * score + above)) AS lam FROM t_{c} ORDER BY score DESC LIMIT 1)"
+        )
+        ctes.append(f"y_{c} AS (SELECT {key}, {_power_cell('x', 'lam')} AS y FROM v_{c}, m_{c})")
+        shown.append(
+            f"(SELECT {key}, {rd('(y - avg(y) OVER ()) / stddev_pop(y) OVER ()', 6)} AS {c} FROM y_{c})"
+        )
+    return f"WITH {', '.join(ctes)} SELECT * FROM {shown[0]}" + "".join(f" JOIN {t} USING ({key})" for t in shown[1:])
+
+
+@register("e9_power_scale", _power_sql(["value", "user_id"], "event_id", "events"))
 def e9_power_scale(spark, sf_dir):
-    # no SQL: lambda is searched for; a brute-force test covers it
-    return tidy(_scaled(spark, sf_dir, "power"), 3)
+    return _scaled(spark, sf_dir, "power")
 
 
 # A rational approximation of the normal quantile, middle and tail, good to 1e-9.
