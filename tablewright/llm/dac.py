@@ -42,7 +42,8 @@ BLOCK = 512  # bits that one entry of a rank directory stands for
 LEVELS = 4
 HEAD = "<8sQQQ"  # magic, bytes of the shard, documents, tokens
 NULL_ID = -(2**63)
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 250_000  # as met in texts
+CACHED_WORDS = 350_000  # without their punctuation
 # A word of letters that compose and lower-case one by one, perhaps with punctuation behind it.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 PORTION = 4 << 20  # bytes of texts whose chunks are numbered at a time
@@ -179,7 +180,7 @@ class ChunkTokenizer:
         """A chunk is a word and the punctuation behind it, or is encoded as it is."""
         split = list(map(PLAIN.fullmatch, chunks))
         pairs = [(m[1].lower(), m[2]) if m else None for m in split]
-        if len(self.words) > CACHED_CHUNKS:
+        if len(self.words) > CACHED_WORDS:
             self.words = {"": b""}
         known = self.words
         self._learn(list({p[0] for p in pairs if p and p[0] not in known}))
