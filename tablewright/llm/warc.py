@@ -44,7 +44,7 @@ ARC_FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-LEVEL = 3  # of compression
+LEVEL = 6  # of compression
 ID_FIELD = "X-Page-Id"
 DATE = "20240101000000"
 
