@@ -42,8 +42,8 @@ BLOCK = 512  # bits that one entry of a rank directory stands for
 LEVELS = 4
 HEAD = "<8sQQQ"  # magic, bytes of the shard, documents, tokens
 NULL_ID = -(2**63)
-CACHED_CHUNKS = 250_000  # as met in texts
-CACHED_WORDS = 350_000  # without their punctuation
+CACHED_CHUNKS = 150_000  # as met in texts
+CACHED_WORDS = 850_000  # without their punctuation
 # A word of letters that compose and lower-case one by one, perhaps with punctuation behind it.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 PORTION = 4 << 20  # bytes of texts whose chunks are numbered at a time
