@@ -1,5 +1,6 @@
 """The pipeline: each stage on its own input, and the whole on a small table."""
 
+import math
 import re
 
 import public_tokenizers
@@ -76,3 +77,39 @@ def test_whole_run(spark):
 def test_without_languages_to_learn_all_rows_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.languages(spark, docs, SF).count() == docs.count()
+
+
+def test_whole_run_against_plain_python(spark):
+    """Every stage on what plain Python kept before it: letters, equal texts, all pairs of shingles, shares, ids."""
+    import hashlib
+    from collections import Counter
+
+    from test_mixing import size_of, water
+    from test_near_copies import brute
+
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()
+    kept = {}
+    for r in given:
+        if any(c.isalpha() for c in r["text"] or ""):
+            kept[r["text"]] = max(kept.get(r["text"], r["doc_id"]), r["doc_id"])
+    rows = [(key, text) for text, key in kept.items()]
+    single = {key for key, *_, stays in brute(rows, 5, 80) if stays}
+    texts = {key: text for key, text in rows if key in single}
+    source = {r["doc_id"]: r["source"] for r in given}
+    sizes, largest = Counter(), Counter()
+    for key, text in texts.items():
+        sizes[source[key]] += size_of(text)
+        largest[source[key]] = max(largest[source[key]], size_of(text))
+    target, _ = water(dict(sizes), sum(sizes.values()))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    taken, times = Counter(), Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        ids = library.encode(texts[r["doc_id"]])  # a document plain Python dropped has no text here
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["n_tokens"] == len(ids) and r["source"] == source[r["doc_id"]]
+        times[r["doc_id"]] += 1
+        taken[r["source"]] += size_of(texts[r["doc_id"]])
+    assert max(times.values()) <= 3
+    # the mix ends at the last document that fits
+    budget = sum(sizes.values())
+    assert math.isclose(sum(target.values()), budget) and budget - max(largest.values()) <= sum(taken.values()) <= budget
