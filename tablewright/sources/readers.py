@@ -14,6 +14,7 @@ from tablewright.functions.kinds import present, ref
 from tablewright.functions.scalars import parse_number
 from tablewright.operators.checks import assert_table
 from tablewright.operators.fused import per_column, scalars
+from tablewright.session import held
 
 # Encodings tried in order.
 ENCODINGS = ("UTF-8", "ISO-8859-1")
@@ -129,10 +130,31 @@ def read_json(spark: SparkSession, path, schema=None, records: bool = False, **o
     return (reader.schema(schema) if schema is not None else reader).json(_paths(path))
 
 
+# Bytes of YAML records parsed at a time.
+YAML_PORTION = 1 << 20
+
+
+def _yaml_records(raw: bytes) -> list | None:
+    """The records of a part of a YAML list; none if it is not a list of mappings by itself."""
+    import yaml
+
+    if b"\0" in raw or b"\n..." in raw or raw.startswith((b"...", b"\xff\xfe", b"\xfe\xff")):
+        return None  # another encoding, or an end of document
+    try:
+        records = yaml.load(raw, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except (yaml.YAMLError, ValueError):
+        return None
+    records = [] if records is None else records
+    return records if isinstance(records, list) and all(isinstance(r, dict) for r in records) else None
+
+
 def read_yaml(spark: SparkSession, path, schema=None, **options) -> DataFrame:
-    """YAML files, each a list of records; a file is parsed whole by one task.
+    """YAML files, each a list of records.
 
-    Fields outside the schema are left out, fields a record lacks are null.
+    Files are cut where a line begins a record of the list, and the parts parsed by many
+    tasks. A file of which a part is no list by itself (a quoted text or flow goes across such a
+    line, or a record refers to an earlier one) is parsed whole by one task. Fields outside
+    the schema are left out, fields a record lacks are null.
     """
     if schema is None:
         raise ReadError("a YAML source needs a schema")
@@ -143,18 +165,60 @@ def read_yaml(spark: SparkSession, path, schema=None, **options) -> DataFrame:
     structure = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = structure.fieldNames()
 
-    def parse(batches):
+    def rows(records):
         import pandas as pd
+
+        return pd.DataFrame([{n: r.get(n) for n in names} for r in records], columns=names)
+
+    def parse_parts(batches):
+        last = None
+        for batch in batches:
+            part, file = [], None
+
+            def parsed():
+                records = _yaml_records(b"".join(part))
+                found = rows(records or [])
+                if records is None:
+                    found.loc[0] = [None] * len(names)
+                return found.assign(**{"_file": file, "_whole": records is None})
+
+            size = 0
+            for raw, source, start in zip(batch["content"], batch["file"], batch["start"]):
+                first = start == 0 and (source, start) != last
+                last = (source, start)
+                if part and (source != file or size > YAML_PORTION):
+                    yield parsed()
+                    part, size = [], 0
+                file = source
+                part.append((b"" if first else b"- ") + raw + b"\n")
+                size += len(raw)
+            if part:
+                yield parsed()
+
+    def parse_whole(batches):
         import yaml
 
         for batch in batches:
             for content in batch["content"]:
-                records = yaml.safe_load(content) or []
-                yield pd.DataFrame([{n: r.get(n) for n in names} for r in records], columns=names)
-
-    files = spark.read.format("binaryFile").options(**options).load(_paths(path))
-    # one file may be much larger than another, so files are dealt out singly
-    return files.select("content").mapInPandas(parse, structure)
+                yield rows(yaml.safe_load(content) or [])
+
+    def contents(reader, column):
+        return reader.load(_paths(path)).select(
+            ref(column).cast("binary").alias("content"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+        )
+
+    cut = contents(spark.read.format("text").options(**options, lineSep="\n- "), "value")
+    nullable = [T.StructField(f.name, f.dataType) for f in structure.fields]
+    kinds = T.StructType([*nullable, T.StructField("_file", T.StringType()), T.StructField("_whole", T.BooleanType())])
+    parts = held(cut.mapInPandas(parse_parts, kinds))
+    whole = [r["_file"] for r in parts.filter("_whole").select("_file").distinct().collect()]  # such files
+    if not whole:
+        return parts.select(*map(ref, names))
+    rest = parts.filter(~F.col("_file").isin(whole)).select(*map(ref, names))
+    files = contents(spark.read.format("binaryFile").options(**options), "content")
+    return rest.unionByName(files.filter(F.col("file").isin(whole)).mapInPandas(parse_whole, structure))
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

@@ -29,6 +29,36 @@ def test_json_records(spark, tmp_path):
     assert readers.read_json(spark, str(tmp_path / "a.json"), records=True).count() == 2
 
 
+def test_yaml_files_are_cut_at_their_records(spark, tmp_path):
+    rows = "".join(f'- {{"a": {i}, "b": "text {i}"}}\n' for i in range(60_000))
+    files = {
+        "plain": "---\n# list\n" + rows,
+        "quoted": '- {"a": -1, "b": "x\n- y"}\n- a: -2\n  b: last',
+        "linked": "- &first {a: -3, b: x}\n- <<: *first\n  a: -4\n",
+        "block": "-\n  a: -5\n  b: |\n    one\n    - two\n- {a: -6}\n",
+        "flow": '[{"a": -7},\n {"a": -8}]',
+        "wide": "- {a: -9, b: é}\r\n- {a: -10, c: 3}\r\n",
+        "empty": "",
+    }
+    for name, body in files.items():
+        (tmp_path / f"{name}.yaml").write_bytes(body.encode())
+    (tmp_path / "sixteen.yaml").write_bytes("- {a: -11}\n- {a: -12}\n".encode("utf-16"))
+    df = readers.read_yaml(spark, f"{tmp_path}/*.yaml", "a int, b string")
+    found = {r["a"]: r["b"] for r in df.filter("a < 0").collect()}
+    assert found == {
+        -1: "x - y", -2: "last", -3: "x", -4: "x", -5: "one\n- two\n", -6: None,
+        -7: None, -8: None, -9: "é", -10: None, -11: None, -12: None,
+    }
+    assert df.count() == 60_012 and df.filter("a >= 0 and b = concat('text ', a)").count() == 60_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:  # a file is read by several tasks
+        cut = readers.read_yaml(spark, f"{tmp_path}/plain.yaml", "a int, b string")
+        assert cut.rdd.getNumPartitions() > 1 and cut.count() == 60_000
+        assert cut.agg({"a": "sum"}).first()[0] == sum(range(60_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_yaml_round_trip(spark, tmp_path):
     import yaml
 
