@@ -218,8 +218,15 @@ def _narrow(
             levels += [min(max(p - slack, 0.0), 1.0), min(max(p + slack, 0.0), 1.0)]
         asked.append((at, got[key, "sketch"], levels))
     if asked:  # a row per bracket
-        table = df.sparkSession.createDataFrame(asked, "at int, sketch binary, levels array<double>")
-        points = table.select("at", F.kll_sketch_get_quantile_double("sketch", F.col("levels")).alias("points"))
+        table = df.sparkSession.createDataFrame([a[:2] for a in asked], "at int, sketch binary")
+        # Spark takes the levels as literals only, so every bracket has a branch of its own
+        points = F.coalesce(
+            *[
+                F.when(F.col("at") == at, F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, levels))))
+                for at, _, levels in asked
+            ]
+        )
+        points = table.select("at", points.alias("points"))
         brackets = list(by_bracket.values())
         for row in points.collect():
             for i, t in enumerate(brackets[row["at"]]):

@@ -165,6 +165,13 @@ def test_charts_show_all_rows(spark):
 # --- quantiles and scalers ------------------------------------------------------------
 
 
+def test_quantiles_of_brackets_too_full_to_fetch(spark):
+    values = np.random.default_rng(3).permutation(60_000).astype(float)
+    df = spark.createDataFrame([(float(v), float(v % 7)) for v in values], "a double, b double")
+    found, _, _ = quantiles.quantiles_and_powers(df, {"a": (0.25, 0.5), "b": (0.5,)}, fetch_rows=100, powers=True)
+    assert found == {"a": {0.25: 14999.75, 0.5: 29999.5}, "b": {0.5: 3.0}}
+
+
 def test_quantiles_read_the_table_three_times_at_most(spark):
     n, seen = 20_000, spark.sparkContext.accumulator(0)
     draw = np.random.default_rng(2)
