@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from decimal import Decimal
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,14 +284,63 @@ def _tied_pairs(count: Column) -> Column:
     return F.sum((wide * (wide - 1) / 2).cast("decimal(38,0)"))
 
 
-def kendall_tau(df: DataFrame, a: str, b: str) -> float | None:
-    """Tau-b of two columns, exact, in ``log2(distinct values)`` passes of rows.
+# Rows that lie in a block of neighbouring values, and the blocks there are at most.
+BLOCK_ROWS = 200_000
+MOST_BLOCKS = 5_000
+
+
+def _concordant(low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> int:
+    """Pairs of weighted points of which one is smaller in both coordinates.
 
-    Rows with one x and y collapse into a weighted point. Two points with
-    different x part at exactly one binary digit of the x positions; for each
-    digit, the points on the upper side count the lower-side points of smaller y
-    that share the higher digits. The counts are running sums, so no pair of
-    points is ever formed.
+    Points stay in the order of ``high`` within the places that share the upper binary
+    digits of ``low``; at each digit the upper half counts the lower half before it.
+    """
+    order = np.argsort(high, kind="stable")
+    k, v, w = np.unique(low, return_inverse=True)[1].ravel()[order], high[order], weight[order]
+    at, found = np.arange(len(k)), 0
+    for digit in reversed(range(int(k.max(initial=0)).bit_length())):
+        prefix, upper = k >> (digit + 1), (k >> digit & 1).astype(bool)
+        fresh = np.r_[True, prefix[1:] != prefix[:-1]]
+        start = np.maximum.accumulate(np.where(fresh, at, 0))
+        tie = np.maximum.accumulate(np.where(fresh | np.r_[True, v[1:] != v[:-1]], at, 0))
+        lower = np.where(upper, 0, w)
+        before = np.cumsum(lower) - lower
+        found += int(((before[tie] - before[start]) * w)[upper].sum())
+        # both halves of every part one after the other, their order kept
+        zeros = np.cumsum(~upper) - ~upper
+        zeros -= zeros[start]
+        heads = np.flatnonzero(fresh)
+        halves = np.repeat(np.add.reduceat((~upper).astype(np.int64), heads), np.diff(np.r_[heads, len(k)]))
+        to = start + np.where(upper, halves + at - start - zeros, zeros)
+        moved = np.empty_like(at)
+        moved[to] = at
+        k, v, w = k[moved], v[moved], w[moved]
+    return found
+
+
+def _count_block(block: pa.Table) -> pa.Table:
+    low, high, weight = (block.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "w"))
+    return pa.table({"c": pa.array([_concordant(low, high, weight)], pa.int64())})
+
+
+def _in_blocks(ranks: DataFrame, rows: int, blocks: int) -> DataFrame:
+    """Ranks with ``place``: dense rank and block of a value.
+
+    A value that fills a block has an odd one to itself; the others hold two blocks' rows at most.
+    """
+    block = 2 * F.expr(f"before * {blocks}L div {rows}L") + (F.col("count") * blocks > rows).cast("bigint")
+    return ranks.withColumn("place", F.struct(block.alias("block"), F.col("dense").alias("dense")))
+
+
+def kendall_tau(df: DataFrame, a: str, b: str) -> float | None:
+    """Tau-b of two columns, exact, in two shuffles of the points.
+
+    Rows with one x and y collapse into a weighted point. Each side is cut into blocks of
+    neighbouring values. Pairs in one block of x are counted there, pairs in different blocks
+    of x and one of y in that one, and all others from the weights of the cells of blocks: two
+    cells of different blocks of x part at exactly one binary digit of the blocks' numbers; for
+    each digit, the cells on the upper side count the lower-side cells of smaller y that
+    share the higher digits. No pair of points is ever formed.
     """
     points = (
         df.select(
@@ -306,35 +357,43 @@ def kendall_tau(df: DataFrame, a: str, b: str) -> float | None:
         counts = points.groupBy(F.col(side).alias("value")).agg(F.sum("w").alias("count"))
         ranks[side] = held(rank_table(counts))
         facts[side] = scalars(
-            ranks[side],
-            {"ties": _tied_pairs(F.col("count")), "distinct": F.count(F.lit(1)), "rows": F.max("total")},
+            ranks[side], {"ties": _tied_pairs(F.col("count")), "rows": F.max("total")}
         )
     rows = facts["x"]["rows"]
     if not rows or rows < 2:
         return None
-    if facts["x"]["distinct"] > facts["y"]["distinct"]:
-        points = points.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")
-        ranks = {"x": ranks["y"], "y": ranks["x"]}
-        facts = {"x": facts["y"], "y": facts["x"]}
     both = scalars(points, {"ties": _tied_pairs(F.col("w"))})["ties"]
-    placed = attach(points, "x", ranks["x"], "dense", "dx")
-    placed = attach(placed, "y", ranks["y"], "dense", "dy")
-    digits = max(int(facts["x"]["distinct"] - 1).bit_length(), 1)
-    by_digit = placed.select(
-        "dx", "dy", "w", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit")
+    blocks = max(1, min(MOST_BLOCKS, rows // BLOCK_ROWS))
+    placed = points
+    for side in ("x", "y"):
+        placed = attach(placed, side, _in_blocks(ranks[side], rows, blocks), "place", f"p{side}")
+    placed = held(
+        placed.select(*[F.col(f"p{s}")[f].alias(f"{f}_{s}") for s in "xy" for f in ("block", "dense")], "w")
+    )
+    concordant = Decimal(0)
+    for side, low in (("x", "dense_x"), ("y", "block_x")):
+        inside = placed.filter(F.col(f"block_{side}") % 2 == 0).select(
+            f"block_{side}", F.col(low).alias("low"), F.col("dense_y").alias("high"), "w"
+        )
+        counted = inside.groupBy(f"block_{side}").applyInArrow(_count_block, "c bigint")
+        concordant += scalars(counted, {"c": F.sum(F.col("c").cast("decimal(38,0)"))})["c"] or 0
+    digits = (2 * blocks + 1).bit_length()
+    cells = placed.groupBy("block_x", "block_y").agg(F.sum("w").alias("w"))
+    by_digit = cells.select(
+        "block_x", "block_y", "w", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit")
     ).select(
         "digit",
-        F.expr("shiftright(dx, digit + 1)").alias("prefix"),
-        F.col("dy").alias("value"),
-        F.expr("IF(getbit(dx, digit) = 0, w, 0L)").alias("lower"),
-        F.expr("IF(getbit(dx, digit) = 1, w, 0L)").alias("upper"),
+        F.expr("shiftright(block_x, digit + 1)").alias("prefix"),
+        F.col("block_y").alias("value"),
+        F.expr("IF(getbit(block_x, digit) = 0, w, 0L)").alias("lower"),
+        F.expr("IF(getbit(block_x, digit) = 1, w, 0L)").alias("upper"),
     )
-    cells = by_digit.groupBy("digit", "prefix", "value").agg(
+    sides = by_digit.groupBy("digit", "prefix", "value").agg(
         F.sum("lower").alias("count"), F.sum("upper").alias("upper")
     )
-    counted = rank_table(cells, ["digit", "prefix"], carry=["upper"])
+    counted = rank_table(sides, ["digit", "prefix"], carry=["upper"])
     product = F.col("before").cast("decimal(19,0)") * F.col("upper").cast("decimal(19,0)")
-    concordant = scalars(counted, {"c": F.sum(product.cast("decimal(38,0)"))})["c"]
+    concordant += scalars(counted, {"c": F.sum(product.cast("decimal(38,0)"))})["c"]
     every = Decimal(rows) * (rows - 1) / 2
     ties_x, ties_y = facts["x"]["ties"], facts["y"]["ties"]
     difference = 2 * concordant - (every - ties_x - ties_y + both)

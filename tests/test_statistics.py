@@ -190,6 +190,19 @@ def test_kendall_against_all_pairs(numbers, monkeypatch, bucket):
         assert got == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("rows", [60])
+def test_kendall_in_blocks_of_values(spark, monkeypatch, rows):
+    monkeypatch.setattr(correlate, "BLOCK_ROWS", rows)
+    draw = np.random.default_rng(rows)
+    heavy = np.where(draw.random(600) < 0.4, 7, draw.integers(0, 90, 600))
+    columns = {"x": heavy, "y": draw.integers(0, 400, 600) + heavy, "z": draw.integers(0, 3, 600)}
+    df = spark.createDataFrame(pd.DataFrame(columns))
+    for x, y in (("x", "y"), ("y", "z")):
+        dx, dy = (np.sign(columns[c][:, None] - columns[c][None, :]) for c in (x, y))
+        want = (dx * dy).sum() / np.sqrt((dx != 0).sum() * float((dy != 0).sum()))
+        assert correlate.kendall_tau(df, x, y) == pytest.approx(want, abs=1e-12)
+
+
 @pytest.mark.parametrize("column", ["a", "c"])
 def test_histogram_matches_numpy(numbers, column):
     df, pdf = numbers
