@@ -91,6 +91,29 @@ def smallest(df: DataFrame, per_group: int, rows: int) -> DataFrame:
     return ranked.orderBy("rank", "mark", "name").limit(rows)
 
 
+BLOCK = 2_048  # numbers of a vector that travel as one row
+VECTORS = "block long, part long, values array<double>"
+
+
+def vector_rows(vector: np.ndarray, part: int) -> pa.RecordBatch:
+    """A task's vector as rows (block, part, values)."""
+    cut = [vector[at : at + BLOCK].astype(float) for at in range(0, len(vector), BLOCK)]
+    columns = [pa.array(range(len(cut)), pa.int64()), pa.array([part] * len(cut), pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.list_(pa.float64()))], ["block", "part", "values"])
+
+
+def added(vectors: DataFrame) -> np.ndarray:
+    """Sum of the tasks' vectors, in the order of their parts; a group holds one block of each task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.sort_by("part").column("values").combine_chunks()
+        total = lists.flatten().to_numpy().reshape(len(lists), -1).sum(axis=0)
+        return pa.table({"block": table.column("block")[:1], "values": pa.array([total], pa.list_(pa.float64()))})
+
+    found = vectors.groupBy("block").applyInArrow(run, "block long, values array<double>").toArrow().sort_by("block")
+    return found.column("values").combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a row is kept from every fit: crc32 of its id as text leaves 1 when divided by 3.
 

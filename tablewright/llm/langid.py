@@ -11,6 +11,8 @@ Training reads a bounded sample: ``per_language`` rows of each language and ``ro
 all, those with the smallest hashes of id and text; equal rows count once. It leaves the
 rows given as held out untouched. Kernels are computed on the executors; n-grams of the
 landmarks and one kernel value per row and landmark come to the driver, never a text.
+With ``every`` only the landmarks are a sample: the regression is over every row, repeated
+ones as often as they occur, and tasks add up its normal equations.
 
 Inputs: a text that is null or has no letter is ``und`` with score 0; so is every text
 if there is nothing to learn from. Whole texts are read. Rows with a null language are
@@ -26,12 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.kinds import ref
-from tablewright.llm.common import smallest, written
+from tablewright.llm.common import VECTORS, added, smallest, vector_rows, written
 
 LENGTHS = (1, 2, 3)
 SPACE = 1 << 16  # of n-grams of one length; longer ones are hashed into it
@@ -100,6 +103,19 @@ class Landmarks:
             out += shared / np.sqrt(sizes * len(present)) / len(LENGTHS)
         return out
 
+    def dense(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per length: a row's number for every n-gram, and rows of what it adds to the kernel with each landmark."""
+        out = []
+        for cells, sizes in zip(self.cells, self.sizes):
+            met, row = np.unique(cells, return_inverse=True)
+            place = np.zeros(SPACE, np.int32)
+            place[met] = np.arange(1, len(met) + 1)
+            adds = np.zeros((len(met) + 1, self.count), np.float32)
+            owner = np.repeat(np.arange(self.count), sizes)
+            adds[row + 1, owner] = (1 / np.sqrt(sizes) / len(LENGTHS))[owner]
+            out.append((place, adds))
+        return out
+
     def folded(self, alpha: np.ndarray) -> np.ndarray:
         """Weights of the n-grams: coefficients of the landmarks that have them."""
         weights = np.zeros((len(LENGTHS), SPACE, alpha.shape[1]), np.float32)
@@ -133,6 +149,39 @@ def _kernels(sample: DataFrame, points: Landmarks) -> pa.Table:
     return sample.select("lang", "place", "text").mapInArrow(run, "lang string, place string, values array<double>").toArrow()
 
 
+def _equations(rows: DataFrame, points: Landmarks, weigh: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted normal equations of the regression over all ``rows`` (lang, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast((points, sorted(weigh), [weigh[x] for x in sorted(weigh)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, languages, weights = shared.value
+        code = {x: k for k, x in enumerate(languages)}
+        spectrum, dense, weights = Spectrum(), points.dense(), np.array(weights)
+        left, right = np.zeros((points.count, points.count)), np.zeros((points.count, len(languages)))
+        rows = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                kernel = np.zeros((part.num_rows, points.count))
+                for row, t in zip(kernel, part.column(1)):
+                    for (place, adds), present in zip(dense, spectrum.of(t.as_py())):
+                        met = place[present]
+                        row += adds[met[met > 0]].sum(axis=0) / np.sqrt(len(present))
+                own = np.array([code[x] for x in part.column(0).to_pylist()], np.int64)
+                weighted = kernel * weights[own][:, None]
+                left += kernel.T @ weighted
+                target = np.full((len(own), len(languages)), -1.0)
+                target[np.arange(len(own)), own] = 1.0
+                right += weighted.T @ target
+                rows += len(own)
+        if rows:
+            yield vector_rows(np.r_[left.ravel(), right.ravel()], TaskContext.get().partitionId())
+
+    found = added(rows.select("lang", "text").mapInArrow(run, VECTORS))
+    left, right = np.split(found, [points.count**2])
+    return left.reshape(points.count, -1), right.reshape(points.count, -1)
+
+
 def fit(
     docs: DataFrame,
     train: Column,
@@ -143,8 +192,9 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    every: bool = False,
 ) -> LanguageModel:
-    """Learn from the rows of ``docs`` where ``train`` holds."""
+    """Learn from the rows of ``docs`` where ``train`` holds, with ``every`` from each of them."""
     usable = docs.filter(train).select(
         ref(doc_id).alias("doc_id"), ref(lang).cast("string").alias("lang"), ref(text).alias("text")
     )
@@ -159,11 +209,18 @@ def fit(
         return LanguageModel([], np.zeros((len(LENGTHS), SPACE, 0), np.float32))
     spectra = list(zip(*[[v.values.to_numpy() for v in own.column(f"g{n}")] for n in LENGTHS]))
     points = Landmarks(spectra)
+    flags = np.zeros(SPACE, bool)
+    small = np.stack([points.kernel(s, flags) for s in spectra])
+    if every:
+        whole = usable.join(F.broadcast(sample.select("lang").distinct()), "lang")  # no more than ``rows``
+        whole = whole.withColumn("text", prepared(F.col("text"))).filter("text is not null")
+        counts = {r["lang"]: r["n"] for r in whole.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total = sum(counts.values())
+        left, right = _equations(whole, points, {x: total / (len(counts) * n) for x, n in counts.items()})
+        return LanguageModel(sorted(counts), points.folded(_solved(left, right, small, total, ridge)))
     found = _kernels(sample, points).sort_by("place")
     named = found.column("lang").to_pylist()
     kernel = found.column("values").combine_chunks().flatten().to_numpy().reshape(len(named), points.count)
-    flags = np.zeros(SPACE, bool)
-    small = np.stack([points.kernel(s, flags) for s in spectra])
     languages, alpha = regression(kernel, small, named, ridge)
     return LanguageModel(languages, points.folded(alpha))
 
@@ -178,8 +235,12 @@ def regression(kernel: np.ndarray, small: np.ndarray, named: list[str], ridge: f
     # Languages weigh the same, however many rows the sample has of each.
     counts = np.array([named.count(x) for x in named], float)
     weigh = (len(named) / (len(languages) * counts))[:, None]
-    left = kernel.T @ (weigh * kernel) + ridge * len(named) * (small + 1e-8 * np.eye(len(small)))
-    return languages, np.linalg.lstsq(left, kernel.T @ (weigh * target), rcond=None)[0]
+    return languages, _solved(kernel.T @ (weigh * kernel), kernel.T @ (weigh * target), small, len(named), ridge)
+
+
+def _solved(left: np.ndarray, right: np.ndarray, small: np.ndarray, rows: int, ridge: float) -> np.ndarray:
+    """Coefficients from the normal equations of so many rows."""
+    return np.linalg.lstsq(left + ridge * rows * (small + 1e-8 * np.eye(len(small))), right, rcond=None)[0]
 
 
 def scores(model: LanguageModel, spectrum: Spectrum, texts: list[bytes]) -> np.ndarray:

@@ -4,16 +4,20 @@ A word is the sum of two hashed embeddings, of the word and of its first charact
 that unseen endings still tell something. Filters of several widths slide over a whole
 text, each keeps its largest response, and a logistic layer weighs them. Embeddings
 start with one coordinate set to how much more often a cell occurs in toxic training
-texts; everything is then trained by Adam on the driver.
+texts; everything is then trained by Adam on the executors.
 
-Thresholds are calibrated by language: a part of the training sample that the network
+Thresholds are calibrated by language: a part of the labelled rows that the network
 never saw tells, for each language, which response parts the labels best, and scores
 are shifted so that this is 0.7. The language is guessed from the text alone by the
 string-kernel model, so a score depends on nothing but the text.
 
-Training reads a bounded sample of labelled rows, whole texts of any length: the
-``positives`` and ``negatives`` with the smallest hashes of id and text. Words become
-cells, and languages are guessed, on the executors. Scoring reads all rows and whole texts.
+Training reads every labelled row, whole texts of any length; rows equal in id, text and
+label count once. Three quarters, told apart by a hash, train the network: they are dealt by
+hash into parts of bounded size, every part is trained on from the common network by a task
+of its own, and the parts' changes are averaged, an embedding by how often each part has its
+cell. This is done ``ROUNDS`` times, once where one part holds all; every round visits every row. The other quarter gives
+the thresholds, from counts of its responses in steps of 1/256. The language model, too, is fitted to
+all training rows. The driver sees sums and counts only. Scoring reads all rows and whole texts.
 
 Inputs: a null text counts as empty; empty texts get the score of a text without words.
 Labels of unknown documents and null labels are ignored. Without labels of both kinds
@@ -29,13 +33,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.kinds import ref
 from tablewright.llm import langid
-from tablewright.llm.common import portions, smallest, written
+from tablewright.llm.common import VECTORS, added, portions, vector_rows, written
 from tablewright.session import broadcast_if_small
 
 CELLS = 1 << 15  # of each embedding table; cell 0 is the gap between texts
@@ -48,6 +53,11 @@ LEVEL = 0.7
 STRIP = ".,;:!?\"'()[]|"
 KNOWN_WORDS = 400_000
 TRAIN_WORDS = 50_000  # words whose responses are held at a time
+BATCH = 64
+ROUNDS = 3
+PART_ROWS = 10_000  # rows and words that a task trains on
+PART_WORDS = 8_000_000
+STEPS_OF_ONE = 256  # steps of responses when thresholds are chosen
 
 
 # --- words ----------------------------------------------------------------------
@@ -161,16 +171,16 @@ class Network:
         inner = error[:, None] * self.out * (active > 0)
         d_words, d_heads = np.zeros_like(self.words), np.zeros_like(self.heads)
         d_filters = [np.zeros_like(f) for f in self.filters]
-        for row, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
-            winners = responses[a : a + n].argmax(axis=0) + a
-            for k, f in enumerate(self.filters):
-                for m in np.flatnonzero(inner[row, k * FILTERS : (k + 1) * FILTERS]).tolist():
-                    at, step = int(winners[k * FILTERS + m]), inner[row, k * FILTERS + m]
-                    span = slice(at, at + len(f))
-                    d_filters[k][:, :, m] += step * words[span]
-                    back = step * f[:, :, m]
-                    np.add.at(d_words, flat[span] >> 16, back)
-                    np.add.at(d_heads, flat[span] & 0xFFFF, back)
+        spans = zip(starts.tolist(), sizes.tolist())
+        winners = np.stack([responses[a : a + n].argmax(axis=0) + a for a, n in spans])
+        for k, f in enumerate(self.filters):
+            row, m = np.nonzero(inner[:, k * FILTERS : (k + 1) * FILTERS])
+            step = inner[row, k * FILTERS + m][:, None, None]
+            span = winners[row, k * FILTERS + m][:, None] + np.arange(len(f))
+            np.add.at(d_filters[k].transpose(2, 0, 1), m, step * words[span])
+            back = step * f.transpose(2, 0, 1)[m]
+            np.add.at(d_words, flat[span] >> 16, back)
+            np.add.at(d_heads, flat[span] & 0xFFFF, back)
         d_words[0] = d_heads[0] = 0  # the gap stays empty
         return [d_words, d_heads, *d_filters, inner.sum(axis=0), error @ active, error.sum(keepdims=True)]
 
@@ -181,29 +191,20 @@ def _parts(rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return np.split(rows, np.flatnonzero(np.diff(total)) + 1)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, steps: int, seed: int, rate: float = 0.01) -> Network:
-    """Adam over small batches, toxic and other texts weighing the same."""
-
-    def lean(cells: list[np.ndarray]) -> np.ndarray:
-        counts = np.zeros((2, CELLS))
-        for label, own in zip(labels, cells):
-            counts[int(label), np.unique(own)] += 1
-        totals = np.bincount(labels.astype(int), minlength=2)
-        logs = np.log((counts + 0.5) / (totals[:, None] + 1))
-        return np.clip((logs[1] - logs[0]) * (counts.sum(axis=0) > 1), -3, 3).astype(np.float32) / 3
-
-    network = Network.fresh(lean([t >> 16 for t in texts]), lean([t & 0xFFFF for t in texts]), seed)
-    weigh = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (1 - labels).sum()))
+def descend(
+    network: Network, texts: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray, steps: int, seed: int, rate: float
+) -> None:
+    """Adam over small batches: so many steps, and every text at least once."""
     parameters = network.parameters()
     first = [np.zeros_like(p) for p in parameters]
     second = [np.zeros_like(p) for p in parameters]
-    draw = np.random.default_rng(seed + 1)
+    draw = np.random.default_rng(seed)
     sizes = np.array([len(t) for t in texts])
-    step, size = 0, 64
+    step = 0
     while step < steps:
         order = draw.permutation(len(texts))
-        for at in range(0, len(order), size):
-            part = order[at : at + size]
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
             step += 1
             found = None
             for few in _parts(part, sizes):
@@ -213,7 +214,62 @@ def train(texts: list[np.ndarray], labels: np.ndarray, steps: int, seed: int, ra
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return network
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return [v.values.to_numpy() for v in column]
+
+
+def _leans(rows: DataFrame, totals: np.ndarray) -> list[np.ndarray]:
+    """Of words and heads: how much more often a cell occurs in toxic texts, from -1 to 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 2, CELLS))
+        for batch in batches:
+            for label, own in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
+                counts[0, int(label), np.unique(own >> 16)] += 1
+                counts[1, int(label), np.unique(own & 0xFFFF)] += 1
+        if counts.any():
+            yield vector_rows(counts.ravel(), TaskContext.get().partitionId())
+
+    found = added(rows.select("name", "cells").mapInArrow(run, VECTORS))
+    if not len(found):  # no text has a word
+        return [np.zeros(CELLS, np.float32)] * 2
+    out = []
+    for counts in found.reshape(2, 2, CELLS):
+        logs = np.log((counts + 0.5) / (totals[:, None] + 1))
+        out.append(np.clip((logs[1] - logs[0]) * (counts.sum(axis=0) > 1), -3, 3).astype(np.float32) / 3)
+    return out
+
+
+def _trained_on(network: Network, parts: DataFrame, weights: np.ndarray, steps: int, seed: int, rate: float) -> None:
+    """One round: each part (part, name, mark, cells) trains a copy, and the copies are averaged."""
+    shared = parts.sparkSession.sparkContext.broadcast(network)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("mark", "ascending"), ("name", "ascending")])
+        texts = [v.astype(np.int64) for c in table.column("cells").chunks for v in _lists(c)]
+        labels = np.array(table.column("name").to_pylist(), float)
+        before = shared.value.parameters()
+        own = Network(*(p.copy() for p in before[:2]), [p.copy() for p in before[2:-3]], *(p.copy() for p in before[-3:]))
+        part = key[0].as_py()
+        descend(own, texts, labels, weights[labels.astype(int)], steps, seed + part, rate)
+        words = np.concatenate([*texts, np.zeros(0, np.int64)])
+        change = [a.astype(float) - b for a, b in zip(own.parameters(), before)]
+        # Embeddings weigh by their cell's occurrences, everything else by texts.
+        times = [np.bincount(c, minlength=CELLS) for c in (words >> 16, words & 0xFFFF)]
+        moved = [(c * t[:, None]).ravel() for c, t in zip(change, times)]
+        rest = [c.ravel() * len(texts) for c in change[2:]]
+        return pa.Table.from_batches([vector_rows(np.concatenate([*times, *moved, *rest, [len(texts)]]), part)])
+
+    found = added(parts.groupBy("part").applyInArrow(run, VECTORS))
+    parameters = network.parameters()
+    edges = np.cumsum([CELLS, CELLS, *(p.size for p in parameters)])
+    *times, rows = np.split(found, edges)
+    for t, p, moved in zip(times[:2], parameters, times[2:]):
+        p += (moved.reshape(p.shape) / np.maximum(t, 1)[:, None]).astype(np.float32)
+    for p, moved in zip(parameters[2:], times[4:]):
+        p += (moved.reshape(p.shape) / rows[0]).astype(np.float32)
 
 
 # --- the classifier -------------------------------------------------------------
@@ -227,21 +283,23 @@ class ToxicModel:
     common: float = 0.0
 
 
-def _threshold(responses: np.ndarray, labels: np.ndarray) -> float:
+def _threshold(responses: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
     """Between the two neighbouring responses that part the labels with the fewest errors."""
-    order = np.argsort(responses, kind="stable")
-    z, y = responses[order], labels[order]
+    counts = np.ones(len(labels)) if counts is None else counts
+    z, place = np.unique(responses, return_inverse=True)
+    toxic = np.bincount(place, labels * counts, len(z))
+    other = np.bincount(place, (1 - labels) * counts, len(z))
     # Errors when everything from position i on counts as toxic.
-    errors = np.r_[0, np.cumsum(y)] + np.r_[np.cumsum((1 - y)[::-1])[::-1], 0]
+    errors = np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(other[::-1])[::-1], 0]
     best = np.flatnonzero(errors == errors.min())
     padded = np.r_[z[0] - 1, z, z[-1] + 1]
     widest = best[np.argmax(padded[best + 1] - padded[best])]
     return float((padded[widest] + padded[widest + 1]) / 2)
 
 
-def _celled(sample: DataFrame, languages: langid.LanguageModel) -> DataFrame:
-    """(name, mark, cells, language) of the sample's texts."""
-    shared = sample.sparkSession.sparkContext.broadcast(languages)
+def _celled(rows: DataFrame, languages: langid.LanguageModel) -> DataFrame:
+    """(name, mark, cells, language) of labelled texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, spectrum = Words(), langid.Spectrum()
@@ -251,57 +309,82 @@ def _celled(sample: DataFrame, languages: langid.LanguageModel) -> DataFrame:
             columns = [batch.column(0), batch.column(1), cells, pa.array(named, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["name", "mark", "cells", "language"])
 
-    chosen = sample.select("name", "mark", "text", "prepared")
+    chosen = rows.select("name", "mark", "text", "prepared")
     return chosen.mapInArrow(run, "name string, mark long, cells array<int>, language string")
 
 
+def _responses(rows: DataFrame, network: Network) -> pa.Table:
+    """(language, name, step, count): how often the network responds so to texts of a language and label."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [v.astype(np.int64) for v in _lists(batch.column(2))]
+            few = _parts(np.arange(len(texts)), np.array([len(t) for t in texts])) if texts else []
+            found = np.concatenate([*(shared.value.outputs([texts[i] for i in part]) for part in few), np.zeros(0)])
+            steps = pa.array(np.round(found * STEPS_OF_ONE).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), steps], ["language", "name", "step"])
+
+    steps = rows.select("language", "name", "cells").mapInArrow(run, "language string, name string, step long")
+    return steps.groupBy("language", "name", "step").agg(F.count(F.lit(1)).alias("count")).toArrow()
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     train_rows: Column,
-    positives: int = 2_000,
-    negatives: int = 3_000,
     steps: int = 500,
     seed: int = 11,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
     label: str = "toxic",
+    part_rows: int = PART_ROWS,
 ) -> ToxicModel:
-    """Learn from the labelled rows of ``docs`` where ``train_rows`` holds."""
-    languages = langid.fit(docs, train_rows, doc_id=doc_id, text=text, lang=lang)
+    """Learn from all labelled rows of ``docs`` where ``train_rows`` holds.
+
+    ``steps`` are the least a part takes in all rounds together, ``part_rows`` its rows.
+    """
+    languages = langid.fit(docs, train_rows, doc_id=doc_id, text=text, lang=lang, every=True)
     told = labels.select(ref(doc_id).alias("_id"), ref(label).cast("int").alias("_toxic"))
     told = told.filter("_id is not null and _toxic in (0, 1)").distinct()
     rows = docs.filter(train_rows).select(ref(doc_id).alias("_id"), F.coalesce(ref(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("_id", "text"))
-    # Hashes first: texts move only where chosen.
-    marks = rows.select("_id", "mark").join(broadcast_if_small(told), "_id")
-    most = max(positives, negatives)
-    chosen = smallest(marks.select(F.col("_toxic").cast("string").alias("name"), "mark"), most, 2 * most)
-    chosen = chosen.filter(F.col("rank") <= F.when(F.col("name") == "1", positives).otherwise(negatives))
-    sample = rows.join(F.broadcast(chosen), "mark").groupBy("name", "mark").agg(F.min("text").alias("text"))
-    sample = written(sample.withColumn("prepared", langid.prepared(F.col("text"))), "toxic-sample")
-    found = _celled(sample, languages).toArrow().sort_by([("mark", "ascending"), ("name", "ascending")])
-    y = np.array(found.column("name").to_pylist(), float)
-    if not len(y) or y.min() == y.max():
+    rows = rows.join(broadcast_if_small(told), "_id")
+    rows = rows.select(F.col("_toxic").cast("string").alias("name"), F.xxhash64("_id", "text").alias("mark"), "text")
+    unseen = F.pmod(F.col("mark"), F.lit(4)) == 3
+    rows = rows.withColumn("prepared", F.when(unseen, langid.prepared(F.col("text"))))
+    whole = written(_celled(rows, languages).dropDuplicates(["name", "mark"]), "toxic-rows")
+    counts = np.zeros((2, 2), np.int64)
+    words = 0
+    sizes = whole.groupBy("name", unseen.alias("unseen")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cells")).alias("words"))
+    for r in sizes.collect():  # four rows at most
+        counts[int(r["unseen"]), int(r["name"])] = r["n"]
+        words += r["words"]
+    if not counts.sum(axis=0).all():
         return ToxicModel(None, languages)
-    texts = [v.values.to_numpy().astype(np.int64) for v in found.column("cells")]
-    named = found.column("language").to_pylist()
-    unseen = np.arange(len(y)) % 4 == 3  # sorted by hash: a quarter at random
-    if y[~unseen].min() == y[~unseen].max():
-        unseen[:] = False
-    at = np.flatnonzero(~unseen)
-    network = train([texts[i] for i in at], y[at], steps, seed)
-    judged = np.flatnonzero(unseen) if unseen.any() else at
-    responses = np.concatenate(
-        [network.outputs([texts[i] for i in judged[k : k + 64]]) for k in range(0, len(judged), 64)]
-    )
-    model = ToxicModel(network, languages, {}, _threshold(responses, y[judged]))
-    named = np.array(named, object)[judged]
-    for language in sorted(set(named)):
+    if counts[0].all():
+        seen, judged = whole.filter(~unseen), whole.filter(unseen)
+    else:
+        seen, judged, counts = whole, whole.limit(0), np.stack([counts.sum(axis=0), [0, 0]])
+    network = Network.fresh(*_leans(seen, counts[0]), seed)
+    parts = int(max(1, -(-counts[0].sum() // part_rows), -(-words // PART_WORDS)))
+    dealt = seen.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(parts)).cast("long"))
+    dealt = dealt.select("part", "name", "mark", "cells").repartition(parts, "part")
+    weights = counts[0].sum() / (2 * counts[0])
+    rounds = ROUNDS if parts > 1 else 1
+    for k in range(rounds):
+        _trained_on(network, dealt, weights, -(-steps // rounds), seed + 1_000_003 * k, 0.01 * 0.5**k)
+    calibrating = counts[1].sum() > 0
+    found = _responses(judged if calibrating else seen, network)
+    z = found.column("step").to_numpy() / STEPS_OF_ONE
+    y = np.array(found.column("name").to_pylist(), float)
+    n = found.column("count").to_numpy()
+    model = ToxicModel(network, languages, {}, _threshold(z, y, n))
+    named = np.array(found.column("language").to_pylist(), object)
+    for language in sorted(set(named)) if calibrating else []:
         own = named == language
-        if min(y[judged][own].sum(), (1 - y[judged][own]).sum()) >= 5:
-            model.thresholds[language] = _threshold(responses[own], y[judged][own])
+        if min((y * n)[own].sum(), ((1 - y) * n)[own].sum()) >= 5:
+            model.thresholds[language] = _threshold(z[own], y[own], n[own])
     return model
 
 

@@ -243,3 +243,42 @@ def test_long_labelled_texts_are_learned_from(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
     model = toxicity.fit(df, labels, F.lit(True), steps=100)
     assert all((r["score"] >= 0.7) == (r["doc_id"] % 2 == 1) for r in toxicity.score(df, model, ["doc_id"]).collect())
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Rows of all parts and rows that are judged make up the table, more than any sample held."""
+    n = 7_000
+    kind = F.when(F.col("id") % 2 == 1, F.lit("vile")).otherwise(F.lit("kind"))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(kind, F.lit(" text of day "), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    met = {"rounds": []}
+    train, judge = toxicity._trained_on, toxicity._responses
+
+    def counted(network, parts, *rest):
+        met["rounds"].append((parts.count(), parts.select("part").distinct().count()))
+        train(network, parts, *rest)
+
+    def judged(rows, network):
+        met["judged"] = rows.count()
+        return judge(rows, network)
+
+    monkeypatch.setattr(toxicity, "_trained_on", counted)
+    monkeypatch.setattr(toxicity, "_responses", judged)
+    model = toxicity.fit(df, labels, F.lit(True), steps=60, part_rows=1_500)
+    assert [rows + met["judged"] for rows, _ in met["rounds"]] == [n] * toxicity.ROUNDS
+    assert {parts for _, parts in met["rounds"]} == {4}
+    found = toxicity.score(df, model, ["doc_id"])
+    assert found.filter("(score >= 0.7) <> (doc_id % 2 = 1)").count() == 0
+
+
+def test_language_regression_over_every_row(spark, docs):
+    rows = [(r["doc_id"], r["text"][:300], r["lang"]) for r in docs.limit(60).collect()]
+    every = rows + rows[:10]
+    df = spark.createDataFrame(every, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, F.lit(True), per_language=12, rows=40, landmarks=15, every=True)
+    sample = langid._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 12, 40).collect()
+    sample = sorted(sample, key=lambda r: (r["rank"], f"{r['mark'] & (2**64 - 1):016x}"))
+    predict = dense_regression([(t, lang) for _, t, lang in every], [r["text"].decode() for r in sample[:15]], 1e-2)
+    for r in langid.identify(df, model).collect():
+        lang, score = predict(r["text"])
+        assert r["lang_pred"] == lang and np.isclose(r["score"], score, atol=1e-3)
