@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -42,6 +43,14 @@ def per_worker(name: str, make: Callable):
     return getattr(held, name)
 
 
+def give_back() -> None:
+    """Hand a Python worker's freed memory back: Spark keeps idle workers for a while."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def portions(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about so many characters, so that a batch's tokens need little memory."""
     part: list[str] = []

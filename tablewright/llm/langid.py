@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.kinds import ref
-from tablewright.llm.common import VECTORS, added, smallest, vector_rows, written
+from tablewright.llm.common import VECTORS, added, give_back, smallest, vector_rows, written
 
 LENGTHS = (1, 2, 3)
 SPACE = 1 << 16  # of n-grams of one length; longer ones are hashed into it
 UNKNOWN = "und"
+ROWS = 500  # of a batch whose texts are held at a time
 
 
 @dataclass(frozen=True)
@@ -289,9 +290,12 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum()
         for batch in batches:
-            names, best = guess(shared.value, spectrum, batch.column(batch.num_columns - 1).to_pylist())
-            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(best)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *into])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                names, best = guess(shared.value, spectrum, part.column(part.num_columns - 1).to_pylist())
+                columns = [*part.columns[:-1], pa.array(names, pa.string()), pa.array(best)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *into])
+        give_back()
 
     chosen = docs.select(*[ref(c) for c in kept], prepared(ref(text)).alias("_language_text"))
     fields = [T.StructField(c, docs.schema[c].dataType) for c in kept]

@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 Texts are cut into chunks at spaces; the chunks a worker has not met yet are encoded
-together. Their symbols lie in one flat array, cut further wherever no piece of the
+together; a task forgets its chunks when it ends, so that an idle worker holds the model
+only. Their symbols lie in one flat array, cut further wherever no piece of the
 vocabulary holds the two characters side by side. A round looks up the rank of every
 neighbouring pair, takes the smallest rank of each segment, merges all its leftmost
 non-overlapping places at once and compacts the array; segments without a pair left
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from tablewright.errors import PrepareError
 from tablewright.functions.kinds import ref
-from tablewright.llm.common import per_worker, portions
+from tablewright.llm.common import give_back, per_worker, portions
 
 MARK = "▁"  # stands for a space inside pieces
 NEVER = np.int64(1 << 40)
@@ -305,15 +306,19 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(model)
-        for batch in _parts(batches):
-            column = batch.column(batch.schema.get_field_index(text))
-            raw = pieces.encode_batch([t or "" for t in column.to_pylist()])
-            ends = np.r_[0, np.cumsum([len(r) // 4 for r in raw])].astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
-            new = {ids: pa.ListArray.from_arrays(pa.array(ends), values)}
-            if decoded is not None:
-                new[decoded] = pa.array([pieces.decode(np.frombuffer(r, "<i4")) for r in raw], pa.string())
-            yield _with(batch, new)
+        try:
+            for batch in _parts(batches):
+                column = batch.column(batch.schema.get_field_index(text))
+                raw = pieces.encode_batch([t or "" for t in column.to_pylist()])
+                ends = np.r_[0, np.cumsum([len(r) // 4 for r in raw])].astype(np.int32)
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
+                new = {ids: pa.ListArray.from_arrays(pa.array(ends), values)}
+                if decoded is not None:
+                    new[decoded] = pa.array([pieces.decode(np.frombuffer(r, "<i4")) for r in raw], pa.string())
+                yield _with(batch, new)
+        finally:
+            pieces.cache = {}
+            give_back()
 
     new = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded is not None else {})
     return docs.mapInArrow(run, _schema(docs, new))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -134,3 +135,17 @@ def test_files_of_an_empty_table(spark):
     path = scratch(spark, "test-no-tokens")
     dac.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, WORDS, end_id=1)
     assert dac.read_documents(spark, path).count() == 0
+
+
+def test_a_finished_task_leaves_no_chunks_in_its_worker(spark):
+    """Spark keeps idle workers: what a task cached must not stay in them."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.range(2_000).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    assert pieces.encode(df, path).filter("size(ids) = 0").count() == 0
+
+    def held(batches):
+        for batch in batches:
+            sizes = [len(pieces._model(path).cache)] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n"])
+
+    assert spark.range(1).coalesce(1).mapInArrow(held, "n long").first()["n"] < 100
