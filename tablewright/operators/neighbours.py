@@ -25,6 +25,9 @@ BOX_ROWS = 20_000
 QUERY_ROWS = 50_000
 # Distances held at once by a task.
 BLOCK_CELLS = 2_000_000
+# Donor locations per cell of a box, and queries from which cells are worth their cutting.
+CELL_ROWS = 100
+CELL_QUERIES = 16
 # Patterns of gaps are bits of a whole number.
 MOST_FEATURES = 62
 # Locations looked at per box when the cuts are chosen.
@@ -43,10 +46,11 @@ def _locations(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def _cut(points, boxes: int) -> list[tuple]:
+def _cut(points, boxes: int, useful=None) -> list[tuple]:
     """Split points at medians, widest side first: ``(dim, at, left, right)`` nodes.
 
-    A leaf is ``(-1, leaf number, 0, 0)``.
+    A leaf is ``(-1, leaf number, 0, 0)``. Sides not ``useful`` are cut only where the
+    others have no spread left.
     """
     import numpy as np
 
@@ -58,6 +62,8 @@ def _cut(points, boxes: int) -> list[tuple]:
         place = len(nodes)
         nodes.append([-1, 0.0, 0, 0])
         spread = rows.max(axis=0) - rows.min(axis=0) if len(rows) else np.zeros(points.shape[1])
+        if useful is not None and spread[useful].any():
+            spread = np.where(useful, spread, 0.0)
         dim = int(np.argmax(spread)) if len(spread) else 0
         if share <= 1 or len(rows) < 2 or spread[dim] == 0:
             nodes[place][1] = leaves
@@ -92,6 +98,54 @@ def _leaf_of(points, nodes):
     return out
 
 
+def _nearest_in_cells(donors, asked, k: int, scale: tuple[int, int]):
+    """Donors as near as each row's ``k``-th, and maybe more: yields rows asked, donors, distances.
+
+    ``scale`` is the number of features and of those shared. Donors are cut into small cells. Some donors of a row's closest cell give a radius, and
+    only the donors of cells that reach into it are looked at.
+    """
+    import numpy as np
+
+    def distances(rows, found):
+        total = np.zeros(found.shape)
+        for i in range(donors.shape[1]):
+            gap = asked[rows, i] - donors[found, i]
+            total += gap * gap
+        return total * scale[0] / scale[1]
+
+    leaf = _leaf_of(donors, _cut(donors, -(-len(donors) // CELL_ROWS)))
+    order = np.argsort(leaf, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(leaf[order]) > 0])
+    sizes = np.diff(np.r_[starts, len(order)])
+    low, high = np.minimum.reduceat(donors[order], starts), np.maximum.reduceat(donors[order], starts)
+    block = max(1, BLOCK_CELLS // max(len(starts), CELL_ROWS))
+    for first in range(0, len(asked), block):
+        rows = np.arange(first, min(first + block, len(asked)))
+        apart = np.zeros((len(rows), len(starts)))
+        for i in range(donors.shape[1]):
+            v = asked[rows, i][:, None]
+            gap = np.maximum(np.maximum(low[:, i] - v, v - high[:, i]), 0.0)
+            apart += gap * gap
+        apart = apart * scale[0] / scale[1]
+        home = apart.argmin(axis=1)
+        place = np.arange(max(k, CELL_ROWS // 2))
+        known = distances(rows[:, None], order[starts[home][:, None] + np.minimum(place, sizes[home][:, None] - 1)])
+        known[place >= sizes[home][:, None]] = np.inf
+        radius = np.partition(known, k - 1, axis=1)[:, k - 1]
+        at, cell = np.nonzero(apart <= radius[:, None] * (1 + 1e-9))
+        # as many rows at a time as their donors allow
+        portion = np.cumsum(sizes[cell]) // BLOCK_CELLS
+        edges = np.unique(np.r_[0, np.searchsorted(at, at[np.flatnonzero(np.diff(portion)) + 1]), len(at)])
+        for a, b in zip(edges, edges[1:]):
+            n = sizes[cell[a:b]]
+            here = np.repeat(at[a:b], n)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = order[np.repeat(starts[cell[a:b]], n) + inside]
+            distance = distances(rows[here], found)
+            near = distance <= radius[here]
+            yield rows[here[near]], found[near], distance[near]
+
+
 def nearest_fill(
     df: DataFrame, columns: Iterable[str], donors: DataFrame | None = None, k: int = NEIGHBOURS
 ) -> DataFrame:
@@ -112,12 +166,17 @@ def nearest_fill(
     means = scalars(source, {c: F.avg(number(source, c)) for c in features})
     wide = df.withColumns({c: number(df, c) for c in features})
     pattern = sum((F.col("f")[i].isNotNull().cast("long") * (1 << i) for i in range(d)), F.lit(0).cast("long"))
-    places = held(_locations(source, features).withColumn("p", pattern))
+    # to Python features go as plain columns, which cost far less than arrays
+    cols = [f"_f{i}" for i in range(d)]
+    flat = [F.col("f")[i].alias(c) for i, c in enumerate(cols)]
+    doubles = ", ".join(f"{c} double" for c in cols)
+    places = held(_locations(source, features).drop("loc").withColumn("p", pattern))
     queries = _locations(df, features).withColumn("p", pattern).filter(F.col("p") < (1 << d) - 1)
     queries = held(queries.select("loc", "f", "p"))
     sizes = {r["p"]: r["n"] for r in places.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    # cuts per pattern, from a hash-ordered selection of its locations
+    # cuts per pattern, from a hash-ordered selection of its locations, along what the queries have
+    seen = queries.agg(F.bit_or("p")).first()[0] or 0
     trees: dict[int, tuple[list[int], list[tuple]]] = {}
     for p, size in sizes.items():
         dims = [i for i in range(d) if p >> i & 1]
@@ -126,10 +185,10 @@ def nearest_fill(
             trees[p] = (dims, [(-1, 0.0, 0, 0)])
             continue
         chosen = (
-            places.filter(F.col("p") == p).orderBy(F.xxhash64("loc"), "loc").limit(CUT_SAMPLE * boxes)
+            places.filter(F.col("p") == p).orderBy(F.xxhash64("f"), "f").limit(CUT_SAMPLE * boxes)
         )
         rows = np.array([[r["f"][i] for i in dims] for r in chosen.select("f").collect()])
-        trees[p] = (dims, _cut(rows, boxes))
+        trees[p] = (dims, _cut(rows, boxes, np.array([bool(seen >> i & 1) for i in dims])))
     first_box, total = {}, 0
     for p, (_, nodes) in trees.items():
         first_box[p] = total
@@ -137,18 +196,17 @@ def nearest_fill(
 
     def assign(batches):
         for batch in batches:
-            vectors = np.array(batch["f"].tolist(), dtype="float64").reshape(len(batch), d)
+            vectors = batch[cols].to_numpy(dtype="float64")
             box = np.zeros(len(batch), dtype="int64")
             for p in batch["p"].unique():
                 rows = np.flatnonzero(batch["p"].to_numpy() == p)
                 dims, nodes = trees[p]
                 box[rows] = first_box[p] + _leaf_of(vectors[np.ix_(rows, dims)], nodes)
-            yield batch.assign(box=box)[["box", "f", "n"]]
+            yield batch.assign(box=box)[["box", *cols, "n"]]
 
-    boxed = held(places.select("f", "n", "p").mapInPandas(assign, "box long, f array<double>, n long"))
+    boxed = held(places.select(*flat, "n", "p").mapInPandas(assign, f"box long, {doubles}, n long"))
     corners = boxed.groupBy("box").agg(
-        F.array(*[F.min(F.col("f")[i]) for i in range(d)]).alias("low"),
-        F.array(*[F.max(F.col("f")[i]) for i in range(d)]).alias("high"),
+        F.array(*[F.min(c) for c in cols]).alias("low"), F.array(*[F.max(c) for c in cols]).alias("high")
     )
     # one row per box
     corner = {
@@ -205,7 +263,7 @@ def nearest_fill(
     def route(first: bool):
         def run(batches):
             for batch in batches:
-                vectors = np.array(batch["f"].tolist(), dtype="float64").reshape(-1, d)
+                vectors = batch[cols].to_numpy(dtype="float64")
                 targets = batch["target"].to_numpy()
                 if first:
                     hits = at_home(vectors, targets)
@@ -214,9 +272,7 @@ def nearest_fill(
                     radius = np.where(np.isnan(radius), np.inf, radius * (1 + 1e-9))
                     hits = in_reach(vectors, targets, radius)
                 for rows, boxes in hits:
-                    yield batch.iloc[rows][["loc", "f", "target"]].assign(box=boxes)[
-                        ["box", "loc", "f", "target"]
-                    ]
+                    yield batch.iloc[rows].assign(box=boxes)[["box", "loc", *cols, "target"]]
 
         return run
 
@@ -225,37 +281,47 @@ def nearest_fill(
         columns = ["loc", "target", "distance", "value", "n"]
         if query.empty or donor.empty:
             return pd.DataFrame({c: [] for c in columns})
-        donor_f = np.array(donor["f"].tolist(), dtype="float64").reshape(-1, d)
+        donor_f = donor[cols].to_numpy(dtype="float64")
         donor_n = donor["n"].to_numpy()
         here = ~np.isnan(donor_f[0])  # one pattern a box
         places = query["loc"].to_numpy()
-        vectors = np.array(query["f"].tolist(), dtype="float64").reshape(-1, d)
+        vectors = query[cols].to_numpy(dtype="float64")
         targets = query["target"].to_numpy()
         block = max(1, BLOCK_CELLS // len(donor_f))
         parts = []
-        # queries of one target and one pattern of gaps meet all donors as a matrix
-        for _, target, rows in by_case(vectors, targets):
-            values = donor_f[:, target]
-            shared = np.flatnonzero(here & ~np.isnan(vectors[rows[0]]))
-            for start in range(0, len(rows), block):
-                some = rows[start : start + block]
-                distance = np.zeros((len(some), len(donor_f)))
-                for i in shared:
-                    gap = vectors[some, i][:, None] - donor_f[:, i]
+
+        def as_matrix(asked, donors):
+            """All distances, for few queries or few donors."""
+            for start in range(0, len(asked), block):
+                some = asked[start : start + block]
+                distance = np.zeros((len(some), len(donors)))
+                for i in range(donors.shape[1]):
+                    gap = some[:, i][:, None] - donors[:, i]
                     distance += gap * gap
-                distance = distance * d / len(shared)
-                if len(donor_f) > k:
+                distance = distance * d / donors.shape[1]
+                if len(donors) > k:
                     near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
                 else:
                     near = np.ones(distance.shape, dtype=bool)
-                asked, found = np.nonzero(near)
-                apart = distance[asked, found]
-                order = np.lexsort((values[found], apart, asked))
-                asked, found, apart = asked[order], found[order], apart[order]
-                first = np.searchsorted(asked, np.arange(len(some)))
-                kept = np.arange(len(asked)) - first[asked] < k
-                asked, found, apart = asked[kept], found[kept], apart[kept]
-                parts.append((places[some][asked], np.full(len(asked), target), apart, values[found], donor_n[found]))
+                at, found = np.nonzero(near)
+                yield at + start, found, distance[at, found]
+
+        # queries of one target and one pattern of gaps look for donors together
+        for _, target, rows in by_case(vectors, targets):
+            values = donor_f[:, target]
+            shared = np.flatnonzero(here & ~np.isnan(vectors[rows[0]]))
+            asked, donors = vectors[np.ix_(rows, shared)], donor_f[:, shared]
+            many = len(rows) >= CELL_QUERIES and len(donors) > 2 * CELL_ROWS
+            if many and np.isfinite(asked).all() and np.isfinite(donors).all():
+                hits = _nearest_in_cells(donors, asked, k, (d, len(shared)))
+            else:
+                hits = as_matrix(asked, donors)
+            for at, found, apart in hits:
+                order = np.lexsort((values[found], apart, at))
+                at, found, apart = at[order], found[order], apart[order]
+                kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, found, apart = at[kept], found[kept], apart[kept]
+                parts.append((places[rows[at]], np.full(len(at), target), apart, values[found], donor_n[found]))
         return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
 
     def visit(routed: DataFrame) -> DataFrame:
@@ -267,19 +333,19 @@ def nearest_fill(
         copy = F.pmod(F.xxhash64("loc", "target"), F.col("copies"))
         asked_here = routed.join(loads, "box").withColumn("copy", copy).drop("copies")
         copied = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
-        donors_here = boxed.join(loads, "box").select("box", "f", "n", copied)
+        donors_here = boxed.join(loads, "box").select("box", *cols, "n", copied)
         return (
             asked_here.groupBy("box", "copy")
             .cogroup(donors_here.groupBy("box", "copy"))
             .applyInPandas(answer, "loc string, target int, distance double, value double, n long")
         )
 
-    routed_schema = "box long, loc string, f array<double>, target int"
+    routed_schema = f"box long, loc string, {doubles}, target int"
     order = Window.partitionBy("loc", "target").orderBy("distance", "value")
     earlier = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     gaps_of = F.filter(F.transform("f", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
-    asked = queries.select("loc", "f", F.explode(gaps_of).alias("target"))
+    asked = queries.select("loc", *flat, F.explode(gaps_of).alias("target"))
     home = held(visit(held(asked.mapInPandas(route(True), routed_schema))))
     # distance of the k-th donor in the home box; none when it has fewer
     radius = (
@@ -294,7 +360,7 @@ def nearest_fill(
     asked = asked.join(radius, ["loc", "target"], "left")
     if total > 1:
         routed = held(
-            asked.select("loc", "f", "target", "radius").mapInPandas(route(False), routed_schema)
+            asked.select("loc", *cols, "target", "radius").mapInPandas(route(False), routed_schema)
         )
         nearest = visit(routed)
     else:

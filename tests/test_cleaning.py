@@ -299,3 +299,33 @@ def test_transform_runs_on_a_stream(spark, tmp_path):
 def test_encoders_check_their_name():
     with pytest.raises(PrepareError):
         encoding.check_method("hash")
+
+
+def test_boxes_are_cut_along_what_queries_have():
+    rng = np.random.default_rng(1)
+    points = np.c_[rng.normal(0, 1e6, 2_000), rng.integers(0, 9, 2_000)]
+    # the widest side is missing from every query: cutting along it would send each query to every box
+    nodes = neighbours._cut(points, 4, np.array([False, True]))
+    assert {n[0] for n in nodes} == {-1, 1}
+    # where the useful side has one value only, boxes still stay small
+    points[:, 1] = 3
+    assert {n[0] for n in neighbours._cut(points, 4, np.array([False, True]))} == {-1, 0}
+
+
+@pytest.mark.parametrize("values", [6, 10**6])
+def test_cells_of_a_box_find_all_near_donors(values, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 5_000)
+    rng = np.random.default_rng(values)
+    donors = rng.integers(0, values, (3_000, 2)).astype(float)
+    asked = rng.integers(-2, values + 2, (200, 2)).astype(float)
+    met = {i: {} for i in range(len(asked))}
+    for rows, found, distance in neighbours._nearest_in_cells(donors, asked, 5, (3, 2)):
+        for i, j, x in zip(rows.tolist(), found.tolist(), distance.tolist()):
+            assert met[i].setdefault(j, x) == x
+    for i, row in enumerate(asked):
+        apart = ((donors - row) ** 2).sum(axis=1) * 3 / 2
+        reach = np.sort(apart)[4]
+        # ties of the fifth donor included
+        assert {j for j, x in met[i].items() if x <= reach} == set(np.flatnonzero(apart <= reach).tolist())
+    if values > 6:  # without ties only a small part of the box is near
+        assert sum(map(len, met.values())) < 0.05 * donors.shape[0] * len(asked)
