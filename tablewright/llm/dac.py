@@ -49,6 +49,7 @@ CACHED_WORDS = 700_000  # without their punctuation
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PUNCTUATION = string.punctuation
 PORTION = 4 << 20  # bytes of texts whose chunks are numbered at a time
+READ_TOKENS = 500_000  # decoded at a time
 PROBES = ("two words", "Two, ÉTÉ!! it's***", " a  b\nc ", "don't <|endoftext|> 12 é́", "")
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -205,7 +206,8 @@ class ChunkTokenizer:
             blank = pc.replace_substring(texts.slice(first, last - first), "\n", " ")
             lists = pc.split_pattern(blank, " ")
             numbered = lists.flatten().dictionary_encode()
-            distinct = numbered.dictionary.to_pylist()
+            # by way of numpy, which takes a seventh of the time of to_pylist
+            distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
             raws = list(map(self.cache.get, distinct))
             if None in raws:
                 missing = [c for c, raw in zip(distinct, raws) if raw is None]
@@ -274,6 +276,12 @@ def write_tokens(
     shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _stretches(ends: np.ndarray, tokens: int) -> list[tuple[int, int]]:
+    """Runs of documents of about so many tokens each, at least a document."""
+    edges = [0, *(np.flatnonzero(np.diff(ends // tokens)) + 1).tolist(), len(ends)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """What the shards hold: (doc_id, start, n_tokens, ids_crc32), a row per document.
 
@@ -288,9 +296,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 docs, counts, codes = open_shard(raw)
                 ends = np.cumsum(counts.astype(np.int64))
                 starts = ends - counts
-                sums = [
-                    zlib.crc32(codes.read(a, b).astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist())
-                ]
+                sums = []
+                # whole stretches of documents are decoded at a time
+                for a, b in _stretches(ends, READ_TOKENS):
+                    first = int(starts[a])
+                    ids = codes.read(first, int(ends[b - 1])).astype("<u4", copy=False).view(np.uint8)
+                    cuts = zip(((starts[a:b] - first) * 4).tolist(), ((ends[a:b] - first) * 4).tolist())
+                    sums += [zlib.crc32(ids[i:j]) for i, j in cuts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(docs), pa.string()),

@@ -149,3 +149,20 @@ def test_a_finished_task_leaves_no_chunks_in_its_worker(spark):
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n"])
 
     assert spark.range(1).coalesce(1).mapInArrow(held, "n long").first()["n"] < 100
+
+
+def test_documents_are_read_by_stretches(spark, monkeypatch):
+    """Not a document at a time: decoding costs by the call."""
+    ends = np.cumsum([0, 3, 0, 4, 90, 0, 2, 1])
+    assert dac._stretches(ends, 10) == [(0, 4), (4, 7), (7, 8)]
+    assert dac._stretches(np.zeros(5, np.int64), 10) == [(0, 5)]
+    assert len(dac._stretches(np.arange(1, 100_001) * 40, 500_000)) == 9
+    texts = ["", "one two", None, "", "a" * 300, "  ", "three words, here", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(dac, "READ_TOKENS", 3)
+    path = scratch(spark, "stretches")
+    dac.write_tokens(docs, path, WORDS)
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in dac.read_documents(spark, path).collect()}
+    library = Tokenizer.from_file(WORDS)
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert found == {i: (len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for i, x in enumerate(ids)}
